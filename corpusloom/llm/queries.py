@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, langid, sharding, simhash, toxicity
+from corpusloom.llm import chat, decontaminate, langid, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,24 @@ def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op9_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.benchmark_items(table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), items)
+
+
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.site_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op8_ppm_language_id": op8_ppm_language_id,
+    "op9_pigeonhole_decontamination": op9_pigeonhole_decontamination,
+    "op10_site_quality": op10_site_quality,
 }
 
 ORACLES: dict[str, str] = {}
