@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, langid, quality, sharding, simhash, toxicity
+from corpusloom.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+#: The production mixture: which sources make which domain, and the target weights of the tree's nodes.
+DOMAINS = {"web": range(0, 5), "books": range(5, 10), "forums": range(10, 15)}
+OTHER_DOMAIN = "reference"
+WEIGHTS = {
+    "domain": {"web": 0.4, "books": 0.3, "forums": 0.2, "reference": 0.1},
+    "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1},
+    "source": {"src0": 2.0},
+}
+
+
+def domain_of(source: Column) -> Column:
+    out = F.lit(OTHER_DOMAIN)
+    for name, numbers in DOMAINS.items():
+        out = F.when(source.isin(*(f"src{i}" for i in numbers)), F.lit(name)).otherwise(out)
+    return out
+
+
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), WEIGHTS)
+
+
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_hierarchical_mixing": op5_hierarchical_mixing,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_pigeonhole_decontamination": op9_pigeonhole_decontamination,
@@ -108,3 +130,49 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        grown_shard
 FROM s
 """
+
+
+def _case(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in weights.items()) + " ELSE 1.0 END" if weights else "1.0"
+
+
+def _fill(parents: str, name: str) -> str:
+    """Common table expressions that split the parents' budgets among the nodes of one level."""
+    keys = f"{parents}, {name}" if parents else name
+    by = f"PARTITION BY {parents} " if parents else ""
+    join = f"JOIN b_{parents.split(', ')[-1]} p USING ({parents})" if parents else ", root p"
+    return f"""
+n_{name} AS (SELECT {keys}, sum(tokens * 2.0) AS capacity, CAST({_case(name, WEIGHTS.get(name, {}))} AS DOUBLE) AS weight FROM leaves GROUP BY {keys}),
+r_{name} AS (SELECT n.*, p.budget AS parent_budget, capacity / weight AS ratio FROM n_{name} n {join}),
+l_{name} AS (SELECT *, (parent_budget - coalesce(sum(capacity) OVER ({by}ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+             / sum(weight) OVER ({by}ORDER BY ratio, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM r_{name}),
+c_{name} AS (SELECT *, first_value(CASE WHEN ratio > lev THEN lev END IGNORE NULLS) OVER ({by}ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS common FROM l_{name}),
+b_{name} AS (SELECT {keys}, CASE WHEN ratio <= lev THEN capacity ELSE weight * greatest(common, 0.0) END AS budget FROM c_{name})"""
+
+
+_DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(f'src{i}') for i in r)}) THEN '{n}'" for n, r in DOMAINS.items()) + f" ELSE '{OTHER_DOMAIN}' END"
+
+ORACLES["op5_hierarchical_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, {_DOMAIN_SQL} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS n FROM documents),
+units AS (SELECT doc_id, domain, lang, source, CAST(sum(n) AS BIGINT) AS n_tokens FROM d GROUP BY ALL),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM units GROUP BY ALL),
+root AS (SELECT sum(tokens) * 0.6 AS budget FROM leaves),
+{_fill("", "domain")},
+{_fill("domain", "lang")},
+{_fill("domain, lang", "source")},
+plan AS (
+  SELECT domain, lang, source, tokens, floor(budget + 1e-6) AS budget,
+         CASE WHEN tokens > 0 THEN least(floor(floor(budget + 1e-6) / tokens), 2) ELSE 0 END AS whole
+  FROM b_source JOIN leaves USING (domain, lang, source)),
+run AS (
+  SELECT u.*, whole, budget - whole * tokens AS rest,
+         coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7:' || CAST(CAST(whole AS INT) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM units u JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS INTEGER) AS epoch FROM run WHERE start < rest
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(whole AS BIGINT))) AS INTEGER) AS epoch FROM run WHERE whole > 0
+"""
