@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, toxicity
+from corpusloom.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_hierarchical_mixing": op5_hierarchical_mixing,
     "op6_subword_toxicity": op6_subword_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_pigeonhole_decontamination": op9_pigeonhole_decontamination,
     "op10_site_quality": op10_site_quality,
@@ -176,3 +182,18 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS INTEGER) AS epoch F
 UNION ALL
 SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(whole AS BIGINT))) AS INTEGER) AS epoch FROM run WHERE whole > 0
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS m FROM win) WHERE m < doc_id),
+word AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM hit)),
+kept AS (
+  SELECT word.doc_id, string_agg(w[word.j], ' ' ORDER BY word.j) AS t, count(*) AS n
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.j = gone.j WHERE gone.j IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
