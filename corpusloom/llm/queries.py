@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, substrings, toxicity
+from corpusloom.llm import chat, decontaminate, langid, mixing, multiset, quality, sharding, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.format_turns(turns), "conv_id")
 
 
+def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_multiset_fingerprints": op2_multiset_fingerprints,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_hierarchical_mixing": op5_hierarchical_mixing,
