@@ -28,12 +28,12 @@ def initial_prototypes(vectors: DataFrame, k: int, seed: int = 1, id_col: str =
 def assign(vectors: DataFrame, prototypes: DataFrame, mode: str = "max_similarity", id_col: str = "doc_id") -> DataFrame:
     """(id_col, cluster, similarity): the prototype of largest Jaccard similarity, ties to the smaller cluster.
 
-    mode "reference_min" takes the smallest similarity instead; there prototypes
+    mode "min_similarity" takes the smallest similarity instead; there prototypes
     without a common term matter, so every document is compared with the sizes
     of all prototypes.  Prototypes are k sets over a bounded vocabulary and are
     broadcast; documents are not shuffled but to gather their own terms.
     """
-    if mode not in ("max_similarity", "reference_min"):
+    if mode not in ("max_similarity", "min_similarity"):
         raise ValueError(f"unknown mode {mode}")
     sizes = prototypes.groupBy("cluster").agg(F.countDistinct("term").alias("np"))
     all_sizes = sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cluster", "np")))).alias("sizes"))

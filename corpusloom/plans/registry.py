@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import text_queries, vector_queries
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = text_queries.QUERIES | vector_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | vector_queries.ORACLES

@@ -27,17 +27,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared scratch folder, deleted when the application ends."""
+    path = f"{checkpoint_root(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df as Parquet under the shared scratch folder and read it back.
 
     Unlike checkpoint() the copy is columnar and compressed, keeps statistics
-    for the planner, and allows column pruning; it is deleted when the
-    application ends.
+    for the planner, and allows column pruning.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
