@@ -165,8 +165,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     whole = marked.where("whole").select(id_col, "start", (F.col("n") + (window - 1)).alias("n"))
     opened = marked.where("NOT whole").groupBy(id_col).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = _windows(named.join(opened.hint("shuffle_hash"), id_col), id_col, window)
+    windows = stored(_windows(named.join(opened.hint("shuffle_hash"), id_col), id_col, window), "windows")
     first = windows.groupBy("window").agg(F.min(id_col).alias("least"), F.max(id_col).alias("most")).where("least < most").select("window", "least")
+    # stored, so that the join has two plain shuffles and a window that many documents share is split
+    first = stored(first, "first")
     single = windows.join(first, "window").where(F.col(id_col) > F.col("least")).select(id_col, "start", F.lit(window).alias("n"))
     gone = whole.unionByName(single).groupBy(id_col).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = named.join(gone.hint("shuffle_hash"), id_col, "left")
