@@ -20,7 +20,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both_ways(edges)
-    least = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root"))
+    # checkpointed, so that the join has two plain shuffles and a hub's edges are split
+    least = checkpoint(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root")))
     return (
         both.where("dst > src").join(least, "src")
         .where("dst <> root")
@@ -31,7 +32,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("root"))
+    least = checkpoint(down.groupBy("src").agg(F.min("dst").alias("root")))
     linked = down.join(least, "src").where("dst <> root").select(F.col("dst").alias("src"), F.col("root").alias("dst"))
     return linked.unionByName(least.select("src", F.col("root").alias("dst"))).distinct()
 
