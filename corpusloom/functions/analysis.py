@@ -86,6 +86,20 @@ def _apply(name: str, toks: Column) -> Column:
     raise ValueError(f"unknown filter {name}")
 
 
+def filter_terms(rows: DataFrame, name: str, column: str = "term") -> DataFrame:
+    """One filter over rows with a term each; scalar expressions stay in generated code."""
+    if name == "lowercase":
+        return rows.withColumn(column, F.lower(column))
+    if name == "asciifolding":
+        # most tokens are ASCII and pass untouched
+        plain = F.length(column) == F.octet_length(column)
+        return rows.withColumn(column, F.when(plain, F.col(column)).otherwise(fold_ascii(F.col(column))))
+    if name == "stop":
+        return rows.where(~F.col(column).isin(STOP_WORDS))
+    low, high = map(int, name.removeprefix("length:").split("-"))
+    return rows.where(F.length(column).between(low, high))
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Tokenizer and filters in order; order matters (stop before lowercase keeps "The")."""
@@ -110,8 +124,9 @@ class Analyzer:
     def analyze(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id_col, term): a row for each token."""
         first = next((i for i, f in enumerate(self.filters) if f in STEMMERS), len(self.filters))
-        toks = Analyzer(self.tokenizer, tuple(self.filters[:first])).expression(F.col(text_col))
-        rows = df.select(id_col, F.explode(toks).alias("term"))
+        rows = df.select(id_col, F.explode(tokens(F.col(text_col), self.tokenizer)).alias("term"))
+        for f in self.filters[:first]:
+            rows = filter_terms(rows, f)
         rest = list(self.filters[first:])
         if not rest:
             return rows
@@ -120,8 +135,7 @@ class Analyzer:
             if name in STEMMERS:
                 mapped = mapped.withColumn("_out", _stem_udf(name)(F.col("_out")))
             else:
-                kept = _apply(name, F.array("_out"))
-                mapped = mapped.withColumn("_out", F.get(kept, F.lit(0))).where("_out IS NOT NULL")
+                mapped = filter_terms(mapped, name, "_out")
         return rows.join(mapped, "term").select(id_col, F.col("_out").alias("term"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import analysis as an
 from corpusloom.operators import laws, report, search, vocab
 from corpusloom.operators import postings as po
-from corpusloom.scratch import scratch_path
+from corpusloom.scratch import scratch_path, stored
 from corpusloom.sources import corpus as src
 
 QUERIES: dict = {}
@@ -300,15 +300,20 @@ def _grid_sql() -> str:
 
 @query(_grid_sql())
 def t22_analyzer_grid(spark, table):
-    docs = table("documents")
-    variants = []
-    for t, c in _grid_parts():
-        toks = an.Analyzer(t, c).expression(F.col("text"))
-        variants.append(docs.select(F.lit(t).alias("tokenizer"), F.lit("-".join(c)).alias("filters"), F.explode(toks).alias("term")))
-    all_ = variants[0]
-    for v in variants[1:]:
-        all_ = all_.unionByName(v)
-    freq = all_.groupBy("tokenizer", "filters", "term").agg(F.count("*").alias("freq"))
+    # each text is tokenised once for each tokenizer; filters then work on the distinct tokens and their counts
+    raw = None
+    for t in ("whitespace", "letter", "standard", "classic"):
+        one = an.Analyzer(t, ()).analyze(table("documents")).select(F.lit(t).alias("tokenizer"), "term")
+        raw = one if raw is None else raw.unionByName(one)
+    raw = stored(raw.groupBy("tokenizer", "term").agg(F.count("*").alias("freq")), "grid")
+    all_ = None
+    for c in sorted({c for _, c in _grid_parts()}):
+        one = raw
+        for f in c:
+            one = an.filter_terms(one, f)
+        one = one.withColumn("filters", F.lit("-".join(c)))
+        all_ = one if all_ is None else all_.unionByName(one)
+    freq = all_.groupBy("tokenizer", "filters", "term").agg(F.sum("freq").alias("freq"))
     return freq.groupBy("tokenizer", "filters").agg(F.count("*").alias("n_unique"), F.sum("freq").alias("n_total"))
 
 

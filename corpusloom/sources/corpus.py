@@ -54,17 +54,18 @@ def parse_count_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def parse_vectors(lines: DataFrame, column: str = "value") -> DataFrame:
     """(doc, term) of "doc:w1 w2 ..." lines; the document's name may hold colons of its own."""
-    name = F.regexp_extract(column, r"^(.*):[^:]*$", 1)
-    words = F.filter(F.split(F.substring_index(column, ":", -1), " "), lambda w: w != "")
-    return lines.where(F.contains(F.col(column), F.lit(":"))).select(name.alias("doc"), F.explode(words).alias("term"))
+    parts = F.split(F.col(column), ":")
+    split_ = lines.where(F.contains(F.col(column), F.lit(":"))).select(parts.alias("_p"))
+    name = F.array_join(F.slice("_p", F.lit(1), F.size("_p") - 1), ":")
+    return split_.select(name.alias("doc"), F.explode(F.split(F.element_at("_p", -1), " ")).alias("term")).where("term <> ''")
 
 
 def parse_prototypes(lines: DataFrame, column: str = "value") -> DataFrame:
     """(cluster, term, p) of "CLASS:w+p w+p ..." lines."""
-    parts = lines.where(F.contains(F.col(column), F.lit(":"))).select(
-        F.substring_index(column, ":", 1).alias("cluster"), F.explode(F.filter(F.split(F.substring_index(column, ":", -1), " "), lambda w: w != "")).alias("w")
-    )
-    return parts.select("cluster", F.substring_index("w", "+", 1).alias("term"), F.substring_index("w", "+", -1).cast("double").alias("p"))
+    halves = lines.where(F.contains(F.col(column), F.lit(":"))).select(F.split(F.col(column), ":").alias("_p"))
+    parts = halves.select(F.col("_p")[0].alias("cluster"), F.explode(F.split(F.col("_p")[1], " ")).alias("w")).where("w <> ''")
+    pair = F.split("w", r"\+")
+    return parts.select("cluster", pair[0].alias("term"), pair[1].cast("double").alias("p"))
 
 
 def parse_run_logs(lines: DataFrame, file: str = "file", order: str = "line", value: str = "value") -> DataFrame:
