@@ -17,12 +17,18 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; small document tables are spread over the cores, as their texts are costly to analyze."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return src.spread(df, "doc_id") if name == "documents" else df
+
+
 def query(sql: str | None = None):
     """Registers a function (spark, table reader) under its name, with its SQL."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, lambda name: read(spark, sf_dir, name))
 
         QUERIES[f.__name__] = run
         if sql:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
 from corpusloom.operators import community, components, generators, kmeans, laws, pagerank, paths, postings, tfidf, triangles, vocab
-from corpusloom.plans.text_queries import BAND_SQL, CORPUS_SQL, GROWTH_SQL, POSTINGS_SQL, ZIPF_SQL, corpus, growth_table, letter_postings, zipf_table
+from corpusloom.plans.text_queries import BAND_SQL, CORPUS_SQL, GROWTH_SQL, POSTINGS_SQL, ZIPF_SQL, corpus, growth_table, letter_postings, read, zipf_table
 from corpusloom.scratch import stored
 
 QUERIES: dict = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, lambda name: read(spark, sf_dir, name))
 
         QUERIES[f.__name__] = run
         if sql:

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Inputs under this size may sit in a single row group; dealing them out costs next to nothing.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, key: str, most: int = SPREAD_BYTES) -> DataFrame:
+    """df dealt out over all cores if it is small; larger inputs have row groups enough and stay where they are."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def read_tree(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """(path, text) of all files below a folder, decoded; a trailing slash does not matter."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path.rstrip("/"))
