@@ -176,3 +176,44 @@ def last_components(path: Column, n: int = 2) -> Column:
 def strip_update_suffix(path: Column) -> Column:
     """The category of a path: the part before the last slash, without a .updates suffix."""
     return F.regexp_replace(F.regexp_replace(path, r"/[^/]*$", ""), r"\.updates.*$", "")
+
+
+def filter_grid(filters: Sequence[str] = ("lowercase", "asciifolding", "stop", "porter_stem", "kstem", "snowball")) -> list[tuple[str, ...]]:
+    """All ordered subsets of filters, in the order of their bit masks."""
+    return [tuple(f for j, f in enumerate(filters) if mask >> j & 1) for mask in range(1 << len(filters))]
+
+
+def _python_filter(name: str, term: str) -> str | None:
+    if name == "lowercase":
+        return term.lower()
+    if name == "asciifolding":
+        return term if term.isascii() else term.translate(_FOLD)
+    if name == "stop":
+        return None if term in STOP_WORDS else term
+    return STEMMERS[name](term)
+
+
+_FOLD = str.maketrans(dict(zip(ACCENTED, BASE)) | EXPANDED)
+
+
+def grid_terms(vocabulary: DataFrame, combos: Sequence[Sequence[str]]) -> DataFrame:
+    """(filters, term, freq) of a vocabulary (term, freq) under many chains, in one pass over the distinct terms."""
+    chains = [list(c) for c in combos]
+
+    @F.pandas_udf("array<string>")
+    def apply(terms: pd.Series) -> pd.Series:
+        def all_of(term: str) -> list[str | None]:
+            out = []
+            for chain in chains:
+                x: str | None = term
+                for f in chain:
+                    x = _python_filter(f, x) if x is not None else None
+                out.append(x)
+            return out
+
+        return terms.map(all_of)
+
+    names = F.array(*(F.lit("-".join(c)) for c in chains))
+    both = vocabulary.select("freq", F.explode(F.arrays_zip(names.alias("filters"), apply("term").alias("term"))).alias("z"))
+    got = both.select(F.col("z.filters").alias("filters"), F.col("z.term").alias("term"), "freq").where("term IS NOT NULL AND term <> ''")
+    return got.groupBy("filters", "term").agg(F.sum("freq").alias("freq"))

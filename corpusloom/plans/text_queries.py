@@ -323,6 +323,16 @@ def t22_analyzer_grid(spark, table):
     return freq.groupBy("tokenizer", "filters").agg(F.count("*").alias("n_unique"), F.sum("freq").alias("n_total"))
 
 
+@query()
+def t22_filter_grid_with_stemmers(spark, table):
+    freq = stored(_counts(table, an.Analyzer("standard", ())), "standard")
+    terms = stored(an.grid_terms(freq, an.filter_grid()), "terms")
+    totals = terms.groupBy("filters").agg(F.count("*").alias("n_unique"), F.sum("freq").alias("n_total"))
+    rank = F.row_number().over(Window.partitionBy("filters").orderBy(F.desc("freq"), "term"))
+    top = terms.withColumn("r", rank).where("r <= 10").groupBy("filters").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term", "freq"))), lambda x: F.concat_ws("=", x["term"], x["freq"].cast("string"))), " ").alias("top"))
+    return totals.join(top, "filters")
+
+
 FILTER_NAMES = ["-".join(c) for n in range(4) for c in itertools.combinations(("lowercase", "kstem", "snowball", "stop"), n)]
 
 
