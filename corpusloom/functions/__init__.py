@@ -1 +1 @@
-
+"""Expressions on texts and tokens."""

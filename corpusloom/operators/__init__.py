@@ -1 +1 @@
-
+"""Operators over documents, vectors and graphs."""

@@ -1 +1 @@
-
+"""Registered queries with their SQL."""

@@ -1 +1 @@
-
+"""No stream operators are needed: all sources to match are bounded."""
