@@ -47,7 +47,7 @@ BUCKET_BITS = 18
 SEGMENT_WORDS = 8
 DIMENSIONS = 8
 #: A document's margin is the mean of those of this many worst segments.
-TOP = 3
+TOP = 2
 #: Margins beyond this count as this.
 CLIP = 5.0
 THRESHOLD = 0.7
