@@ -75,7 +75,9 @@ def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.benchmark_items(table(spark, sf_dir, "benchmark"))
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), items)
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), items)
+    names = F.array_join(F.transform("item_ids", lambda i: F.concat(F.lit("item "), i.cast("string"))), ", ")
+    return found.select("doc_id", "contaminated", "n_items", names.alias("items"), "least_distance")
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
