@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -44,3 +45,13 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
+    """df stored, and marked for broadcast if its rows, counted, are at most most_rows.
+
+    For narrow tables that are joined onto something already partitioned as
+    needed; larger ones join by shuffles.
+    """
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
