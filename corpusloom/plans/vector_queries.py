@@ -95,29 +95,44 @@ def v08_count_vectors(spark, table):
 
 NETWORK_SQL = f"{SMOOTH_SQL}, e AS (SELECT a.doc_id AS src, b.doc_id AS dst, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) > 0.6)"
 THRESHOLD = 0.6
+#: The reference keeps pairs whose cosine distance is under 0.7.
+REFERENCE_THRESHOLD = 1 - 0.7
 
 
-def network(table) -> DataFrame:
+def network(table, threshold: float = THRESHOLD) -> DataFrame:
     """Edges of documents with cosine over the threshold, stored once."""
     weights = stored(smooth_weights(table), "weights")
-    return stored(tfidf.similarity_join(weights, THRESHOLD).select("src", "dst", "similarity"), "network")
+    return stored(tfidf.similarity_join(weights, threshold).select("src", "dst", "similarity"), "network")
 
 
-@query(f"WITH {NETWORK_SQL} SELECT src, dst, round(s, 6) AS similarity FROM e")
-def v09_j05_similarity_network(spark, table):
-    return network(table).withColumn("similarity", F.round("similarity", 6))
+def network_query(sql: str | None = None):
+    """Registers a query of the network twice: at the first threshold, and as NAME_reference at the reference's."""
+    def add(f):
+        def at_reference(spark: SparkSession, table) -> DataFrame:
+            return f(spark, table, REFERENCE_THRESHOLD)
+
+        at_reference.__name__ = f"{f.__name__}_reference"
+        query(sql and sql.replace("> 0.6)", "> 1 - 0.7)"))(at_reference)
+        return query(sql)(f)
+
+    return add
 
 
-@query(f"WITH {NETWORK_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e) SELECT src AS node, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM b GROUP BY src")
-def k06_adjacency(spark, table):
-    return tfidf.adjacency(network(table)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+@network_query(f"WITH {NETWORK_SQL} SELECT src, dst, round(s, 6) AS similarity FROM e")
+def v09_j05_similarity_network(spark, table, threshold=THRESHOLD):
+    return network(table, threshold).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {NETWORK_SQL} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e")
-def s14_k06_gexf(spark, table):
+@network_query(f"WITH {NETWORK_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e) SELECT src AS node, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM b GROUP BY src")
+def k06_adjacency(spark, table, threshold=THRESHOLD):
+    return tfidf.adjacency(network(table, threshold)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+@network_query(f"WITH {NETWORK_SQL} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e")
+def s14_k06_gexf(spark, table, threshold=THRESHOLD):
     from corpusloom.sources import corpus as src
 
-    edges = network(table)
+    edges = network(table, threshold)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return src.read_gexf(src.gexf_lines(nodes, edges))
 
@@ -330,22 +345,22 @@ COMPONENT_SQL = f"""{NET}, both_ways AS (SELECT src, dst FROM e UNION SELECT dst
 reach AS (SELECT node, node AS seen FROM nodes UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
 
 
-@query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT node, component FROM comp")
-def g06_connected_components(spark, table):
-    return components.connected_components(network(table))
+@network_query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT node, component FROM comp")
+def g06_connected_components(spark, table, threshold=THRESHOLD):
+    return components.connected_components(network(table, threshold))
 
 
-@query(f"WITH RECURSIVE {COMPONENT_SQL}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), keep AS (SELECT node FROM comp WHERE component IN (SELECT component FROM big)) SELECT src, dst FROM e WHERE src IN (SELECT node FROM keep) AND dst IN (SELECT node FROM keep)")
-def g07_largest_component(spark, table):
-    edges = network(table)
+@network_query(f"WITH RECURSIVE {COMPONENT_SQL}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), keep AS (SELECT node FROM comp WHERE component IN (SELECT component FROM big)) SELECT src, dst FROM e WHERE src IN (SELECT node FROM keep) AND dst IN (SELECT node FROM keep)")
+def g07_largest_component(spark, table, threshold=THRESHOLD):
+    edges = network(table, threshold)
     parts = stored(components.connected_components(edges), "parts")
     largest = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return triangles.induced(edges, parts.join(F.broadcast(largest.select("component")), "component").select("node"))
 
 
-@query(f"WITH {NET} SELECT d.degree, count(deg.node) AS n FROM (SELECT unnest(range(0, (SELECT max(degree) FROM deg) + 1)) AS degree) d LEFT JOIN deg USING (degree) GROUP BY d.degree")
-def g08_degree_histogram(spark, table):
-    return triangles.degree_histogram(triangles.degrees(network(table)))
+@network_query(f"WITH {NET} SELECT d.degree, count(deg.node) AS n FROM (SELECT unnest(range(0, (SELECT max(degree) FROM deg) + 1)) AS degree) d LEFT JOIN deg USING (degree) GROUP BY d.degree")
+def g08_degree_histogram(spark, table, threshold=THRESHOLD):
+    return triangles.degree_histogram(triangles.degrees(network(table, threshold)))
 
 
 TRIANGLE_SQL = f"""{NET}, tri AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst),
@@ -353,65 +368,65 @@ per AS (SELECT node, count(*) AS t FROM (SELECT x AS node FROM tri UNION ALL SEL
 loc AS (SELECT node, degree, coalesce(t, 0) AS triangles, CASE WHEN degree > 1 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM deg LEFT JOIN per USING (node))"""
 
 
-@query(f"WITH {TRIANGLE_SQL} SELECT node, degree, triangles, round(clustering, 9) AS clustering FROM loc")
-def g10_local_clustering(spark, table):
-    return triangles.local_clustering(network(table)).withColumn("clustering", F.round("clustering", 9))
+@network_query(f"WITH {TRIANGLE_SQL} SELECT node, degree, triangles, round(clustering, 9) AS clustering FROM loc")
+def g10_local_clustering(spark, table, threshold=THRESHOLD):
+    return triangles.local_clustering(network(table, threshold)).withColumn("clustering", F.round("clustering", 9))
 
 
-@query(f"WITH {TRIANGLE_SQL} SELECT round(sum(triangles) / sum(degree * (degree - 1) / 2.0), 9) AS transitivity, round(avg(clustering), 9) AS average_clustering FROM loc")
-def g09_transitivity(spark, table):
-    got = triangles.transitivity(triangles.local_clustering(network(table)))
+@network_query(f"WITH {TRIANGLE_SQL} SELECT round(sum(triangles) / sum(degree * (degree - 1) / 2.0), 9) AS transitivity, round(avg(clustering), 9) AS average_clustering FROM loc")
+def g09_transitivity(spark, table, threshold=THRESHOLD):
+    got = triangles.transitivity(triangles.local_clustering(network(table, threshold)))
     return got.select(F.round("transitivity", 9).alias("transitivity"), F.round("average_clustering", 9).alias("average_clustering"))
 
 
-@query(f"WITH {NET} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM nodes), 9) AS average_degree")
-def g15_graph_info(spark, table):
-    edges = network(table)
+@network_query(f"WITH {NET} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM nodes), 9) AS average_degree")
+def g15_graph_info(spark, table, threshold=THRESHOLD):
+    edges = network(table, threshold)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return triangles.graph_info(edges, nodes).withColumn("average_degree", F.round("average_degree", 9))
 
 
-@query(f"""WITH RECURSIVE {NET}, sh AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e)),
+@network_query(f"""WITH RECURSIVE {NET}, sh AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e)),
 r AS (SELECT 0 AS i, node, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes UNION ALL
 SELECT i + 1, sh.dst, 0.85 * sum(p * share) + 0.15 / (SELECT count(*) FROM nodes) FROM r JOIN sh ON sh.src = r.node WHERE i < 30 GROUP BY i, sh.dst) SELECT node AS id, round(p, 9) AS rank FROM r WHERE i = 30""")
-def g05_undirected_pagerank(spark, table):
-    edges = network(table)
+def g05_undirected_pagerank(spark, table, threshold=THRESHOLD):
+    edges = network(table, threshold)
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return pagerank.pagerank(nodes, pagerank.symmetric(edges), (0.85,), 30, None, "redistribute").select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"WITH {NET} SELECT round(regr_slope(ln(n), ln(degree)), 6) AS slope, round(regr_intercept(ln(n), ln(degree)), 6) AS intercept, round(regr_r2(ln(n), ln(degree)), 6) AS r2 FROM (SELECT degree, count(*) AS n FROM deg GROUP BY degree)")
-def m07_power_law_log_log(spark, table):
-    hist = triangles.degree_histogram(triangles.degrees(network(table)))
+@network_query(f"WITH {NET} SELECT round(regr_slope(ln(n), ln(degree)), 6) AS slope, round(regr_intercept(ln(n), ln(degree)), 6) AS intercept, round(regr_r2(ln(n), ln(degree)), 6) AS r2 FROM (SELECT degree, count(*) AS n FROM deg GROUP BY degree)")
+def m07_power_law_log_log(spark, table, threshold=THRESHOLD):
+    hist = triangles.degree_histogram(triangles.degrees(network(table, threshold)))
     return laws.log_log_fit(hist, "degree", "n").select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")))
 
 
-@query()
-def m07_power_law_fit(spark, table):
-    (a, gamma), cost = laws.fit_power(stored(triangles.degree_histogram(triangles.degrees(network(table))), "degrees"))
+@network_query()
+def m07_power_law_fit(spark, table, threshold=THRESHOLD):
+    (a, gamma), cost = laws.fit_power(stored(triangles.degree_histogram(triangles.degrees(network(table, threshold))), "degrees"))
     return spark.createDataFrame([(a, gamma, cost)], "a double, gamma double, cost double")
 
 
-@query(f"WITH {NET} SELECT CAST(floor(degree / 5.0) AS BIGINT) AS bin, count(*) AS n FROM deg GROUP BY 1")
-def m09_degree_bins(spark, table):
-    return laws.histogram(triangles.degrees(network(table)), "degree", 5.0)
+@network_query(f"WITH {NET} SELECT CAST(floor(degree / 5.0) AS BIGINT) AS bin, count(*) AS n FROM deg GROUP BY 1")
+def m09_degree_bins(spark, table, threshold=THRESHOLD):
+    return laws.histogram(triangles.degrees(network(table, threshold)), "degree", 5.0)
 
 
-@query()
-def g13_communities(spark, table):
-    edges = network(table)
+@network_query()
+def g13_communities(spark, table, threshold=THRESHOLD):
+    edges = network(table, threshold)
     labels = stored(community.communities(edges), "communities")
     return labels.withColumn("modularity", F.lit(community.modularity(edges, labels)))
 
 
-@query(f"WITH RECURSIVE {COMPONENT_SQL}, z AS (SELECT component, count(*) AS n FROM comp GROUP BY 1) SELECT count(*) AS n_communities, min(n) AS min_size, max(n) AS max_size, arg_min(component, (-n, component)) AS largest FROM z")
-def g14_community_sizes(spark, table):
-    return community.size_summary(components.connected_components(network(table)).withColumnRenamed("component", "community"))
+@network_query(f"WITH RECURSIVE {COMPONENT_SQL}, z AS (SELECT component, count(*) AS n FROM comp GROUP BY 1) SELECT count(*) AS n_communities, min(n) AS min_size, max(n) AS max_size, arg_min(component, (-n, component)) AS largest FROM z")
+def g14_community_sizes(spark, table, threshold=THRESHOLD):
+    return community.size_summary(components.connected_components(network(table, threshold)).withColumnRenamed("component", "community"))
 
 
-@query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT component AS community, source AS category, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY 1, 2")
-def a16_j08_category_mix(spark, table):
-    labels = components.connected_components(network(table)).withColumnRenamed("component", "community")
+@network_query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT component AS community, source AS category, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY 1, 2")
+def a16_j08_category_mix(spark, table, threshold=THRESHOLD):
+    labels = components.connected_components(network(table, threshold)).withColumnRenamed("component", "community")
     return community.category_mix(labels, table("documents").select(F.col("doc_id").alias("node"), F.col("source").alias("category")))
 
 

@@ -159,3 +159,16 @@ def test_kmeans_converges_on_a_partition(spark):
 @pytest.mark.parametrize("name", ["g01_unknown_endpoints", "g02_pagerank_as_dataframes", "g04_pagerank_sweep", "g06_connected_components", "g09_transitivity", "m03_kmeans_three_iterations", "r12_top_attributes", "g11_average_path_length"])
 def test_queries_equal_sql(spark, oracle, name):
     oracle(spark, name)
+
+
+@pytest.mark.parametrize("name", ["v09_j05_similarity_network_reference", "g08_degree_histogram_reference"])
+def test_network_at_the_reference_threshold_equals_sql(spark, oracle, name):
+    oracle(spark, name)
+
+
+def test_reference_network_keeps_pairs_of_distance_under_seven_tenths(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["v09_j05_similarity_network_reference"](spark, "/root/testdata/sf0.001").agg(F.min("similarity"), F.count("*")).first()
+    assert 0.3 < got[0] <= 0.6
+    assert {f"{n}_reference" for n in ("k06_adjacency", "s14_k06_gexf", "g05_undirected_pagerank", "g06_connected_components", "g13_communities", "a16_j08_category_mix", "m09_degree_bins")} <= set(entry.queries())
