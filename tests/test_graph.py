@@ -172,3 +172,24 @@ def test_reference_network_keeps_pairs_of_distance_under_seven_tenths(spark):
     got = entry.queries()["v09_j05_similarity_network_reference"](spark, "/root/testdata/sf0.001").agg(F.min("similarity"), F.count("*")).first()
     assert 0.3 < got[0] <= 0.6
     assert {f"{n}_reference" for n in ("k06_adjacency", "s14_k06_gexf", "g05_undirected_pagerank", "g06_connected_components", "g13_communities", "a16_j08_category_mix", "m09_degree_bins")} <= set(entry.queries())
+
+
+def test_communities_are_the_same_at_every_size(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 14, (24, 2)).tolist() if a != b} | {(20 + i, 20 + j) for i in range(5) for j in range(i + 1, 5)} | {(3, 20)})
+    one, other = ({r["node"]: r["community"] for r in community.communities(graph(spark, pairs), local_edges=n).collect()} for n in (10_000, 0))
+    assert one == other and set(one) == {x for p in pairs for x in p}
+
+
+def test_communities_end_where_no_merger_raises_modularity(spark):
+    rng = np.random.default_rng(6)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 400, (900, 2)).tolist() if a != b} | {(i, i + 1) for i in range(1000, 1400)})
+    got = {r["node"]: r["community"] for r in community.communities(graph(spark, pairs)).collect()}
+    size, between = {}, {}
+    for a, b in pairs:
+        for c in (got[a], got[b]):
+            size[c] = size.get(c, 0) + 1
+        key = tuple(sorted((got[a], got[b])))
+        between[key] = between.get(key, 0) + 1
+    assert all(c == min(v for v, x in got.items() if x == c) for c in size)
+    assert all(w - size[a] * size[b] / (2 * len(pairs)) <= 1e-6 for (a, b), w in between.items() if a != b)
