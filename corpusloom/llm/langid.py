@@ -8,14 +8,14 @@ context decides among the bytes not yet excluded (escape method C with full
 exclusion), down to a uniform choice.  Statistics are frozen after training, so
 a text has an exact code length under each language; the shortest wins.
 
-As they are frozen, the trees are compiled into one row of 256 code lengths for
-each context and language, and a text is scored with a few table lookups a byte.
-Capitals A-Z count as small letters.
+As they are frozen, each language's tree is compiled into sorted tables of its own:
+the code lengths of the bytes seen in each context, and the cost of its escape.  A
+block of text is scored by its distinct runs of four bytes.  Capitals A-Z count as
+small letters.
 
-The trees are counted by the executors over a hash sample of at most
-``fit_rows`` labelled rows, whole texts; ``max_counts`` bounds the counts of each
-order that the driver takes (the most frequent), ``max_cells`` the compiled
-table.
+The trees are counted by the executors over a hash sample of about ``fit_rows``
+labelled rows of each language, whole texts (all rows of a language that has no
+more).  All counts of the samples are kept: no language or context is dropped.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties
 go to the first language in order; no labelled rows at all: every text is ``und``
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -74,28 +75,59 @@ def count_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.int64), np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
 
+@dataclass
+class Tree:
+    """The contexts of one language: one byte dense, two and three bytes as sorted codes."""
+
+    one: np.ndarray  # last byte, next byte -> code length
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # contexts, cost of the escape, (context, byte) seen, code length
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Code lengths of (three bytes of context, byte) codes."""
+        out = self.one[codes & 0xFFFF]
+        for order, (contexts, escape, seen, bits) in zip((2, 3), self.orders):
+            if not len(contexts):
+                continue
+            code = codes & ((1 << 8 * (order + 1)) - 1)
+            at = np.minimum(np.searchsorted(contexts, code >> 8), len(contexts) - 1)
+            out = np.where(contexts[at] == code >> 8, out + escape[at], out)
+            at = np.minimum(np.searchsorted(seen, code), len(seen) - 1)
+            out = np.where(seen[at] == code, bits[at], out)
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
-    pair: np.ndarray  # two bytes -> context number
-    row: np.ndarray  # context number, third byte -> row
-    bits: np.ndarray  # language, row, next byte -> code length
+    trees: list[Tree]
+
+    @property
+    def bits(self) -> list[np.ndarray]:
+        """For each language the code lengths of all 256 bytes after each of its contexts."""
+        out = []
+        for tree in self.trees:
+            contexts = [np.arange(256), *(o[0] for o in tree.orders)]
+            rows = []
+            for order, c in enumerate(contexts, 1):
+                part = Tree(tree.one, tree.orders[: order - 1])
+                rows.append(part.lengths((c[:, None] << 8 | np.arange(256)).ravel()).reshape(-1, 256))
+            out.append(np.concatenate(rows))
+        return out
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths (text, language) in bits, and whether the text has a letter."""
         total, letters = np.zeros((len(column), len(self.langs))), np.zeros(len(column), bool)
-        flat = self.bits.reshape(len(self.langs), -1)
         for first, data, offsets in slices(column):
             if not len(data):
                 continue
             raw, data = data, _LOWER[data]
-            p1, p2, p3 = _previous(data, offsets)
-            rows = self.row[self.pair[(p2.astype(np.int32) << 8) | p1], p3]
-            cells = (rows << 8) | data
+            p1, p2, p3 = (x.astype(np.uint32) for x in _previous(data, offsets))
+            where, codes = pd.factorize((p3 << 24) | (p2 << 16) | (p1 << 8) | data)
+            codes = codes.astype(np.int64)
             full = np.flatnonzero(np.diff(offsets))
             heads = offsets[full]
-            for k in range(len(self.langs)):
-                total[first + full, k] = np.add.reduceat(flat[k][cells], heads, dtype=np.float64)
+            for k, tree in enumerate(self.trees):
+                total[first + full, k] = np.add.reduceat(tree.lengths(codes)[where], heads, dtype=np.float64)
             letters[first + full] = np.logical_or.reduceat(_LETTER[data], heads)
             for i in full[~letters[first + full]]:
                 letters[first + i] = bool(_ANY_LETTER.search(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
@@ -114,60 +146,62 @@ def _ppm(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, mixed, lower)
 
 
-def build(langs: list[str], trigrams: list, fourgrams: list, max_cells: int) -> Model:
-    """trigrams: rows (language, two bytes of context and a byte, count), complete up to rare ones; fourgrams likewise."""
-    number = {x: i for i, x in enumerate(langs)}
-    lang3 = np.array([number[r[0]] for r in trigrams], np.int64)
-    code3, n3 = (np.array([r[i] for r in trigrams], np.int64) for i in (1, 2))
-    lang4 = np.array([number[r[0]] for r in fourgrams], np.int64)
-    code4, n4 = (np.array([r[i] for r in fourgrams], np.int64) for i in (1, 2))
-    size = len(langs)
-    limit = max(256, max_cells // (256 * size))
-    pairs = np.unique(code3 >> 8)
-    if len(pairs) > limit // 2:
-        weight = np.bincount(np.searchsorted(pairs, code3 >> 8), n3)
-        pairs = np.sort(pairs[np.argsort(-weight, kind="stable")[: limit // 2]])
-    known = np.isin(code4 >> 8 & 0xFFFF, pairs)
-    lang4, code4, n4 = lang4[known], code4[known], n4[known]
-    triples, where = np.unique(code4 >> 8, return_inverse=True)
-    if len(triples) > limit - len(pairs):
-        keep = np.zeros(len(triples), bool)
-        keep[np.argsort(-np.bincount(where, n4), kind="stable")[: limit - len(pairs)]] = True
-        used = keep[where]
-        triples, lang4, code4, n4 = triples[keep], lang4[used], code4[used], n4[used]
-    bits = np.empty((size, 256 + len(pairs) + len(triples), 256), np.float32)
-    for k in range(size):
-        own = lang3 == k
-        c, n = code3[own], n3[own]
-        zero = np.bincount(c & 0xFF, n, 256)[None, :]
-        p0 = _ppm(zero, np.full((1, 256), 1 / 256))
-        one = np.bincount(c & 0xFFFF, n, 65536).reshape(256, 256)
-        p1 = _ppm(one, np.repeat(p0, 256, 0))
-        inside = np.isin(c >> 8, pairs)
-        two = np.bincount(np.searchsorted(pairs, c[inside] >> 8) * 256 + (c[inside] & 0xFF), n[inside], len(pairs) * 256).reshape(-1, 256)
-        p2 = _ppm(two, p1[pairs & 0xFF])
-        own = lang4 == k
-        c, n = code4[own], n4[own]
-        three = np.bincount(np.searchsorted(triples, c >> 8) * 256 + (c & 0xFF), n, len(triples) * 256).reshape(-1, 256)
-        p3 = _ppm(three, p2[np.searchsorted(pairs, triples & 0xFFFF)])
-        bits[k] = -np.log2(np.maximum(np.concatenate([p1, p2, p3]), 1e-12))
-    pair = np.tile(np.arange(256, dtype=np.int32), 256)  # an unknown pair falls back on its last byte
-    pair[pairs] = 256 + np.arange(len(pairs))
-    row = np.repeat(np.arange(256 + len(pairs), dtype=np.int32)[:, None], 256, 1)
-    at = 256 + np.searchsorted(pairs, triples & 0xFFFF)
-    row[at, triples >> 16] = 256 + len(pairs) + np.arange(len(triples))
-    return Model(langs, pair, row, bits)
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 20_000, max_counts: int = 200_000, max_cells: int = 8_000_000) -> Model | None:
+def _order(codes: np.ndarray, n: np.ndarray, shorter: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tables of an order from its counts; (context, byte) codes are distinct and sorted."""
+    contexts, at = np.unique(codes >> 8, return_inverse=True)
+    total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
+    # what the shorter context leaves to the bytes not seen here
+    mass = np.maximum(1 - np.bincount(at, np.exp2(-shorter.lengths(codes)), len(contexts)), 0)
+    few = np.flatnonzero(mass < 1e-3)
+    if len(few):  # a difference of near numbers: add the unseen bytes instead
+        seen = np.zeros((len(few), 256), bool)
+        own = np.isin(at, few)
+        seen[np.searchsorted(few, at[own]), codes[own] & 0xFF] = True
+        lower = np.exp2(-shorter.lengths((contexts[few][:, None] << 8 | np.arange(256)).ravel())).reshape(-1, 256)
+        mass[few] = np.where(seen, 0, lower).sum(1)
+    left = mass > 0
+    escape = np.log2(np.where(left, mass, 1)) - np.log2(np.where(left, kinds / (total + kinds), 1))
+    bits = np.log2(np.where(left, total + kinds, total))[at] - np.log2(n)
+    return contexts, escape, codes, bits
+
+
+def build(langs: list[str], trigrams: list, fourgrams: list, max_cells: int | None = None) -> Model:
+    """trigrams: rows (language, two bytes of context and a byte, count); fourgrams likewise.
+
+    All of them are kept; max_cells is no longer used.
+    """
+    def grouped(rows: list) -> dict[str, list]:
+        out: dict[str, list] = {x: [] for x in langs}
+        for r in rows:
+            out[r[0]].append((r[1], r[2]))
+        return out
+
+    three, four = grouped(trigrams), grouped(fourgrams)
+    return Model(langs, [tree(*(np.array(x[k], np.int64).reshape(-1, 2).T for x in (three, four))) for k in langs])
+
+
+def tree(trigrams: np.ndarray, fourgrams: np.ndarray) -> Tree:
+    """The tree of one language from (codes, counts) of distinct three and four byte runs."""
+    c, n = trigrams
+    p0 = _ppm(np.bincount(c & 0xFF, n, 256)[None, :], np.full((1, 256), 1 / 256))
+    p1 = _ppm(np.bincount(c & 0xFFFF, n, 65536).reshape(256, 256), np.repeat(p0, 256, 0))
+    out = Tree(-np.log2(p1).ravel(), [])
+    for c, n in (trigrams, fourgrams):
+        by = np.argsort(c)
+        out.orders.append(_order(c[by], n[by], out))
+    return out
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 20_000) -> Model | None:
     """Count the context trees over labelled rows that are not held out; None if there are none."""
     usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = usable.select(lang_col).count()
+    rows = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not rows:
         return None
-    share = min(1.0, fit_rows / rows)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.lit(1 << 20))
-    sample = usable.where(draw < int(share * (1 << 20)) + (share == 1.0)).select(lang_col, text_col)
+    # the draw of a row without an id, or of a copied id, is that of its text
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(8)), F.lit(1 << 40))
+    shares = docs.sparkSession.createDataFrame([(k, (1 << 40) if n <= fit_rows else int(fit_rows / n * (1 << 40))) for k, n in rows.items()], "_lang string, _share long")
+    sample = usable.join(F.broadcast(shares), F.col(lang_col) == F.col("_lang")).where(draw < F.col("_share")).select(F.col("_lang"), text_col)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,15 +210,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 code, n = count_grams(batch.column(1).filter(pa.compute.equal(names, name)))
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
 
-    grams = sample.mapInArrow(convert, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-    def top(of: DataFrame) -> list:
-        return [tuple(r) for r in of.orderBy(F.desc("n"), "lang", "code").limit(max_counts).collect()]
-
-    short = grams.groupBy("lang", F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n"))
-    trigrams, fourgrams = top(short), top(grams)
-    langs = sorted({r[0] for r in trigrams})
-    return build(langs, trigrams, [r for r in fourgrams if r[0] in set(langs)], max_cells) if langs else None
+    grams = sample.mapInArrow(convert, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    langs, trees = sorted(grams["lang"].unique().to_pylist()), []
+    for name in langs:
+        own = grams.filter(pa.compute.equal(grams["lang"], name))
+        code, n = own["code"].to_numpy(), own["n"].to_numpy()
+        short, where = np.unique(code & 0xFFFFFF, return_inverse=True)
+        trees.append(tree(np.array([short, np.bincount(where, n).astype(np.int64)]), np.array([code, n])))
+    return Model(langs, trees) if langs else None
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

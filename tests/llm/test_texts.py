@@ -96,6 +96,48 @@ def test_code_tables_are_distributions():
     assert abs((b - a) - -np.log2(2 / 3)) < 1e-4
 
 
+def _ppm_bits(text, counts):
+    """Code length of a text by the definition: the longest known context, escapes with exclusion, down to uniform."""
+    def chance(context, byte, out):
+        if context is None:
+            return 1 / (256 - len(out)) if byte not in out else 0.0
+        seen = {b: n for b, n in counts.get(context, {}).items()}
+        lower = context[1:] if context else None
+        if not seen:
+            return chance(lower, byte, out)
+        total, kinds = sum(seen.values()), len(seen)
+        rest = 1 - sum(chance(lower, b, set()) for b in seen)
+        full = rest > 1e-12
+        if byte in seen:
+            return seen[byte] / (total + kinds if full else total)
+        return kinds / (total + kinds) * chance(lower, byte, set()) / rest
+
+    data = b"\0\0\0" + text.encode()
+    return sum(-np.log2(chance(data[i - 3 : i], data[i], set())) for i in range(3, len(data)))
+
+
+def test_every_language_keeps_its_contexts_and_code_lengths(spark):
+    rng = np.random.default_rng(7)
+    alphabets = ["".join(chr(97 + (i * 7 + j * (i + 3)) % 26) for j in range(9)) for i in range(60)]
+    rows = [(i * 1000 + j, " ".join("".join(rng.choice(list(a), 4)) for _ in range(20)), f"l{i:02d}") for i, a in enumerate(alphabets) for j in range(4)]
+    rows += [(900_000 + j, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789 "), 400)), "rich") for j in range(300)] + [(990_000 + j, "qzx zqx xqz", "rare") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    model = langid.fit(docs)
+    assert model.langs == sorted({r[2] for r in rows if not _held(r[0])}) and "rare" in model.langs
+    for name in ("l00", "rare"):
+        counts = {}
+        for k, text, lang in rows:
+            if lang == name and not _held(k):
+                data = b"\0\0\0" + text.encode()
+                for i in range(3, len(data)):
+                    for size in range(4):
+                        seen = counts.setdefault(data[i - size : i], {})
+                        seen[data[i]] = seen.get(data[i], 0) + 1
+        texts = ["qzx zqx", "abc xyz ?", rows[0][1][:30]]
+        got = model.score(pa.array(texts))[0][:, model.langs.index(name)]
+        assert np.allclose(got, [_ppm_bits(t, counts) for t in texts], rtol=1e-6)
+
+
 # ---- toxicity
 
 def test_toxicity_generalises_to_misspellings():
