@@ -82,6 +82,14 @@ def v06_related_documents(spark, table):
     return found.join(docs.select("doc_id", "path"), "doc_id").select("path", "similarity")
 
 
+@query(f"""WITH {TFIDF_SQL}, asked AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 50 = 0), s AS (SELECT x.doc_id AS query_id, y.doc_id, sum(x.weight * y.weight) AS s FROM v x JOIN v y USING (term) WHERE x.doc_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, doc_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS r FROM (
+SELECT query_id, d.doc_id, round(coalesce(s, 0), 9) AS similarity FROM asked CROSS JOIN documents d LEFT JOIN s USING (query_id, doc_id))) WHERE r <= 10""")
+def v06_related_documents_query_set(spark, table):
+    docs = table("documents").select("doc_id")
+    return tfidf.related_to_each(_weights(table), docs.where("doc_id % 50 = 0"), docs)
+
+
 @query(f"WITH {SMOOTH_SQL} SELECT doc_id, term, round(weight, 9) AS weight FROM v")
 def v07_smooth_tfidf(spark, table):
     return smooth_weights(table).withColumn("weight", F.round("weight", 9))

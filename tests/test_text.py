@@ -206,3 +206,12 @@ def test_report_tables(spark):
 @pytest.mark.parametrize("name", ["top_words", "s07_term_vectors", "s13_run_logs", "t04_classic", "t16_posix_words", "t22_analyzer_grid", "p02_query_string", "p03_highlights", "r04_rank_frequency", "r05_r06_vocabulary_growth", "r10_parameter_grid_stats", "v06_related_documents"])
 def test_queries_equal_sql(spark, oracle, name):
     oracle(spark, name)
+
+
+def test_related_takes_a_query_set(spark, oracle):
+    oracle(spark, "v06_related_documents_query_set")
+    oracle(spark, "v06_related_documents_query_set", "sf0.01")
+    weights = spark.createDataFrame([(5, "a", 1.0), (6, "a", 0.6), (6, "b", 0.8), (9, "c", 1.0)], "doc_id long, term string, weight double")
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 5, 6, 9)], "doc_id long")
+    got = tfidf.related_to_each(weights, docs.where("doc_id IN (1, 5, 6)"), docs, 3)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0.0), (1, 2, 0.0), (1, 5, 0.0), (5, 1, 0.0), (5, 5, 1.0), (5, 6, 0.6), (6, 1, 0.0), (6, 5, 0.6), (6, 6, 1.0)]
