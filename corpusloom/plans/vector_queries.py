@@ -438,6 +438,17 @@ def a16_j08_category_mix(spark, table, threshold=THRESHOLD):
     return community.category_mix(labels, table("documents").select(F.col("doc_id").alias("node"), F.col("source").alias("category")))
 
 
+@network_query()
+def g14_louvain_community_sizes(spark, table, threshold=THRESHOLD):
+    return community.size_summary(community.communities(network(table, threshold)))
+
+
+@network_query()
+def a16_louvain_category_mix(spark, table, threshold=THRESHOLD):
+    labels = community.communities(network(table, threshold))
+    return community.category_mix(labels, table("documents").select(F.col("doc_id").alias("node"), F.col("source").alias("category")))
+
+
 # ---- link graph of pages
 
 LINK_SQL = r"""l AS (SELECT DISTINCT 'p' || CAST(page_id AS VARCHAR) AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages),

@@ -193,3 +193,20 @@ def test_communities_end_where_no_merger_raises_modularity(spark):
         between[key] = between.get(key, 0) + 1
     assert all(c == min(v for v, x in got.items() if x == c) for c in size)
     assert all(w - size[a] * size[b] / (2 * len(pairs)) <= 1e-6 for (a, b), w in between.items() if a != b)
+
+
+@pytest.mark.parametrize("suffix", ["", "_reference"])
+def test_sizes_and_mix_are_those_of_communities(spark, suffix):
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    run = lambda name: entry.queries()[name + suffix](spark, sf_dir).collect()
+    labels = {r["node"]: r["community"] for r in run("g13_communities")}
+    sizes, mix = {}, {}
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for node, c in labels.items():
+        sizes[c] = sizes.get(c, 0) + 1
+        mix[c, source[node]] = mix.get((c, source[node]), 0) + 1
+    largest = min(sizes, key=lambda c: (-sizes[c], c))
+    assert [tuple(r) for r in run("g14_louvain_community_sizes")] == [(len(sizes), min(sizes.values()), max(sizes.values()), largest)]
+    assert {(r["community"], r["category"]): r["n"] for r in run("a16_louvain_category_mix")} == mix
