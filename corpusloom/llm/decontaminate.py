@@ -14,13 +14,18 @@ neighbouring pieces together have under j errors, so has one half of them for it
 own number, so a match passes every range on some path from a whole piece to the
 item, and chance hits fail on the first short one.
 
-The items are held by each task: their number is bounded by ``max_items`` times
-``max_chars`` characters, a bound that is checked; documents are read in one
-narrow pass, without a shuffle, in blocks that overlap by the longest passage, so
-long documents need no more memory than short ones.
-
-Defined cases: null and empty items, and items whose normal form has under
-``min_chars`` characters, match nothing; null and empty texts are clean; repeated
+Items whose normal form has under ``min_chars`` characters have no error budget:
+they match where they stand as whole words.
+
+The items' texts are held by the driver and each task.  They are searched in
+blocks of at most ``MAX_ITEMS`` items and ``MAX_CHARS`` characters (a longer item is
+a block of its own); with more than one block a task gathers some documents and
+searches them for one block after the other.  Documents are read in one narrow
+pass, without a shuffle, in parts that overlap by the longest passage, so long
+documents need no more memory than short ones.
+
+Defined cases: null and empty items, and items without a letter or digit, match
+nothing; null and empty texts are clean; repeated
 items count once for each id; repeated rows are kept; an empty benchmark leaves
 everything clean.
 """
@@ -40,6 +45,8 @@ from pyspark.sql import functions as F
 RATE = 0.1
 #: Characters of normal form scanned at once.
 BLOCK = 250_000
+#: Items and their characters that are compiled at once, and characters of documents held for several such blocks.
+MAX_ITEMS, MAX_CHARS, HELD_CHARS = 50_000, 20_000_000, 50_000_000
 _OTHER = re.compile(r"[\W_]+")
 #: Multiplier of the rolling hash (fixed value).
 _BASE = 0x9E3779B1
@@ -76,7 +83,7 @@ class Item:
     """A benchmark item with the pieces of its error budget and the halving tree over them."""
 
     def __init__(self, key: int, text: str, rate: float):
-        self.key, self.text, self.budget = key, text, int(len(text) * rate)
+        self.key, self.text, self.budget, self.whole_words = key, text, int(len(text) * rate), False
         self.cuts = [round(i * len(text) / (self.budget + 1)) for i in range(self.budget + 2)]
         self._nodes: dict[tuple[int, int], dict[str, int]] = {}
         self._sides: dict[int, tuple[int, int, list[str]]] = {}
@@ -118,18 +125,21 @@ class Item:
             self._nodes[lo, hi] = found
         return found
 
-    def verify(self, text: str, at: int, piece: int) -> int | None:
+    def verify(self, text: str, at: int, piece: int, known: dict[tuple[int, int, int], int]) -> int | None:
         """Edit distance of the item to the text around a whole piece found at place at; None beyond the budget.
 
         If a range of j pieces has under j errors, so has one of its halves for
         its own number; so only hits whose every node passes can be matches.
+        known keeps the distances of a node at a place of this text for its other pieces.
         """
         distance = 0 if self.budget == 0 else None
         for lo, hi in self.path(piece):
             k = hi - lo - 1
             start = at - (self.cuts[piece] - self.cuts[lo])
             m = self.cuts[hi] - self.cuts[lo]
-            distance, _ = myers(self.masks(lo, hi), m, text[max(0, start - k) : start + m + k])
+            distance = known.get((lo, hi, start))
+            if distance is None:
+                distance = known[lo, hi, start] = myers(self.masks(lo, hi), m, text[max(0, start - k) : start + m + k])[0]
             if distance > k:
                 return None
         return distance
@@ -143,9 +153,10 @@ class Matcher:
         by_length: dict[int, dict[str, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for key, text in items:
             text = normal(text)
-            if len(text) < min_chars:
+            if not text:
                 continue
-            item = Item(key, text, rate)
+            item = Item(key, text, rate if len(text) >= min_chars else 0.0)
+            item.whole_words = len(text) < min_chars
             for j, (a, b) in enumerate(zip(item.cuts, item.cuts[1:])):
                 by_length[b - a][text[a:b]].append((len(self.items), j))
             self.items.append(item)
@@ -193,13 +204,15 @@ class Matcher:
         if not self.items:
             return [[] for _ in texts]
         parts: list[str] = []
-        owner: list[int] = []
+        owner: list[tuple[int, bool, bool]] = []
         size = 0
+        step = max(BLOCK, self.longest)
         for i, t in enumerate(texts):
             whole = normal(t)
-            for a in range(0, max(1, len(whole)), BLOCK):
-                parts.append(whole[a : a + BLOCK + self.longest])
-                owner.append(i)
+            for a in range(0, max(1, len(whole)), step):
+                # a character more on both sides tells whether a word ends there
+                parts.append(whole[max(0, a - 1) : a + step + self.longest + 1])
+                owner.append((i, a == 0, a + step + self.longest + 1 >= len(whole)))
                 size += len(parts[-1])
                 if size > BLOCK:
                     self._block(parts, owner, found)
@@ -208,17 +221,25 @@ class Matcher:
             self._block(parts, owner, found)
         return [sorted(f.items()) for f in found]
 
-    def _block(self, parts: list[str], owner: list[int], found: list[dict[int, int]]) -> None:
+    def _block(self, parts: list[str], owner: list[tuple[int, bool, bool]], found: list[dict[int, int]]) -> None:
+        """owner: for each part its text, and whether it has the text's start and its end."""
         heads = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        known: dict[tuple[int, int], dict[tuple[int, int, int], int]] = defaultdict(dict)
         for number, piece, at in self._hits("\n".join(parts)):  # no normal form has a line break
             part = bisect_right(heads, at) - 1
-            item, got = self.items[number], found[owner[part]]
+            of, start, end = owner[part]
+            item, got = self.items[number], found[of]
             if got.get(item.key) == 0:
                 continue
             place = at - int(heads[part])
+            if item.whole_words:
+                text, stop = parts[part], place + len(item.text)
+                if (text[place - 1] == " " if place else start) and (text[stop] == " " if stop < len(text) else end):
+                    got[item.key] = 0
+                continue
             if not item.beside(parts[part], place, piece):
                 continue
-            distance = item.verify(parts[part], place, piece)
+            distance = item.verify(parts[part], place, piece, known[number, part])
             if distance is not None and distance < got.get(item.key, item.budget + 1):
                 got[item.key] = distance
 
@@ -226,23 +247,63 @@ class Matcher:
         return self.search_all([text])[0]
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items: int = 50_000, max_chars: int = 20_000) -> list[tuple[int, str]]:
-    """The items, on the driver; raises if there are more or longer ones than the bounds allow."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(id_col, text_col).limit(max_items + 1).collect()
-    if len(rows) > max_items or any(len(r[1]) > max_chars for r in rows):
-        raise ValueError("the benchmark exceeds the bounds for items held by each task; split it and run each part")
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, str]]:
+    """The items, on the driver."""
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(id_col, text_col).collect()
     return [(r[0], r[1]) for r in rows]
 
 
+def item_blocks(items: list[tuple[int, str]], max_items: int = MAX_ITEMS, max_chars: int = MAX_CHARS) -> list[list[tuple[int, str]]]:
+    """The items in blocks of bounded size; an item of more characters is a block of its own."""
+    blocks: list[list[tuple[int, str]]] = []
+    size = 0
+    for key, text in items:
+        n = len(text or "")
+        if not blocks or len(blocks[-1]) == max_items or size + n > max_chars:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((key, text))
+        size += n
+    return blocks
+
+
+def searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[list[tuple[int, str]]], rate: float, held_chars: int = HELD_CHARS) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int]]]]]:
+    """Each batch with what search_all() finds in its column at, over all blocks of items."""
+    if len(blocks) <= 1:
+        matcher = Matcher(blocks[0] if blocks else [], rate)
+        for batch in batches:
+            yield batch, matcher.search_all(batch.column(at).to_pylist())
+        return
+    some: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int]]]]]:
+        found: list[list[dict[int, int]]] = [[{} for _ in range(b.num_rows)] for b in some]
+        for block in blocks:
+            matcher = Matcher(block, rate)
+            for batch, rows in zip(some, found):
+                for row, new in zip(rows, matcher.search_all(batch.column(at).to_pylist())):
+                    for key, distance in new:
+                        row[key] = min(distance, row.get(key, distance))
+        for batch, rows in zip(some, found):
+            yield batch, [sorted(r.items()) for r in rows]
+
+    for batch in batches:
+        some.append(batch)
+        size += batch.column(at).nbytes
+        if size >= held_chars:
+            yield from flush()
+            some, size = [], 0
+    yield from flush()
+
+
 def contamination(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """(id_col, contaminated, n_items, item_ids, least_distance) for each row."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, rate)
-        for batch in batches:
-            found = matcher.search_all(batch.column(1).to_pylist())
+        for batch, found in searched(batches, 1, item_blocks(held.value), rate):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
                 pa.array([bool(f) for f in found]),
@@ -260,8 +321,7 @@ def keep_uncontaminated(docs: DataFrame, items: list[tuple[int, str]], text_col:
     at = docs.columns.index(text_col)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, rate)
-        for batch in batches:
-            yield batch.filter(pa.array([not f for f in matcher.search_all(batch.column(at).to_pylist())], pa.bool_()))
+        for batch, found in searched(batches, at, item_blocks(held.value), rate):
+            yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
     return docs.mapInArrow(convert, docs.schema)

@@ -223,6 +223,30 @@ def test_long_documents_are_searched_in_blocks(monkeypatch):
         assert m.search("z" * pad + " " + item.upper() + "! " + "y" * 300) == [(1, 0)]
 
 
+def test_short_items_match_as_whole_words(spark, monkeypatch):
+    m = decontaminate.Matcher([(1, "Short item!"), (2, "x"), (3, "?!")])
+    assert m.search_all(["A SHORT, item.", "short item", "shorty item", "a short itemize", "ashort item", "short itm", None]) == [[(1, 0)], [(1, 0)], [], [], [], [], []]
+    monkeypatch.setattr(decontaminate, "BLOCK", 20)
+    for pad in range(0, 70):
+        text = "z" * pad + " short item " + "y" * 50
+        assert m.search(text) == [(1, 0)] and m.search(text.replace("item ", "itemy")) == [] and m.search(text.replace(" short", "short")) == ([] if pad else [(1, 0)])
+    docs = spark.createDataFrame([(1, "this is a short item"), (2, "this is clean")], "doc_id long, text string")
+    assert [r[0] for r in decontaminate.keep_uncontaminated(docs, [(1, "Short item!")]).collect()] == [2]
+
+
+def test_items_in_blocks_and_long_items(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    items = [(i, words(10)) for i in range(13)] + [(13, words(3500))]
+    texts = [words(5) + " " + items[i % 14][1].replace("a", "b", 2) + " " + words(5) for i in range(28)] + [words(40), None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4], pa.string())], ["text"]) for i in range(0, len(texts), 4)]
+    one, many = ([f for _, found in decontaminate.searched(iter(batches), 0, b, 0.1, 3000) for f in found] for b in ([items], decontaminate.item_blocks(items, 5, 300)))
+    assert len(decontaminate.item_blocks(items, 5, 300)) > 3 and one == many and [[k for k, _ in f] for f in one] == [[i % 14] for i in range(28)] + [[], []]
+    bench = spark.createDataFrame(items, "item_id long, text string").unionByName(spark.range(100, 50_100).selectExpr("id AS item_id", "concat('item ', id) AS text"))
+    got = decontaminate.benchmark_items(bench)
+    assert len(got) == 50_014 and max(len(t) for _, t in got) > 20_000
+
+
 def test_planted_leaks_are_found(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = decontaminate.contamination(docs, decontaminate.benchmark_items(bench)).where("contaminated").toPandas()
