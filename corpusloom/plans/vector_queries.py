@@ -239,9 +239,12 @@ def m06_heaps_log_log(spark, table):
 
 @query()
 def m04_m06_heaps_fit(spark, table):
-    points = laws.without_tail(growth_table(table)).groupBy("piece").agg(F.sum("n_words").alias("n_words"), F.sum("n_unique").alias("n_unique"))
-    (k, beta), cost = laws.fit_heaps(stored(points, "heaps"))
-    return spark.createDataFrame([(k, beta, cost)], "k double, beta double, cost double")
+    points = stored(laws.without_tail(growth_table(table)).select("book", "n_words", "n_unique"), "heaps")
+    rows = []
+    for (book,) in points.select("book").distinct().orderBy("book").collect():
+        (k, beta), cost = laws.fit_heaps(points.where(F.col("book").eqNullSafe(F.lit(book))))
+        rows.append((book, k, beta, cost))
+    return spark.createDataFrame(rows, "book string, k double, beta double, cost double")
 
 
 @query(f"""WITH {GROWTH_SQL}, t AS (SELECT * FROM growth WHERE n_words > 0 AND n_unique > 0), fit AS (SELECT book, regr_slope(ln(n_unique), ln(n_words)) AS b, regr_intercept(ln(n_unique), ln(n_words)) AS a FROM t GROUP BY book)
@@ -496,13 +499,19 @@ def g18_barabasi_albert(spark, table):
 
 @query()
 def g19_watts_strogatz_sweep(spark, table):
-    settings = spark.createDataFrame([(float(p), r) for p in (0.0, 0.01, 0.1, 1.0) for r in range(3)], "p double, rep int")
-    edges = stored(generators.watts_strogatz(spark, 300, 6, settings), "sweep")
+    """Mean and deviation of clustering and path length (0 if disconnected) for each p, and the means over their largest."""
+    n = 500
+    settings = spark.createDataFrame([(i / 49, r) for i in range(50) for r in range(10)], "p double, rep int")
+    edges = stored(generators.watts_strogatz(spark, n, 4, settings), "sweep")
     # a node of each setting is a number of its own, so that all graphs go through at once
     base = F.dense_rank().over(Window.orderBy("p", "rep")) - 1
     numbered = edges.join(F.broadcast(settings.withColumn("g", base)), ["p", "rep"]).select((F.col("src") + F.col("g") * 1000).alias("src"), (F.col("dst") + F.col("g") * 1000).alias("dst"))
     local = triangles.local_clustering(numbered).withColumn("g", F.floor(F.col("node") / 1000).cast("int"))
-    each = local.groupBy("g").agg(F.avg("clustering").alias("clustering")).join(F.broadcast(settings.withColumn("g", base)), "g")
-    return each.groupBy("p").agg(F.avg("clustering").alias("mean"), F.stddev_pop("clustering").alias("std"))
-
-
+    each = local.groupBy("g").agg((F.sum("clustering") / n).alias("clustering")).join(F.broadcast(settings.withColumn("g", base)), "g")
+    lengths = paths.average_path_length_of_each(edges, ["p", "rep"], n).withColumn("length", F.coalesce("average_length", F.lit(0.0)))
+    got = each.join(lengths, ["p", "rep"]).groupBy("p").agg(
+        F.avg("clustering").alias("mean"), F.stddev_pop("clustering").alias("std"),
+        F.avg("length").alias("length_mean"), F.stddev_pop("length").alias("length_std"),
+    )
+    whole = Window.partitionBy()
+    return got.withColumns({"mean_normalised": F.col("mean") / F.max("mean").over(whole), "length_normalised": F.col("length_mean") / F.max("length_mean").over(whole)})

@@ -210,3 +210,26 @@ def test_sizes_and_mix_are_those_of_communities(spark, suffix):
     largest = min(sizes, key=lambda c: (-sizes[c], c))
     assert [tuple(r) for r in run("g14_louvain_community_sizes")] == [(len(sizes), min(sizes.values()), max(sizes.values()), largest)]
     assert {(r["community"], r["category"]): r["n"] for r in run("a16_louvain_category_mix")} == mix
+
+
+def test_path_lengths_of_many_graphs(spark):
+    rows = [(0.5, 0, i, (i + 1) % 6) for i in range(6)] + [(0.5, 1, 0, 1), (0.5, 1, 2, 3)]
+    got = paths.average_path_length_of_each(spark.createDataFrame(rows, "p double, rep int, src long, dst long"), ["p", "rep"], 6)
+    assert {r["rep"]: r["average_length"] for r in got.collect()} == {0: 1.8, 1: None}
+
+
+def test_sweep_has_path_lengths_and_normalised_means(spark):
+    import __spark_entry__ as entry
+
+    rows = sorted(entry.queries()["g19_watts_strogatz_sweep"](spark, "/root/testdata/sf0.001").collect())
+    assert len(rows) == 50 and rows[0]["p"] == 0 and rows[0]["mean"] == 0.5 and rows[0]["std"] == 0
+    assert abs(rows[0]["length_mean"] - (2 * sum(range(1, 125)) * 2 + 125 * 3) / 499) < 2 and rows[0]["length_normalised"] == rows[0]["mean_normalised"] == 1
+    assert rows[-1]["length_mean"] < 10
+
+
+def test_heaps_is_fitted_for_each_book(spark):
+    import __spark_entry__ as entry
+
+    got = {r["book"]: r for r in entry.queries()["m04_m06_heaps_fit"](spark, "/root/testdata/sf0.001").collect()}
+    books = {r["book"] for r in entry.queries()["m06_heaps_log_log"](spark, "/root/testdata/sf0.001").collect()}
+    assert books and books <= set(got) and all(r["k"] >= 0 and 0 <= r["beta"] <= 1 for r in got.values())
