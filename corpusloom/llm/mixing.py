@@ -18,7 +18,8 @@ rows is spread over all its ranges.
 
 Defined cases: a token is a run of other characters than ASCII white space; null
 and empty texts have none; null languages and sources are named ``(none)``; rows
-that repeat an id within a leaf are one document that is drawn together; nodes
+that repeat an id within a leaf are one document that is drawn together, and so are
+rows of a leaf that lack an id and have equal texts; nodes
 without weight get ``default_weight``; an empty table gives an empty result; a
 budget beyond all capacity takes everything ``max_epochs`` times.
 """
@@ -30,12 +31,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.scratch import stored
+from corpusloom.scratch import lookup, stored
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 NONE = "(none)"
+LEVELS = ["domain", "lang", "source"]
+#: Names of the columns that tell documents apart, and of the hash that does so where there is no id.
+ID, TIE = "_mix_id", "_mix_tie"
 #: Hex digits of the order hash that name a range of a leaf's documents.
-RANGE_DIGITS = 2
+RANGE_DIGITS = 3
 
 
 def _weight(name: Column, weights: Mapping[str, float], default: float) -> Column:
@@ -80,55 +84,74 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, Map
     return leaves.join(budgets.select(*levels, F.floor(F.col("budget") + 1e-6).cast("long").alias("budget")), levels)
 
 
-def _order_hash(seed: int, epoch: Column, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))))
+def _order_hash(seed: int) -> Column:
+    key = F.coalesce(F.col(ID).cast("string"), F.concat(F.lit("null"), F.col(TIE).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), key))
 
 
-def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], total_share: float = 0.6, max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, domain, lang, source, n_tokens, epoch): a row for each drawing of a document."""
-    levels = ["domain", "lang", "source"]
-    units = stored(
-        docs.select(
-            id_col, domain.alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        ).groupBy(id_col, *levels).agg(F.sum("n_tokens").alias("n_tokens")),
-        "units",
-    )
-    leaves = units.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
-    plan = stored(
-        leaf_budgets(leaves, levels, weights, total_share, max_epochs)
+def _tokens(text: Column) -> Column:
+    """The number of words, without a list of them: blanks between words, and one."""
+    spaced = F.trim(F.regexp_replace(text, SPACE, " "))
+    blanks = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+    return F.when(F.length(spaced) > 0, blanks + 1).otherwise(0).cast("long")
+
+
+def _identity(docs: DataFrame, domain: Column, id_col: str, text_col: str) -> list[Column]:
+    """What makes a row a drawable document: its id, for rows without one a hash of their text, and its leaf."""
+    tie = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(text_col, F.lit("")))).otherwise(F.lit(0).cast("long"))
+    leaf = (domain, F.col("lang"), F.col("source"))
+    return [F.col(id_col).alias(ID), tie.alias(TIE), *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for c, n in zip(leaf, LEVELS))]
+
+
+def _drawings(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], total_share: float, max_epochs: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(ID, TIE, levels, n_tokens, epoch): a row for each drawing of a document."""
+    tokens = F.coalesce(_tokens(F.col(text_col)), F.lit(0).cast("long")).alias("n_tokens")
+    counted = docs.select(*_identity(docs, domain, id_col, text_col), tokens)
+    units = stored(counted.groupBy(ID, TIE, *LEVELS).agg(F.sum("n_tokens").alias("n_tokens")), "units")
+    leaves = units.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    plan = lookup(
+        leaf_budgets(leaves, LEVELS, weights, total_share, max_epochs)
         .withColumn("whole", F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("int"))
-        .select(*levels, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest")),
+        .select(*LEVELS, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest")),
         "plan",
     )
-    planned = units.join(plan, levels)
+    planned = units.join(plan, LEVELS)
     repeats = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    partial = planned.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("_h", _order_hash(seed, F.col("epoch"), F.col(id_col)))
-    partial = partial.withColumn("_range", F.substring("_h", 1, RANGE_DIGITS))
-    ranges = partial.groupBy(*levels, "_range").agg(F.sum("n_tokens").alias("_size"))
-    before = Window.partitionBy(*levels).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    placed = partial.join(ranges, [*levels, "_range"])
-    inside = placed.where("_before + _size <= rest")
-    within = Window.partitionBy(*levels, "_range").orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    # the next epoch of the leaves that have one: each document with the first 60 bits of its order hash
+    first_bits = F.conv(F.substring(_order_hash(seed), 1, 15), 16, 10).cast("long")
+    columns = [ID, TIE, *LEVELS, "n_tokens", "epoch"]
+    partial = stored(planned.where("rest > 0").withColumn("epoch", F.col("whole")).select(*columns, "rest", first_bits.alias("_h")), "partial")
+    in_range = F.shiftright("_h", 60 - 4 * RANGE_DIGITS).cast("int").alias("_range")
+    before = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lookup(
+        partial.groupBy(*LEVELS, in_range).agg(F.sum("n_tokens").alias("_size"), F.max("rest").alias("rest"))
+        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .where("_before < rest").select(*LEVELS, "_range", "_before", (F.col("_before") + F.col("_size") <= F.col("rest")).alias("_inside")),
+        "ranges",
+    )
+    placed = partial.withColumn("_range", in_range).join(ranges, [*LEVELS, "_range"])
+    inside = placed.where("_inside")
+    within = Window.partitionBy(*LEVELS).orderBy("_h", _order_hash(seed), ID, TIE).rowsBetween(Window.unboundedPreceding, -1)
     edge = (
-        placed.where("_before < rest AND _before + _size > rest")
+        placed.where("NOT _inside")  # of each leaf the one range with the boundary
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .where("_start < rest")
     )
-    columns = [id_col, *levels, "n_tokens", "epoch"]
     return repeats.select(columns).unionByName(inside.select(columns)).unionByName(edge.select(columns))
 
 
+def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], total_share: float = 0.6, max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, domain, lang, source, n_tokens, epoch): a row for each drawing of a document."""
+    drawn = _drawings(docs, domain, weights, total_share, max_epochs, seed, id_col, text_col)
+    return drawn.select(F.col(ID).alias(id_col), *LEVELS, "n_tokens", "epoch")
+
+
 def draw(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], total_share: float = 0.6, max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that mix() draws, with all their columns; a row drawn in two epochs comes twice."""
-    chosen = mix(docs, domain, weights, total_share, max_epochs, seed, id_col, text_col)
-    names = {c: f"_mix_{c}" for c in (id_col, "domain", "lang", "source")}
-    chosen = chosen.select(*(F.col(c).alias(n) for c, n in names.items()))
-    same = (
-        docs[id_col].eqNullSafe(chosen[names[id_col]])
-        & (domain == chosen[names["domain"]])
-        & (F.coalesce(docs["lang"], F.lit(NONE)) == chosen[names["lang"]])
-        & (F.coalesce(docs["source"], F.lit(NONE)) == chosen[names["source"]])
-    )
-    return docs.join(chosen, same).select(*(docs[c] for c in docs.columns))
+    keys = [ID, TIE, *LEVELS]
+    chosen = _drawings(docs, domain, weights, total_share, max_epochs, seed, id_col, text_col).select(*(F.col(c).alias(f"_mix_{c}") for c in keys))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(f"_own_{n}") for c, n in zip(_identity(docs, domain, id_col, text_col), keys)))
+    same = marked[f"_own_{ID}"].eqNullSafe(chosen[f"_mix_{ID}"])
+    for c in keys[1:]:
+        same = same & (marked[f"_own_{c}"] == chosen[f"_mix_{c}"])
+    return marked.join(chosen, same).select("_row.*")
