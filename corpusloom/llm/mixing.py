@@ -12,9 +12,9 @@ leaves is handled without the driver.
 A leaf draws its documents in seeded epochs: epoch e orders them by a hash of
 (seed, e, document id).  Whole epochs are taken while the budget covers them, then
 the prefix of the next epoch up to the document that reaches the budget.  The
-prefix of a leaf is found by the token sums of hash ranges of its documents, so
-only the one range with the boundary is sorted; a leaf with a large share of all
-rows is spread over all its ranges.
+prefix of a leaf is found by the token sums of hash ranges of its documents, 256 of
+them and then 256 of the one with the boundary, so only one in 65 536 documents of
+a leaf is sorted; a leaf with a large share of all rows is no hot spot.
 
 Defined cases: a token is a run of other characters than ASCII white space; null
 and empty texts have none; null languages and sources are named ``(none)``; rows
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.scratch import lookup, stored
 
-SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
 LEVELS = ["domain", "lang", "source"]
 #: Names of the columns that tell documents apart, and of the hash that does so where there is no id.
 ID, TIE = "_mix_id", "_mix_tie"
-#: Hex digits of the order hash that name a range of a leaf's documents.
-RANGE_DIGITS = 3
+#: Of the 60 bits of an order hash, those that name a range of a leaf's documents, and the bits below a range, step by step.
+RANGE_BITS = 8
+RANGE_SHIFTS = (52, 44)
 
 
 def _weight(name: Column, weights: Mapping[str, float], default: float) -> Column:
@@ -89,13 +90,6 @@ def _order_hash(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), key))
 
 
-def _tokens(text: Column) -> Column:
-    """The number of words, without a list of them: blanks between words, and one."""
-    spaced = F.trim(F.regexp_replace(text, SPACE, " "))
-    blanks = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
-    return F.when(F.length(spaced) > 0, blanks + 1).otherwise(0).cast("long")
-
-
 def _identity(docs: DataFrame, domain: Column, id_col: str, text_col: str) -> list[Column]:
     """What makes a row a drawable document: its id, for rows without one a hash of their text, and its leaf."""
     tie = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(text_col, F.lit("")))).otherwise(F.lit(0).cast("long"))
@@ -103,9 +97,19 @@ def _identity(docs: DataFrame, domain: Column, id_col: str, text_col: str) -> li
     return [F.col(id_col).alias(ID), tie.alias(TIE), *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for c, n in zip(leaf, LEVELS))]
 
 
+def _boundary(partial: DataFrame, bound: DataFrame, left: int) -> DataFrame:
+    """Narrows each leaf's boundary (levels, _prefix, _before) to ranges of hashes that agree but for their last left bits."""
+    inner = partial.join(bound, LEVELS).where(F.shiftright("_h", left + RANGE_BITS) == F.col("_prefix"))
+    ranges = inner.groupBy(*LEVELS, F.shiftright("_h", left).alias("_range")).agg(F.sum("n_tokens").alias("_size"), F.max("rest").alias("rest"), F.max("_before").alias("_start"))
+    before = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = ranges.withColumn("_sum", F.col("_start") + F.coalesce(F.sum("_size").over(before), F.lit(0))).where("_sum < rest")
+    last = begun.groupBy(*LEVELS).agg(F.max(F.struct("_range", "_sum")).alias("_last"))
+    return lookup(last.select(*LEVELS, F.col("_last._range").alias("_prefix"), F.col("_last._sum").alias("_before")), "bound")
+
+
 def _drawings(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], total_share: float, max_epochs: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(ID, TIE, levels, n_tokens, epoch): a row for each drawing of a document."""
-    tokens = F.coalesce(_tokens(F.col(text_col)), F.lit(0).cast("long")).alias("n_tokens")
+    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")
     counted = docs.select(*_identity(docs, domain, id_col, text_col), tokens)
     units = stored(counted.groupBy(ID, TIE, *LEVELS).agg(F.sum("n_tokens").alias("n_tokens")), "units")
     leaves = units.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
@@ -121,19 +125,14 @@ def _drawings(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str
     first_bits = F.conv(F.substring(_order_hash(seed), 1, 15), 16, 10).cast("long")
     columns = [ID, TIE, *LEVELS, "n_tokens", "epoch"]
     partial = stored(planned.where("rest > 0").withColumn("epoch", F.col("whole")).select(*columns, "rest", first_bits.alias("_h")), "partial")
-    in_range = F.shiftright("_h", 60 - 4 * RANGE_DIGITS).cast("int").alias("_range")
-    before = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = lookup(
-        partial.groupBy(*LEVELS, in_range).agg(F.sum("n_tokens").alias("_size"), F.max("rest").alias("rest"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .where("_before < rest").select(*LEVELS, "_range", "_before", (F.col("_before") + F.col("_size") <= F.col("rest")).alias("_inside")),
-        "ranges",
-    )
-    placed = partial.withColumn("_range", in_range).join(ranges, [*LEVELS, "_range"])
-    inside = placed.where("_inside")
+    bound = plan.where("rest > 0").select(*LEVELS, F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before"))
+    for left in RANGE_SHIFTS:
+        bound = _boundary(partial, bound, left)
+    placed = partial.withColumn("_range", F.shiftright("_h", RANGE_SHIFTS[-1])).join(bound, LEVELS)
+    inside = placed.where("_range < _prefix")
     within = Window.partitionBy(*LEVELS).orderBy("_h", _order_hash(seed), ID, TIE).rowsBetween(Window.unboundedPreceding, -1)
     edge = (
-        placed.where("NOT _inside")  # of each leaf the one range with the boundary
+        placed.where("_range = _prefix")
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .where("_start < rest")
     )
