@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session does not set it (single-machine tests) a local
-    folder is used instead.
+    Only where the session does not set it, and only on a single machine (tests, the
+    benchmark), a local folder is used instead; a cluster has to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -44,7 +46,15 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._stored_at = path  # for discard()
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored() table that no later step reads."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lookup(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
