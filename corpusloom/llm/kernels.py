@@ -11,6 +11,8 @@ U64 = np.uint64
 #: Odd multipliers of the polynomial hashes (fixed values).
 BYTE_BASE = U64(0x9E3779B97F4A7C15 | 1)
 WORD_BASE = U64(0xD6E8FEB86659FD93)
+BYTE_BASE_2 = U64(0xC2B2AE3D27D4EB4F)
+WORD_BASE_2 = U64(0xFF51AFD7ED558CCD)
 #: Bytes of text that a kernel takes at once; a longer document is a slice of its own.
 SLICE_BYTES = 2_000_000
 
@@ -39,6 +41,7 @@ class Powers:
 
 
 _BYTES, _WORDS = Powers(BYTE_BASE), Powers(WORD_BASE)
+_BYTES_2, _WORDS_2 = Powers(BYTE_BASE_2), Powers(WORD_BASE_2)
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,30 +78,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _BYTES.upto(len(data) + 1)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; second: of another, independent family."""
+    up, down = (_BYTES_2 if second else _BYTES).upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive words, by first word; documents are not told apart."""
-    if len(hashes) < n:
-        return np.zeros(0, U64)
-    up, down = _WORDS.upto(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1] + U64(n))
+class WordSums:
+    """Hashes of any range of words in constant time, from the words' hashes."""
 
+    def __init__(self, hashes: np.ndarray, second: bool = False):
+        self.up, self.down = (_WORDS_2 if second else _WORDS).upto(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, U64)
+        np.cumsum(hashes * self.up[: len(hashes)], out=self.sums[1:])
 
-def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the words from starts to ends (exclusive)."""
-    up, down = _WORDS.upto(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    def ranges(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        """Hash of sizes words from each start."""
+        return mix((self.sums[starts + sizes] - self.sums[starts]) * self.down[starts] + np.asarray(sizes, U64))
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of each n consecutive words, by first word; documents are not told apart."""
+        return self.ranges(np.arange(max(0, len(self.sums) - n)), n)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:

@@ -41,9 +41,57 @@ def test_removal_against_brute_force(spark):
         rows.append((k, words))
     rows[7] = (7, rows[3][1])
     df = spark.createDataFrame([(k, " \n".join(w)) for k, w in rows], "doc_id long, text string").repartition(5)
-    for window, gram in ((10, 3), (20, 8), (8, 8)):
-        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(df, window=window, gram=gram).collect()}
+    for window, gram, most_leaves in ((10, 3, 40), (20, 8, 7), (8, 8, 50_000)):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(df, window=window, gram=gram, most_leaves=most_leaves).collect()}
         assert got == brute_removal(rows, window)
+    stretches = sorted(tuple(r) for r in substrings.maximal_repeats(df, window=10, gram=3, most_leaves=40).collect())
+    assert stretches == sorted(brute_stretches(rows, 10))
+
+
+def brute_stretches(rows, window):
+    first, out = {}, []
+    for k, words in sorted(rows):
+        starts = [i for i in range(len(words) - window + 1) if first.setdefault(tuple(words[i : i + window]), k) < k]
+        for i in starts:
+            if i - 1 in starts:
+                out[-1] = (k, out[-1][1], out[-1][2] + 1)
+            else:
+                out.append((k, i, window))
+    return out
+
+
+def test_prefixes_lengthen_until_groups_fit(spark):
+    # a frequent start of 8 words that goes on in many ways, one passage that most documents share, and rare texts
+    rng = np.random.default_rng(1)
+    start, shared = [f"s{i}" for i in range(10)], [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(120):
+        words = start + [f"n{rng.integers(6)}" for _ in range(30)] if k % 2 else [f"r{k}x{i}" for i in range(30)]
+        rows.append((k, words + (shared if k % 3 else [])))
+    df = spark.createDataFrame([(k, " ".join(w), [(0, len(w) - 19)]) for k, w in rows], "doc_id long, text string, spans array<struct<start:int,n:int>>")
+    leaves = substrings.suffixes(df, "doc_id", 20).cache()
+    most = 30
+    grouped, hot = substrings.by_prefix(leaves, most)
+    groups = grouped.groupBy("p0", "p1", "p2").count().collect()
+    assert max(r["count"] for r in groups) <= most
+    # short, longer and whole prefixes are all in use, and no suffix is lost
+    assert {(r["p1"] >= 0) + (r["p2"] >= 0) for r in groups} >= {0, 1} and hot.count() > 0
+    assert grouped.count() + hot.count() == leaves.count() == sum(len(w) - 19 for _, w in rows)
+    assert {r[0] for r in hot.groupBy("w1", "w2").count().select("count").collect()} == {80}
+    paths = [(tuple(w[i : i + 8]), k, i) for k, w in rows for i in range(len(w) - 19)]
+    group_of = {(r["doc_id"], r["start"]): (r["p0"], r["p1"], r["p2"]) for r in grouped.collect()}
+    deepest = {}
+    for words, k, i in paths:  # equal prefixes of 20 words are never parted
+        if (k, i) in group_of:
+            assert deepest.setdefault(tuple(dict(rows)[k][i : i + 20]), group_of[k, i]) == group_of[k, i]
+    assert sorted(map(tuple, substrings.deep_leaves(df, "doc_id", 20, most).collect())) == sorted(
+        (k, i) for k, a, n in brute_stretches(rows, 20) for i in range(a, a + n - 19))
+
+
+def test_common_depths():
+    paths = [np.array(x) for x in ([1, 1, 1, 1, 2], [5, 5, 5, 6, 6], [7, 7, 8, 8, 8], [9, 9, 9, 9, 9], [3, 3, 3, 3, 3])]
+    assert substrings.common_depths(paths, None, 50).tolist() == [0, 50, 16, 8, 0]
+    assert substrings.common_depths(paths, [1, 5, 7, 9, 4], 50).tolist() == [32, 50, 16, 8, 0]
 
 
 def test_query_equals_sql(spark, oracle):
@@ -67,7 +115,7 @@ def test_kernels():
     x = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for n in range(1, 8):
         assert kernels.sliding_min(x, n).tolist() == [min(x[i : i + n]) for i in range(len(x) - n + 1)]
-    g = kernels.gram_hashes(np.array([1, 2, 3, 1, 2], np.uint64), 2)
+    g = kernels.WordSums(np.array([1, 2, 3, 1, 2], np.uint64)).grams(2)
     assert g[0] == g[3] and len(set(g.tolist())) == 3
 
 
