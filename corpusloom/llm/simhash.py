@@ -27,12 +27,13 @@ rows that repeat are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
@@ -44,6 +45,8 @@ GOLAY = 0b110001110101
 SEGMENTS = (22, 21, 21)
 #: Shingles whose bits are counted at once.
 BLOCK = 16384
+#: Fingerprints whose keys one task makes.
+KEY_ROWS = 16_384
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -67,15 +70,19 @@ def fingerprint(text: str | None, n: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(first), bitorder="little").tobytes(), "little")
 
 
+def _check(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
-    """(id_col, fp): the signed 64-bit fingerprint of each row's whole text."""
+    """(id_col, fp, check): the signed 64-bit fingerprint of each row's whole text, and a hash of the text."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t, n) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], [id_col, "fp", "check"])
 
-    return docs.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_col, _check(text_col)).mapInArrow(convert, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, check long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -221,27 +228,41 @@ def near_edges(prints: DataFrame, distance: int = 4) -> DataFrame:
     return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(links, "src long, dst long").distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, n: int = 4) -> DataFrame:
-    """(id_col, fingerprint, component_id) for each row."""
+def _components(docs: DataFrame, id_col: str, text_col: str, distance: int, n: int) -> DataFrame:
+    """(id_col, fp, check, part, component_id) for each row; part names a group, check is a hash of the row's text."""
     marked = stored(fingerprints(docs, id_col, text_col, n), "simhash")
-    prints = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
-    edges = checkpoint(near_edges(prints, distance))
+    prints = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
+    # by number, not by bytes: a fingerprint becomes some hundred keys
+    spread = prints.repartition(max(1, math.ceil(prints.count() / KEY_ROWS)), "fp")
+    edges = checkpoint(near_edges(spread, distance))
     parts = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    members = prints.join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    named = members.groupBy("part").agg(F.min("least").alias("component_id"))
-    # one row for each distinct fingerprint; a fingerprint with many rows is split by adaptive skew handling
-    owner = members.select("fp", "part").join(named, "part").select("fp", "component_id")
-    return marked.join(owner, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    linked = stored(prints.join(parts, "fp"), "linked")
+    # stored, so that the join has two plain shuffles and a group with a large share of the fingerprints is split
+    named = stored(linked.groupBy("part").agg(F.min("least").alias("component_id")), "named")
+    owner = linked.select("fp", "part").join(named, "part")
+    # one row for each linked fingerprint; a fingerprint with many rows is split by adaptive skew handling
+    alone = prints.select(F.col("fp"), F.col("least"))
+    named_prints = stored(alone.join(owner, "fp", "left").select("fp", F.coalesce("part", "fp").alias("part"), F.when(F.col("part").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "owners")
+    return marked.join(named_prints, "fp")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, n: int = 4) -> DataFrame:
+    """(id_col, fingerprint, component_id) for each row."""
+    parts = _components(docs, id_col, text_col, distance, n)
+    return parts.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, n: int = 4) -> DataFrame:
-    """The rows of docs whose document represents its group: the smallest id; repeated rows of it count once.
+    """The rows of docs that represent their groups, one of each, with all their columns.
 
-    Rows without an id cannot represent a group or be named by one; they all stay.
+    It is the row with the smallest id; of rows that share it, the one whose text's hash
+    is least, and one of those that repeat both.  A row without an id represents a
+    group only where no row has one.
     """
-    parts = simhash_components(docs, id_col, text_col, distance, n)
-    kept = parts.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    own = F.concat_ws(":", F.isnull(id_col).cast("string"), F.col(id_col).cast("string"), _check(text_col).cast("string"))
+    parts = _components(docs, id_col, text_col, distance, n)
+    best = F.min(F.struct(F.isnull(id_col), F.col(id_col), F.col("check")))
+    kept = parts.groupBy("part").agg(best.alias("best")).select(
+        F.concat_ws(":", F.isnull(f"best.{id_col}").cast("string"), F.col(f"best.{id_col}").cast("string"), F.col("best.check").cast("string")).alias("_own"))
+    marked = docs.select(own.alias("_own"), F.struct(*docs.columns).alias("_row"))
+    return marked.join(kept.distinct(), "_own", "left_semi").dropDuplicates(["_own"]).select("_row.*")
