@@ -5,7 +5,12 @@ instruction with input, message lists, one row a turn ...).  Its schema
 fingerprint is a hash of the nested field paths it has.  A registry maps
 fingerprints to declarative mappings; a mapping says by paths where roles and
 texts are, so no layout needs code of its own.  Paths that no mapping mentions
-do not count, so extra fields never change a fingerprint.
+do not count, so extra fields never change a fingerprint.  A fingerprint that is not
+declared, as fields of other layouts are there too, selects the mapping
+with the most required paths among those that have all of theirs (of equals the
+first in the registry), and keeps it.  Texts may be strings, lists of content parts
+(their texts follow each other) or other JSON (written out).  Whatever a mapping
+does not read is named in ``unused``.
 
 Canonical turns are then rendered, a row for each turn, with the markers
 ``<|im_start|>role\\n`` and ``<|im_end|>\\n``.  Inside texts and roles any ``<|``
@@ -22,8 +27,9 @@ into a task.
 
 Defined cases: null text or role is empty; null conversation ids form one
 conversation; repeated (conversation, turn) rows are kept and ordered by role and
-text; records with an unknown fingerprint come back with mapping null and no
-turns (they are never guessed at); an empty table gives an empty result.
+text; records without all required paths of any mapping come back with mapping null
+and no turns, all their paths in unused (they are never guessed at); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,13 +54,14 @@ class Mapping:
 
     turns: (role, path) pairs in order; a role that starts with ``$`` is itself a
     path.  items: path of a list whose elements are the turns; role and text paths
-    are then relative to the element.  optional: paths that may be missing.
-    index: a path that numbers the record's first turn.
+    are then relative to the element.  lead: turns before those of the list.
+    optional: paths that may be missing.  index: a path that numbers the record's first turn.
     """
 
     name: str
     turns: tuple[tuple[str, str], ...]
     items: str = ""
+    lead: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
     index: str = ""
     roles: tuple[tuple[str, str], ...] = ()
@@ -62,19 +69,21 @@ class Mapping:
     def paths(self) -> set[str]:
         prefix = f"{self.items}[]." if self.items else ""
         own = {prefix + p for role, path in self.turns for p in ([role[1:], path] if role.startswith("$") else [path])}
-        return own | ({self.index} if self.index else set())
+        return own | {path for _, path in self.lead} | ({self.index} if self.index else set())
+
+    def required(self) -> set[str]:
+        return self.paths() - set(self.optional)
 
     def fingerprints(self) -> Iterator[str]:
-        fixed = self.paths() - set(self.optional)
         for n in range(len(self.optional) + 1):
             for some in itertools.combinations(self.optional, n):
-                yield fingerprint(fixed | set(some))
+                yield fingerprint(self.required() | set(some))
 
 
 REGISTRY = (
     Mapping("turn_row", (("$role", "text"),), index="turn"),
-    Mapping("messages", (("$role", "content"),), items="messages"),
-    Mapping("from_value", (("$from", "value"),), items="conversations", roles=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("messages", (("$role", "content"),), items="messages", lead=(("system", "system"),), optional=("system",)),
+    Mapping("from_value", (("$from", "value"),), items="conversations", lead=(("system", "system"),), optional=("system",), roles=(("human", "user"), ("gpt", "assistant"))),
     Mapping("prompt_completion", (("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
     Mapping("prompt_response", (("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
     Mapping("instruction", (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
@@ -101,12 +110,44 @@ def fingerprint(paths: set[str]) -> str:
 
 
 class Canonicaliser:
-    """Turns JSON records into (fingerprint, mapping name, first turn, turns)."""
+    """Turns JSON records into (fingerprint, mapping name, first turn, turns, unused paths)."""
+
+    #: Layouts, as sets of paths, whose mapping is remembered.
+    REMEMBERED = 10_000
 
     def __init__(self, registry: Sequence[Mapping]):
-        self.by_print = {f: m for m in reversed(registry) for f in m.fingerprints()}
+        self.registry = registry
+        self.by_print: dict[str, Mapping | None] = {f: m for m in reversed(registry) for f in m.fingerprints()}
         self.known = set().union(*(m.paths() for m in registry))
         self.lists = {f"{m.items}[]": m for m in registry if m.items}
+        self.layouts: dict[frozenset[str], tuple[str, Mapping | None, tuple[str, ...]]] = {}
+
+    def _known_part(self, path: str) -> str | None:
+        """The known path that leads to a path: itself or one above it."""
+        while path not in self.known:
+            cut = max(path.rfind("."), path.rfind("["))
+            if cut <= 0:
+                return None
+            path = path[:cut]
+        return path
+
+    def select(self, leaves: frozenset[str]) -> tuple[str, Mapping | None, tuple[str, ...]]:
+        if leaves not in self.layouts:
+            above = {x: self._known_part(x) for x in leaves}
+            found = set(above.values()) - {None}
+            for path, m in self.lists.items():  # an empty list of messages is a conversation without turns
+                if path in leaves:
+                    found |= m.required()
+            mark = fingerprint(found)
+            if mark not in self.by_print:
+                fit = [m for m in self.registry if m.required() <= found]
+                self.by_print[mark] = max(fit, key=lambda m: len(m.required()), default=None)
+            m = self.by_print[mark]
+            own = m.paths() | {f"{m.items}[]"} if m else set()
+            if len(self.layouts) >= self.REMEMBERED:
+                self.layouts.clear()
+            self.layouts[leaves] = mark, m, tuple(sorted(x for x in leaves if above[x] not in own and x not in own))
+        return self.layouts[leaves]
 
     @staticmethod
     def _at(value: object, path: str) -> object:
@@ -114,68 +155,66 @@ class Canonicaliser:
             value = value.get(part) if isinstance(value, dict) else None
         return value
 
-    @staticmethod
-    def _text(value: object) -> str:
-        if value is None:
-            return ""
-        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    @classmethod
+    def _text(cls, value: object) -> str:
+        if value is None or isinstance(value, str):
+            return value or ""
+        if isinstance(value, list) and value and all(isinstance(x, str) or isinstance(x, dict) and isinstance(x.get("text"), str) for x in value):
+            return "".join(x if isinstance(x, str) else x["text"] for x in value)
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
-    def __call__(self, record: str | None) -> tuple[str, str | None, int, list[tuple[str, str]]]:
+    def __call__(self, record: str | None) -> tuple[str, str | None, int, list[tuple[str, str]], tuple[str, ...]]:
         try:
             value = json.loads(record) if record is not None else None
         except ValueError:
             value = None
-        paths = set(field_paths(value))
-        found = paths & self.known
-        for path, m in self.lists.items():  # an empty list of messages is a conversation without turns
-            if path in paths and not found:
-                found = m.paths()
-        mark = fingerprint(found)
-        m = self.by_print.get(mark)
+        mark, m, unused = self.select(frozenset(field_paths(value)))
         if m is None:
-            return mark, None, 0, []
+            return mark, None, 0, [], unused
         first = self._at(value, m.index) if m.index else 0
         turns, roles = [], dict(m.roles)
-        for item in (self._at(value, m.items) or []) if m.items else [value]:
-            for role, path in m.turns:
+        items = self._at(value, m.items) if m.items else None
+        parts = [(m.lead, value), *((m.turns, x) for x in items or [])] if m.items else [(m.turns, value)]
+        for layout, item in parts:
+            for role, path in layout:
                 named = role.startswith("$")
                 text = self._at(item, path)
                 if not named and path in m.optional and text in (None, ""):
                     continue
                 label = self._text(self._at(item, role[1:])) if named else role
                 turns.append((roles.get(label, label), self._text(text)))
-        return mark, m.name, first if isinstance(first, int) else 0, turns
+        return mark, m.name, first if isinstance(first, int) else 0, turns, unused
 
 
 def canonical_turns(records: DataFrame, id_col: str, record_col: str, registry: Sequence[Mapping] = REGISTRY) -> DataFrame:
-    """records' JSON as rows (id_col, fingerprint, mapping, turn, part, role, text).
+    """records' JSON as rows (id_col, fingerprint, mapping, turn, part, role, text, unused).
 
     turn is the number the record gives (0 where it gives none), part the place
-    inside the record.  A record without turns, or with an unknown fingerprint,
-    gives one row with part, role and text null.
+    inside the record, unused its paths that the mapping does not read.  A record
+    without turns, or without a mapping, gives one row with part, role and text null.
     """
     id_type = records.schema[id_col].dataType
-    schema = f"`{id_col}` {id_type.simpleString()}, fingerprint string, mapping string, turn long, part int, role string, text string"
+    schema = f"`{id_col}` {id_type.simpleString()}, fingerprint string, mapping string, turn long, part int, role string, text string, unused array<string>"
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonicaliser(registry)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             size = 0
             for key, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mark, name, first, turns = canonical(record)
+                mark, name, first, turns, unused = canonical(record)
                 for part, (role, text) in enumerate(turns) if turns else [(None, (None, None))]:
-                    for c, v in zip(cols, (key, mark, name, first, part, role, text)):
+                    for c, v in zip(cols, (key, mark, name, first, part, role, text, unused)):
                         c.append(v)
                     size += len(text or "")
                 if size > 4_000_000:
                     yield _batch(batch, cols)
-                    cols, size = [[] for _ in range(7)], 0
+                    cols, size = [[] for _ in range(8)], 0
             yield _batch(batch, cols)
 
     def _batch(batch: pa.RecordBatch, cols: list[list]) -> pa.RecordBatch:
-        kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [id_col, "fingerprint", "mapping", "turn", "part", "role", "text"])
+        kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [id_col, "fingerprint", "mapping", "turn", "part", "role", "text", "unused"])
 
     return records.select(id_col, record_col).mapInArrow(convert, schema)
 

@@ -28,7 +28,38 @@ def test_layouts_become_canonical_turns():
         assert c(json.dumps(record))[3] == want, record
     assert c(json.dumps({"system": "s", "prompt": "hi", "completion": "ho"}))[3] == [("system", "s"), *want]
     assert c(json.dumps({"strange": 1}))[1] is None and c("no json")[1] is None and c(None)[1] is None
-    assert c(json.dumps({"messages": []}))[1:] == ("messages", 0, [])
+    assert c(json.dumps({"messages": []}))[1:] == ("messages", 0, [], ())
+
+
+def test_fields_of_other_layouts_and_content_parts():
+    c = chat.Canonicaliser(chat.REGISTRY)
+    want = [("user", "hi"), ("assistant", "ho")]
+    two = [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}]
+    assert c(json.dumps({"prompt": "hi", "completion": "ho", "input": "more"}))[1:] == ("prompt_completion", 0, want, ("input",))
+    assert c(json.dumps({"messages": two, "system": "s"}))[1:] == ("messages", 0, [("system", "s"), *want], ())
+    assert c(json.dumps({"messages": two, "turn": 3, "id": 5}))[1:] == ("messages", 0, want, ("id", "turn"))
+    parts = [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, {"role": "assistant", "content": "ho"}]
+    assert c(json.dumps({"messages": parts}))[1:] == ("messages", 0, want, ())
+    assert c(json.dumps({"prompt": "hi", "completion": {"a": 1}}))[3] == [("user", "hi"), ("assistant", '{"a": 1}')]
+    image = [{"role": "user", "content": [{"type": "image", "url": "u"}]}]
+    assert json.loads(c(json.dumps({"messages": image}))[3][0][1]) == image[0]["content"]  # nothing is lost
+    # of two mappings that both fit, the one with more required paths, then the first
+    assert c(json.dumps({"turn": 1, "role": "user", "text": "x", "prompt": "p", "completion": "q"}))[1] == "turn_row"
+    assert c(json.dumps({"prompt": "p", "completion": "q", "response": "r"}))[1:] == ("prompt_completion", 0, [("user", "p"), ("assistant", "q")], ("response",))
+    assert c(json.dumps({"strange": {"a": [1]}}))[4] == ("strange.a[]",)
+
+
+def test_every_layout_through_the_operator(spark):
+    records = [
+        (1, {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}], "system": "s"}), (2, {"prompt": "hi", "completion": "ho", "input": "x"}),
+        (3, {"strange": 1}), (4, {"messages": []}),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in records], "conv_id long, record string")
+    turns = chat.canonical_turns(df, "conv_id", "record")
+    got = {r["conv_id"]: r for r in chat.conversation_digest(chat.format_turns(turns), "conv_id").collect()}
+    assert {k: (r["n_turns"], r["loss_chars"]) for k, r in got.items()} == {1: (3, 2), 2: (2, 2), 3: (0, 0), 4: (0, 0)}
+    assert {r["conv_id"]: (r["mapping"], r["unused"]) for r in turns.select("conv_id", "mapping", "unused").distinct().collect()} == {
+        1: ("messages", []), 2: ("prompt_completion", ["input"]), 3: (None, ["strange"]), 4: ("messages", [])}
 
 
 @settings(max_examples=30, deadline=None)
