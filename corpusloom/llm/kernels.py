@@ -14,7 +14,7 @@ WORD_BASE = U64(0xD6E8FEB86659FD93)
 BYTE_BASE_2 = U64(0xC2B2AE3D27D4EB4F)
 WORD_BASE_2 = U64(0xFF51AFD7ED558CCD)
 #: Bytes of text that a kernel takes at once; a longer document is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
