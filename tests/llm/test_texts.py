@@ -324,6 +324,50 @@ def test_sparse_sites_shrink(spark):
     assert 0.3 < rates["tiny"] < 0.8
 
 
+def test_posterior_leaves_each_document_out(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 9, 12)) + (" fine" if rng.random() < 0.7 else " bad ###"), f"h{rng.integers(3)}", f"p{rng.integers(2)}") for i in range(200)]
+    labels = [(i, int("fine" in t)) for i, t, _, _ in rows if i % 4]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    got = {r["doc_id"]: r for r in quality.site_quality(df, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.concat("host", "path")).collect()}
+    known = {i: y for i, y in labels if not _held(i)}
+    vote = {i: (known[i], 1.0) if i in known else (0.1 / (1 + np.exp(-got[i]["evidence"])), 0.1) for i, *_ in rows}
+    def counts(of):
+        out = {}
+        for r in rows:
+            s, n = out.get(of(r), (0.0, 0.0))
+            out[of(r)] = (s + vote[r[0]][0], n + vote[r[0]][1])
+        return out
+    host, path, ((S, N),) = counts(lambda r: r[2]), counts(lambda r: r[2] + r[3]), counts(lambda r: 0).values()
+
+    def strength(groups):
+        s, n, e = (np.array(x) for x in zip(*groups))
+        m = s.sum() / n.sum()
+        noise, spread = m * (1 - m), n.sum() - (n * n).sum() / n.sum()
+        between = ((n * (s / n - e) ** 2).sum() - (len(n) - 1) * noise) / spread
+        return 10_000.0 if between <= 0 else min(max(noise / between - 1, 1.0), 10_000.0)
+
+    k_host = strength([(*v, S / N) for v in host.values()])
+    rate = {h: (s + k_host * S / N) / (n + k_host) for h, (s, n) in host.items()}
+    k_path = strength([(*v, rate[p[:2]]) for p, v in path.items()])
+    for i, _, h, p in rows:
+        s, n = vote[i]
+        g = (S - s) / (N - n)
+        a = (host[h][0] - s + k_host * g) / (host[h][1] - n + k_host)
+        b = (path[h + p][0] - s + k_path * a) / (path[h + p][1] - n + k_path)
+        want = 1 / (1 + np.exp(-(got[i]["evidence"] + np.log(b / (1 - b)) - np.log(g / (1 - g)))))
+        assert np.allclose([got[i]["host_rate"], got[i]["path_rate"], got[i]["score"]], [a, b, want], atol=1e-9)
+
+
+def test_quality_evidence_learns_words_and_halves():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["common"] * 5 + [f"{'good' if i % 2 else 'poor'}{rng.integers(30)}" for _ in range(6)]) for i in range(400)]
+    model = quality.train(texts, [i % 2 for i in range(400)])
+    odds = model.log_odds(pa.array(["common good1 good2 good29", "common poor1 poor2 poor29", None, ""]))
+    assert odds[0] > 2 and odds[1] < -2 and odds[2] == odds[3]
+    assert quality.train(texts[:10], [0, 1] * 5) == 0.0 and quality.train([], []) == 0.0
+
+
 def _held(i):
     import zlib
 
