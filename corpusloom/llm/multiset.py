@@ -8,16 +8,19 @@ or deleted by adding or subtracting vectors, without the rest of the document
 
 The vector has two parts:
 
-* 8 lanes modulo 2**62, hashed from the paragraph as a whole.  Equal multisets of
-  paragraphs have equal lanes, others differ but for a chance of about 2**-496.
-* 63 lanes modulo 2**20, packed by threes, with their number of summands: the bits
+* 8 lanes modulo 2**60, each 60 bits of its own of the paragraph's SHA-512.  Equal
+  multisets of paragraphs have equal lanes, others differ but for a chance of about
+  2**-480.
+* 63 lanes modulo 2**31 with their number of summands: the bits
   of a hash of each two-word piece of the paragraph.  A lane minus its expectation
   is a sum of random signs, so the cosine of two documents' lanes estimates the
-  likeness of their contents (a tug-of-war sketch).
+  likeness of their contents (a tug-of-war sketch).  No string has 2**31 pieces, so
+  the lanes of a document never wrap; likeness of sums is meant for under 2**31 in all.
 
 Documents are paired with the next in descending id order without a global sort:
 ids are cut into ranges at approximate quantiles, each range is one window
-partition, and the first row of each range is copied into the range before it.
+partition, and the first row of each range is copied into the range before it.  Rows
+without an id, or with one that many share, are cut further by their texts' hashes.
 
 Defined cases: null text is empty; an empty text has one empty paragraph and no
 pieces; likeness of equal fingerprints is 1, of others that lack pieces 0; with one
@@ -28,17 +31,21 @@ hash of their texts; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY_LANES = 8
+#: Hex digits of an identity lane.
+DIGITS = 15
+_IDENTITY = (1 << 60) - 1
 PACKED_LANES = 21
-_MASK62 = (1 << 62) - 1
 _LANE = (1 << 20) - 1
 _SHIFTS = (0, 21, 42)
 _ONES = sum(1 << s for s in _SHIFTS)
-_GUARD = sum(_LANE << s for s in _SHIFTS)
+_WIDE = (1 << 31) - 1
 #: Up to two words of one line.
 PIECE = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+)?"
 MOST_RANGES = 65_536
@@ -50,30 +57,39 @@ def _long(value: int) -> Column:
 
 def _hashes(text: Column) -> Column:
     return F.struct(
-        F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p)).alias("paragraphs"),
+        F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 512)).alias("paragraphs"),
         F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)).alias("pieces"),
     )
 
 
-def _sum_identity(hashes: Column) -> Column:
-    def lane(k: Column) -> Column:
-        return F.aggregate(hashes, _long(0), lambda a, h: (a + F.xxhash64(h, k).bitwiseAND(_long(_MASK62))).bitwiseAND(_long(_MASK62)))
+def _sum_identity(digests: Column) -> Column:
+    def lane(k: int) -> Column:
+        # 15 of each 16 hex digits
+        part = lambda d: F.conv(F.substring(d, 16 * k + 1, DIGITS), 16, 10).cast("long")
+        return F.aggregate(digests, _long(0), lambda a, d: (a + part(d)).bitwiseAND(_long(_IDENTITY)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(IDENTITY_LANES - 1)), lane)
+    return F.array(*(lane(k) for k in range(IDENTITY_LANES)))
 
 
-def _sum_packed(hashes: Column) -> Column:
-    def lane(k: Column) -> Column:
-        def add(a: Column, h: Column) -> Column:
-            return (a + F.call_function("shiftrightunsigned", h, k).bitwiseAND(_long(_ONES))).bitwiseAND(_long(_GUARD))
+def _sum_bits(hashes: Column) -> Column:
+    """Numbers of hashes that have each of the bits 0 to 62, counted three to a long in runs that can't overflow."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(hashes) - 1, F.lit(0)) / _LANE).cast("int")), lambda i: F.slice(hashes, i * _LANE + 1, _LANE))
 
-        return F.aggregate(hashes, _long(0), add)
+    def packed(run: Column) -> Column:
+        def lane(k: Column) -> Column:
+            return F.aggregate(run, _long(0), lambda a, h: a + F.call_function("shiftrightunsigned", h, k).bitwiseAND(_long(_ONES)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(PACKED_LANES - 1)), lane)
+        return F.transform(F.sequence(F.lit(0), F.lit(PACKED_LANES - 1)), lane)
+
+    def unpacked(lanes: Column) -> Column:
+        return F.flatten(F.transform(lanes, lambda x: F.array(*(F.shiftright(x, s).bitwiseAND(_long(_LANE)).cast("int") for s in _SHIFTS))))
+
+    zero = F.array_repeat(F.lit(0), 3 * PACKED_LANES)
+    return F.aggregate(F.transform(runs, packed), zero, lambda a, lanes: F.zip_with(a, unpacked(lanes), lambda x, y: x + y))
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Adds struct column name: identity, packed and n, and name_paragraphs.
+    """Adds struct column name: identity, lanes and n, and name_paragraphs.
 
     The hashes are a column of their own that two others read, so the planner
     evaluates them once and not inside the loops over lanes.
@@ -83,7 +99,7 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     return df.withColumn(raw, _hashes(text)).withColumns({
         name: F.struct(
             _sum_identity(h["paragraphs"]).alias("identity"),
-            _sum_packed(h["pieces"]).alias("packed"),
+            _sum_bits(h["pieces"]).alias("lanes"),
             F.size(h["pieces"]).cast("long").alias("n"),
         ),
         f"{name}_paragraphs": F.size(h["paragraphs"]),
@@ -91,17 +107,13 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
-    def wide(x: Column, y: Column) -> Column:
-        return (x + y if sign > 0 else x - y).bitwiseAND(_long(_MASK62))
-
-    def lanes(x: Column, y: Column) -> Column:
-        # a borrow bit above each lane keeps the lanes apart
-        return (x + y if sign > 0 else x.bitwiseOR(_long(_ONES << 20)) - y).bitwiseAND(_long(_GUARD))
+    def modulo(mask: int) -> Callable[[Column, Column], Column]:
+        return lambda x, y: (x.cast("long") + y * sign).bitwiseAND(_long(mask))
 
     return F.struct(
-        F.zip_with(a["identity"], b["identity"], wide).alias("identity"),
-        F.zip_with(a["packed"], b["packed"], lanes).alias("packed"),
-        (a["n"] + b["n"] if sign > 0 else a["n"] - b["n"]).alias("n"),
+        F.zip_with(a["identity"], b["identity"], modulo(_IDENTITY)).alias("identity"),
+        F.zip_with(a["lanes"], b["lanes"], lambda x, y: modulo(_WIDE)(x, y).cast("int")).alias("lanes"),
+        (a["n"] + b["n"] * sign).alias("n"),
     )
 
 
@@ -116,13 +128,12 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def to_hex(fp: Column) -> Column:
-    digits = F.transform(F.concat(fp["identity"], fp["packed"], F.array(fp["n"])), lambda x: F.lpad(F.hex(x), 16, "0"))
-    return F.lower(F.array_join(digits, ""))
+    wide = F.transform(F.concat(fp["identity"], F.array(fp["n"])), lambda x: F.lpad(F.hex(x), 16, "0"))
+    return F.lower(F.array_join(F.concat(wide, F.transform(fp["lanes"], lambda x: F.lpad(F.hex(x.cast("long")), 8, "0"))), ""))
 
 
 def _signed(fp: Column) -> Column:
-    parts = F.transform(fp["packed"], lambda x: F.array(*(F.shiftright(x, s).bitwiseAND(_long(_LANE)) for s in _SHIFTS)))
-    return F.transform(F.flatten(parts), lambda c: (c * 2 - fp["n"]).cast("double"))
+    return F.transform(fp["lanes"], lambda c: (c.cast("long") * 2 - fp["n"]).cast("double"))
 
 
 def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
@@ -160,7 +171,13 @@ def with_next(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> DataF
     spark = df.sparkSession
     n = min(MOST_RANGES, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 4 * n).alias("q")).first()["q"] or []
-    place = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(_range_of(F.col(id_col), sorted(set(cuts)))).cast("int")
+    bounds = sorted(set(cuts))
+    # an id that is two quantiles, and null, may have a large share of the rows: their ranges are cut by tie
+    hot = [c for c, n_cuts in Counter(cuts).items() if n_cuts > 1]
+    shared = F.col(id_col).isNull() | (F.col(id_col).isin(hot) if hot else F.lit(False))
+    by_tie = F.when(shared, F.shiftright(tie, 56) + 129).otherwise(F.lit(0))  # from 1 to 256; the range's larger ids come before
+    number = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(_range_of(F.col(id_col), bounds))
+    place = (number.cast("long") * 512 - by_tie).cast("long")
     placed = df.withColumn("_range", place)
     heads = [r for r in placed.groupBy("_range").agg(F.max(id_col).alias("id"), F.max(F.struct(F.col(id_col), F.negate(F.shiftright(tie, 1)))).alias("top")).orderBy(F.desc("_range")).collect()]
     if not heads:
@@ -169,7 +186,7 @@ def with_next(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> DataF
     kind = dict(df.dtypes)[id_col]
     # the head of each range also closes the range before it; the first head closes the last range
     ends = spark.createDataFrame(
-        [(r["id"], -r["top"][1], ranges[i - 1]) for i, r in enumerate(heads)], f"_head_id {kind}, _head_tie long, _closes int"
+        [(r["id"], -r["top"][1], ranges[i - 1]) for i, r in enumerate(heads)], f"_head_id {kind}, _head_tie long, _closes long"
     )
     same = placed[id_col].eqNullSafe(F.col("_head_id")) & (F.shiftright(placed[tie], 1) == F.col("_head_tie"))
     spread = placed.join(F.broadcast(ends), same, "left").withColumn(

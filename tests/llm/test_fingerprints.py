@@ -134,3 +134,34 @@ def test_dense_and_chained_groups(spark):
     for e in edges:
         parent[max(find(place[e[0]]), find(place[e[1]]))] = min(find(place[e[0]]), find(place[e[1]]))
     assert {i: find(i) for i in ids} == linked
+
+
+def test_lanes_of_huge_texts_do_not_wrap(spark):
+    # more pieces than a packed run of lanes holds, and no word in common
+    a = spark.range(2).select("id", F.when(F.col("id") == 0, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_100_000)), lambda i: F.concat(F.lit("a"), i.cast("string"))), "\n"))
+                              .otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_100_000)), lambda i: F.concat(F.lit("b"), i.cast("string"))), "\n")).alias("t"))
+    fps = multiset.with_fingerprint(a, F.col("t"), "fp").select("id", "fp")
+    one, other = fps.where("id = 0").select(F.col("fp").alias("x")), fps.where("id = 1").select(F.col("fp").alias("y"))
+    row = multiset.with_likeness(one.join(other, F.lit(True)), "near", "x", "y").first()
+    assert row["x"]["n"] == row["y"]["n"] == 1_100_000 and all(540_000 < c < 560_000 for c in row["x"]["lanes"])
+    assert row["near"] < 0.5
+
+
+def test_identity_lanes_are_independent(spark):
+    import hashlib
+
+    got = fp(spark, "one\ntwo words\none").first()["fp"]
+    want = [0] * 8
+    for p in ("one", "two words", "one"):
+        d = hashlib.sha512(p.encode()).hexdigest()
+        want = [(w + int(d[16 * k : 16 * k + 15], 16)) % 2**60 for k, w in enumerate(want)]
+    assert got["identity"] == want
+
+
+def test_next_with_shared_and_missing_ids(spark):
+    rows = [(i if i % 3 else (500 if i % 2 else None), f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_tie", F.xxhash64("text"))
+    got = multiset.with_next(df, "doc_id", "_tie", ["doc_id", "text"]).collect()
+    order = sorted(((r["doc_id"] is None, -(r["doc_id"] or 0), r["_tie"], r["text"]) for r in got))
+    after = {r["text"]: r["next_text"] for r in got}
+    assert len(after) == len(rows) and [after[o[3]] for o in order] == [o[3] for o in order[1:] + order[:1]]
