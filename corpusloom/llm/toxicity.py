@@ -52,7 +52,7 @@ DIMENSIONS = 8
 #: A document's margin is the mean of those of this many worst segments.
 TOP = 3
 #: Margins beyond this count as this.
-CLIP = 5.0
+CLIP = 3.0
 THRESHOLD = 0.7
 
 
