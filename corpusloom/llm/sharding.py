@@ -8,9 +8,13 @@ and a removed shard gives up only its own rows; nothing else moves.
 Slots number the rows of a shard from 0 without gaps.  A shard may hold a large
 share of all rows, so rows are ranked inside sub-buckets of their shard (the
 leading hex digits of the key hash) and the sub-bucket offsets are added; no task
-ever sees a whole shard.
+ever sees a whole shard.  The driver reads the sizes of the sub-buckets (at most
+4096 for each shard); where one is far larger than others, a key that many rows share
+is the cause, and the rows of this key are cut further by their texts' checksums, which
+come next in the order of slots.
 
-Defined cases: a null key is the key "null"; a null text has no bytes (size 1,
+Defined cases: a null key is the key "null", and its rows are numbered in the order of a hash
+of their texts; a null text has no bytes (size 1,
 checksum of the empty text); repeated keys share a shard and get neighbouring
 slots; an empty table gives an empty result; columns of the input whose names
 clash with the results are replaced.
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the key hash that name a sub-bucket: 16**3 of them in each shard.
 SUB_BUCKET_DIGITS = 3
+#: A sub-bucket of more rows than this, and than eight times the mean, has a key that is cut further.
+LARGE_ROWS = 500_000
 
 
 def _unit(key: Column, shard: int) -> Column:
@@ -48,33 +54,40 @@ def shard_documents(
     grown_weight: float = 1.0,
     key_col: str = "doc_id",
     text_col: str = "text",
+    large_rows: int = LARGE_ROWS,
 ) -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard for each row.
 
     weights: one for each shard; grown_weight: that of the shard added for
     ``grown_shard``.  size is the UTF-8 bytes of the text plus 1.
     """
-    key = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(key_col),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(key).alias("_hash"),
-        rendezvous(F.col(key_col), weights).cast("int").alias("shard"),
-        rendezvous(F.col(key_col), [*weights, grown_weight]).cast("int").alias("grown_shard"),
-    ).withColumn("_sub", F.substring("_hash", 1, SUB_BUCKET_DIGITS))
-    counts = docs.select(
-        rendezvous(F.col(key_col), weights).cast("int").alias("shard"),
-        F.substring(F.md5(key), 1, SUB_BUCKET_DIGITS).alias("_sub"),
-    ).groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    shard, grown = (rendezvous(F.col(key_col), w).cast("int") for w in (weights, [*weights, grown_weight]))
+    order = F.md5(F.coalesce(F.col(key_col).cast("string"), F.concat_ws(":", F.lit("null"), crc.cast("string"), size.cast("string"))))
+    sub = F.substring(order, 1, SUB_BUCKET_DIGITS)
+    rows = docs.select(F.col(key_col), size.alias("size"), crc.alias("text_crc32"), order.alias("_hash"), shard.alias("shard"), grown.alias("grown_shard")).withColumn("_sub", F.substring("_hash", 1, SUB_BUCKET_DIGITS))
     # at most len(weights) * 16**SUB_BUCKET_DIGITS small rows, whatever the input
-    offsets = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_sub").orderBy("_hash", key_col, "text_crc32", "size")
+    sizes = docs.select(shard.alias("shard"), sub.alias("_sub")).groupBy("shard", "_sub").agg(F.count("*").alias("_n")).collect()
+    limit = max(large_rows, 8 * sum(r["_n"] for r in sizes) // max(1, len(sizes)))
+    large = [(r["shard"], r["_sub"]) for r in sizes if r["_n"] > limit]
+    spark = docs.sparkSession
+    if large:
+        heavy = docs.select(shard.alias("shard"), sub.alias("_sub"), order.alias("_hash")).join(F.broadcast(spark.createDataFrame(large, "shard int, _sub string")), ["shard", "_sub"])
+        frequent = heavy.groupBy("shard", "_sub", "_hash").count().groupBy("shard", "_sub").agg(F.max_by("_hash", "count").alias("_frequent"))
+        own = F.col("_hash") == F.col("_frequent")
+        part = F.when(own, 1 + F.shiftright("text_crc32", 20)).when(F.col("_hash") > F.col("_frequent"), F.lit(1 << 13)).otherwise(F.lit(0)).cast("int")
+        rows = rows.join(F.broadcast(spark.createDataFrame(frequent.collect(), "shard int, _sub string, _frequent string")), ["shard", "_sub"], "left").withColumn("_part", part)
+        counts = rows.groupBy("shard", "_sub", "_part").agg(F.count("*").alias("_n"))
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
+        counts = spark.createDataFrame([(r["shard"], r["_sub"], 0, r["_n"]) for r in sizes], "shard int, _sub string, _part int, _n long")
+    before = Window.partitionBy("shard").orderBy("_sub", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "_sub", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("shard", "_sub", "_part").orderBy("_hash", key_col, "text_crc32", "size")
     return (
         rows.withColumn("_rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "_sub"])
+        .join(F.broadcast(offsets), ["shard", "_sub", "_part"])
         .select(
             key_col, "size", "text_crc32", F.lit("key").alias("law"), "shard",
             (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard",

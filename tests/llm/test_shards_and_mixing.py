@@ -18,6 +18,12 @@ def test_sharding_laws(spark):
     assert abs(moved - 1 / 9) < 0.01 and max(map(len, slots.values())) < 1.1 * min(map(len, slots.values()))
 
 
+def test_a_key_with_many_rows_is_cut_without_changing_slots(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    once, cut = (sorted(map(str, sharding.shard_documents(docs, (1.0,) * 4, large_rows=n).collect())) for n in (10**6, 50))
+    assert once == cut and len(once) == 3000
+
+
 def test_weights_set_the_shares(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = Counter(r[0] for r in sharding.shard_documents(docs, (1.0, 2.0, 5.0)).select("shard").collect())
