@@ -53,6 +53,10 @@ _BASE = 0x9E3779B1
 TABLE_BITS = 22
 
 
+def _by_id(found: tuple[object, int]) -> tuple[bool, object]:
+    return isinstance(found[0], str), found[0]
+
+
 def normal(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
@@ -82,7 +86,7 @@ def myers(pattern_masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Item:
     """A benchmark item with the pieces of its error budget and the halving tree over them."""
 
-    def __init__(self, key: int, text: str, rate: float):
+    def __init__(self, key: object, text: str, rate: float):
         self.key, self.text, self.budget, self.whole_words = key, text, int(len(text) * rate), False
         self.cuts = [round(i * len(text) / (self.budget + 1)) for i in range(self.budget + 2)]
         self._nodes: dict[tuple[int, int], dict[str, int]] = {}
@@ -148,7 +152,7 @@ class Item:
 class Matcher:
     """Finds the items that some passage of a text is within the error budget of."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = 40):
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE, min_chars: int = 40):
         self.items: list[Item] = []
         by_length: dict[int, dict[str, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for key, text in items:
@@ -219,7 +223,7 @@ class Matcher:
                     parts, owner, size = [], [], 0
         if parts:
             self._block(parts, owner, found)
-        return [sorted(f.items()) for f in found]
+        return [sorted(f.items(), key=_by_id) for f in found]
 
     def _block(self, parts: list[str], owner: list[tuple[int, bool, bool]], found: list[dict[int, int]]) -> None:
         """owner: for each part its text, and whether it has the text's start and its end."""
@@ -247,15 +251,15 @@ class Matcher:
         return self.search_all([text])[0]
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, str]]:
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[object, str]]:
     """The items, on the driver."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(id_col, text_col).collect()
     return [(r[0], r[1]) for r in rows]
 
 
-def item_blocks(items: list[tuple[int, str]], max_items: int = MAX_ITEMS, max_chars: int = MAX_CHARS) -> list[list[tuple[int, str]]]:
+def item_blocks(items: list[tuple[object, str]], max_items: int = MAX_ITEMS, max_chars: int = MAX_CHARS) -> list[list[tuple[object, str]]]:
     """The items in blocks of bounded size; an item of more characters is a block of its own."""
-    blocks: list[list[tuple[int, str]]] = []
+    blocks: list[list[tuple[object, str]]] = []
     size = 0
     for key, text in items:
         n = len(text or "")
@@ -267,7 +271,7 @@ def item_blocks(items: list[tuple[int, str]], max_items: int = MAX_ITEMS, max_ch
     return blocks
 
 
-def searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[list[tuple[int, str]]], rate: float, held_chars: int = HELD_CHARS) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int]]]]]:
+def searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[list[tuple[object, str]]], rate: float, held_chars: int = HELD_CHARS) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int]]]]]:
     """Each batch with what search_all() finds in its column at, over all blocks of items."""
     if len(blocks) <= 1:
         matcher = Matcher(blocks[0] if blocks else [], rate)
@@ -286,7 +290,7 @@ def searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[list[tuple
                     for key, distance in new:
                         row[key] = min(distance, row.get(key, distance))
         for batch, rows in zip(some, found):
-            yield batch, [sorted(r.items()) for r in rows]
+            yield batch, [sorted(r.items(), key=_by_id) for r in rows]
 
     for batch in batches:
         some.append(batch)
@@ -297,10 +301,12 @@ def searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[list[tuple
     yield from flush()
 
 
-def contamination(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """(id_col, contaminated, n_items, item_ids, least_distance) for each row."""
+def contamination(docs: DataFrame, items: list[tuple[object, str]], id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
+    """(id_col, contaminated, n_items, item_ids, least_distance) for each row; ids of items that are not all integers come as text."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema[id_col].dataType.simpleString()
+    whole = all(isinstance(k, int) for k, _ in items)
+    listed = pa.list_(pa.int64() if whole else pa.string())
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in searched(batches, 1, item_blocks(held.value), rate):
@@ -308,14 +314,14 @@ def contamination(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "
                 batch.column(0),
                 pa.array([bool(f) for f in found]),
                 pa.array([len(f) for f in found], pa.int32()),
-                pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())),
+                pa.array([[i if whole else str(i) for i, _ in f] for f in found], listed),
                 pa.array([min((d for _, d in f), default=None) for f in found], pa.int32()),
             ], [id_col, "contaminated", "n_items", "item_ids", "least_distance"])
 
-    return docs.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {kind}, contaminated boolean, n_items int, item_ids array<long>, least_distance int")
+    return docs.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {kind}, contaminated boolean, n_items int, item_ids array<{'long' if whole else 'string'}>, least_distance int")
 
 
-def keep_uncontaminated(docs: DataFrame, items: list[tuple[int, str]], text_col: str = "text", rate: float = RATE) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, items: list[tuple[object, str]], text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of docs that contain no item, with all their columns; nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index(text_col)
