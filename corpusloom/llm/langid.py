@@ -15,7 +15,8 @@ small letters.
 
 The trees are counted by the executors over a hash sample of about ``fit_rows``
 labelled rows of each language, whole texts (all rows of a language that has no
-more).  All counts of the samples are kept: no language or context is dropped.
+more), and each language's tree is compiled in a task of its own.  All counts of the
+samples are kept: no language or context is dropped.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties
 go to the first language in order; no labelled rows at all: every text is ``und``
@@ -24,6 +25,7 @@ with score 0; null ids are not held out; repeated rows are kept.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -165,21 +167,6 @@ def _order(codes: np.ndarray, n: np.ndarray, shorter: Tree) -> tuple[np.ndarray,
     return contexts, escape, codes, bits
 
 
-def build(langs: list[str], trigrams: list, fourgrams: list, max_cells: int | None = None) -> Model:
-    """trigrams: rows (language, two bytes of context and a byte, count); fourgrams likewise.
-
-    All of them are kept; max_cells is no longer used.
-    """
-    def grouped(rows: list) -> dict[str, list]:
-        out: dict[str, list] = {x: [] for x in langs}
-        for r in rows:
-            out[r[0]].append((r[1], r[2]))
-        return out
-
-    three, four = grouped(trigrams), grouped(fourgrams)
-    return Model(langs, [tree(*(np.array(x[k], np.int64).reshape(-1, 2).T for x in (three, four))) for k in langs])
-
-
 def tree(trigrams: np.ndarray, fourgrams: np.ndarray) -> Tree:
     """The tree of one language from (codes, counts) of distinct three and four byte runs."""
     c, n = trigrams
@@ -210,14 +197,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 code, n = count_grams(batch.column(1).filter(pa.compute.equal(names, name)))
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
 
-    grams = sample.mapInArrow(convert, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    langs, trees = sorted(grams["lang"].unique().to_pylist()), []
-    for name in langs:
-        own = grams.filter(pa.compute.equal(grams["lang"], name))
-        code, n = own["code"].to_numpy(), own["n"].to_numpy()
+    def compile(counted: pa.Table) -> pa.Table:
+        code, n = counted["code"].to_numpy(), counted["n"].to_numpy()
         short, where = np.unique(code & 0xFFFFFF, return_inverse=True)
-        trees.append(tree(np.array([short, np.bincount(where, n).astype(np.int64)]), np.array([code, n])))
-    return Model(langs, trees) if langs else None
+        own = tree(np.array([short, np.bincount(where, n).astype(np.int64)]), np.array([code, n]))
+        return pa.table({"lang": counted["lang"].slice(0, 1), "tree": pa.array([pickle.dumps(own)], pa.binary())})
+
+    # the counts of a language's sample make its tree in one task; the driver only gets the trees
+    grams = sample.mapInArrow(convert, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    built = {r["lang"]: pickle.loads(r["tree"]) for r in grams.groupBy("lang").applyInArrow(compile, "lang string, tree binary").collect()}
+    langs = sorted(built)
+    return Model(langs, [built[k] for k in langs]) if langs else None
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
