@@ -11,9 +11,15 @@ kept; all but the last return the columns of documents.
   a document drawn in two epochs comes twice.
 * sharding gives each row its shard and slot.
 
+Defined cases: a null text is empty (clean, fingerprint 0, no tokens, size 1); rows without an
+id take part in near_dedup and represent a group only where no row has one; repeated rows
+are one document of near_dedup; further columns pass through all stages, whatever their
+names; empty tables give an empty result, an empty benchmark or labels of one class keep
+everything.
+
 ORACLE_SQL is None: the first three stages are a trained model, 64-bit XXH64
 fingerprints and approximate matching, which SQL cannot state; tests hold each
-stage against brute force instead.
+stage, and the whole run, against brute force instead.
 """
 
 from __future__ import annotations
