@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import Corpus
 from corpusloom.functions import analysis as an
-from corpusloom.operators import community, components, kmeans, laws, pagerank, report, tfidf, triangles, vocab
+from corpusloom.operators import community, components, kmeans, laws, pagerank, tfidf, triangles, vocab
 from corpusloom.operators import postings as po
 from corpusloom.scratch import stored
 from corpusloom.sources import corpus as src
@@ -31,8 +31,8 @@ def _show(df: DataFrame, most: int = 50) -> None:
 
 def index(spark, a):
     tree = src.read_tree(spark, a.path, a.encoding).select(F.xxhash64("path").alias("doc_id"), "path", "text")
-    src.write_index(tree, a.index, a.token, a.filter)
-    print(src.read_index(spark, a.index)[0].count(), "documents")
+    written, failed = src.write_index(tree, a.index, a.token, a.filter)
+    print(written, "documents" + f", {failed} failed" * bool(failed))
 
 
 def find(spark, a):
@@ -86,9 +86,8 @@ def heaps(spark, a):
     points = stored(laws.growth(words, a.chunks), "growth")
     if a.output:
         src.write_table(points, a.output)
-    for (book,) in points.select("book").distinct().orderBy("book").collect():
-        (k, beta), cost = laws.fit_heaps(laws.without_tail(points.where(F.col("book") == book), a.tail))
-        print(f"{book}: k={k:.6g} beta={beta:.6g} sum of squares={cost:.6g}")
+    for r in laws.fit_heaps_of_each(laws.without_tail(points, a.tail), "book").orderBy("book").toLocalIterator():
+        print(f"{r['book']}: k={r['k']:.6g} beta={r['beta']:.6g} sum of squares={r['cost']:.6g}")
 
 
 def filters(spark, a):
@@ -121,10 +120,11 @@ def ranks(spark, a):
 
 def sweep(spark, a):
     vertices, edges, _ = _routes(spark, a)
-    for tol in a.t:
-        began = time.time()
-        got = stored(pagerank.pagerank(vertices, edges, a.l, a.max_iterations, tol), "sweep")
-        _show(report.quantiles(got, "rank", ["damping"]).join(got.groupBy("damping").agg(F.max("iterations").alias("iterations")), "damping").withColumns({"tolerance": F.lit(tol), "seconds": F.lit(time.time() - began)}).orderBy("damping"))
+    runs = pagerank.benchmark(vertices, edges, a.l, a.t, a.repetitions, a.max_iterations)
+    if a.output:
+        src.write_table(runs, f"{a.output}/results_all")
+        src.write_table(pagerank.benchmark_means(runs), f"{a.output}/results")
+    _show(pagerank.benchmark_means(runs).orderBy("damping", "tolerance"), 10_000)
 
 
 def extract(spark, a):
@@ -186,7 +186,7 @@ def parser() -> argparse.ArgumentParser:
     command(filters, ("path", {}), ("--token", {"nargs": "*"}), ("--filter", {"nargs": "*", "default": ["lowercase", "asciifolding", "stop", "porter_stem", "kstem", "snowball"]}), tree)
     graph = (("--airports", {"default": "airports.txt"}), ("--routes", {"default": "routes.txt"}), ("--max-iterations", {"type": int, "default": 1000}))
     command(ranks, *graph, ("-l", {"type": float, "default": 0.9}), ("--tolerance", {"type": float, "default": 1e-10}), ("--top", {"type": int, "default": 10}), ("--all", {"action": "store_true"}), name="pagerank")
-    command(sweep, *graph, ("-l", {"type": float, "nargs": "*", "default": [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99]}), ("-t", {"type": float, "nargs": "*", "default": [1e-6, 1e-7, 1e-8, 1e-9, 1e-10]}), name="benchmark")
+    command(sweep, *graph, ("-l", {"type": float, "nargs": "*", "default": [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99]}), ("-t", {"type": float, "nargs": "*", "default": [1e-6, 1e-7, 1e-8, 1e-9, 1e-10]}), ("-r --repetitions", {"type": int, "default": 5}), ("--output", {}), name="benchmark")
     command(extract, ix, ("--output", need), ("--minfreq", {"type": float, "nargs": "*", "default": [0.0]}), ("--maxfreq", {"type": float, "nargs": "*", "default": [1.0]}), ("--numwords", {"type": int, "nargs": "*", "default": [100]}))
     command(cluster, ("--docs", need), ("--nclust", {"type": int, "default": 2}), ("--iter", {"type": int, "default": 5}), ("--natt", {"type": int, "default": 5}), ("--seed", {"type": int, "default": 1}), ("--mode", {"default": "max_similarity", "choices": ["max_similarity", "min_similarity"]}), ("--output", {}), name="kmeans")
     command(network, ("path", {}), ("--threshold", {"type": float, "default": 0.7}), ("--output", {}), tree)

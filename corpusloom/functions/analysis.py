@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stem
+from corpusloom.scratch import lookup
 
 # Token patterns, in the syntax that Java and RE2 share.
 WHITESPACE = r"[^\s]+"
@@ -136,7 +137,8 @@ class Analyzer:
                 mapped = mapped.withColumn("_out", _stem_udf(name)(F.col("_out")))
             else:
                 mapped = filter_terms(mapped, name, "_out")
-        return rows.join(mapped, "term").select(id_col, F.col("_out").alias("term"))
+        # stored: broadcast if small, else two plain shuffles, so that a frequent term is split
+        return rows.join(lookup(mapped, "stems"), "term").select(id_col, F.col("_out").alias("term"))
 
 
 def _stem_udf(name: str):

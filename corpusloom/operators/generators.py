@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,24 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, settings: DataFrame) ->
 
 
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFrame:
-    """(src, dst): each of the n * (n - 1) / 2 pairs with probability p; work and rows follow the pairs drawn from."""
-    pairs = spark.range(n).select(F.col("id").alias("src")).where(F.col("src") < n - 1)
-    all_ = pairs.select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst"))
-    return all_.where(_unit(F.col("src"), F.col("dst"), F.lit(seed)) < p)
+    """(src, dst): each of the n * (n - 1) / 2 pairs with probability p; the work follows the pairs drawn.
+
+    Each node goes over the later ones by geometric leaps, from a generator seeded by its number.
+    """
+
+    def leaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for src in batch.column(0).to_pylist():
+                rng, at, ends = np.random.default_rng([seed, src]), src, []
+                while p > 0 and at < n - 1:
+                    places = at + np.cumsum(rng.geometric(p, max(16, min(100_000, int(p * (n - at) * 1.1)))))
+                    ends.append(places[places < n])
+                    at = int(places[-1])
+                if ends:
+                    dst = np.concatenate(ends)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dst), src)), pa.array(dst)], ["src", "dst"])
+
+    return spark.range(n).mapInArrow(leaps, "src long, dst long")
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 1, max_nodes: int = 100_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.scratch import checkpoint
+from corpusloom.scratch import checkpoint, lookup
 
 
 def initial_prototypes(vectors: DataFrame, k: int, seed: int = 1, id_col: str = "doc_id", replace: bool = False) -> DataFrame:
@@ -30,15 +30,15 @@ def assign(vectors: DataFrame, prototypes: DataFrame, mode: str = "max_similarit
 
     mode "min_similarity" takes the smallest similarity instead; there prototypes
     without a common term matter, so every document is compared with the sizes
-    of all prototypes.  Prototypes are k sets over a bounded vocabulary and are
-    broadcast; documents are not shuffled but to gather their own terms.
+    of all prototypes.  The prototypes' terms are broadcast if their number,
+    counted, allows it; documents are not shuffled but to gather their own terms.
     """
     if mode not in ("max_similarity", "min_similarity"):
         raise ValueError(f"unknown mode {mode}")
     sizes = prototypes.groupBy("cluster").agg(F.countDistinct("term").alias("np"))
     all_sizes = sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cluster", "np")))).alias("sizes"))
-    owners = prototypes.groupBy("term").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"))
-    hits = vectors.join(F.broadcast(owners), "term", "left").select(id_col, "term", F.explode_outer("clusters").alias("cluster"))
+    owners = lookup(prototypes.groupBy("term").agg(F.sort_array(F.collect_set("cluster")).alias("clusters")), "owners")
+    hits = vectors.join(owners, "term", "left").select(id_col, "term", F.explode_outer("clusters").alias("cluster"))
     per = hits.groupBy(id_col, "cluster").agg(F.count("*").alias("inter"))
     nd = vectors.groupBy(id_col).agg(F.count("*").alias("nd"))
     common = per.where("cluster IS NOT NULL").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "inter"))).alias("inter"))

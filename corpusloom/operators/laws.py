@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.scratch import lookup
+
+#: Lines whose bytes are summed up in one window.
+LINES_IN_RANGE = 4096
+
 
 def line_pieces(lines: DataFrame, n: int, book: str = "book", order: str = "line", text: str = "text") -> DataFrame:
-    """Adds piece (0 .. n - 1): each book's lines cut into n pieces of about equal bytes, at line ends."""
-    up = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Adds piece (0 .. n - 1): each book's lines cut into n pieces of about equal bytes, at line ends.
+
+    The bytes before a line are those of the ranges of lines before its own, a small
+    table, and those inside its range, so that a long book is no single task.  order:
+    a whole number.
+    """
     size = F.octet_length(text) + 1
-    start = F.coalesce(F.sum(size).over(up), F.lit(0))
-    total = F.sum(size).over(Window.partitionBy(book))
-    return lines.withColumn("piece", F.floor(F.lit(n) * start / total).cast("int"))
+    placed = lines.withColumn("_range", F.floor(F.col(order) / LINES_IN_RANGE))
+    ranges = placed.groupBy(book, "_range").agg(F.sum(size).alias("_size"))
+    up = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(F.col(book).alias("_book"), F.col("_range").alias("_at"), F.coalesce(F.sum("_size").over(up), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(book)).alias("_total"))
+    inside = Window.partitionBy(book, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    joined = own.join(lookup(starts, "ranges"), F.col(book).eqNullSafe(F.col("_book")) & F.col("_range").eqNullSafe(F.col("_at")))
+    piece = F.floor(F.lit(n) * (F.col("_before") + F.col("_inside")) / F.col("_total")).cast("int")
+    return joined.withColumn("piece", piece).drop("_range", "_book", "_at", "_before", "_total", "_inside")
 
 
 def growth(words: DataFrame, n: int, book: str = "book") -> DataFrame:
@@ -91,6 +108,14 @@ def least_squares(
                 k += 1
         return row[0], np.array(row[1 : 1 + n]), jtj
 
+    try:
+        return levenberg_marquardt(p, equations, low, high, max_steps, tolerance)
+    finally:
+        data.unpersist()
+
+
+def levenberg_marquardt(p: np.ndarray, equations: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], low: np.ndarray, high: np.ndarray, max_steps: int = 200, tolerance: float = 1e-10) -> tuple[list[float], float]:
+    """(parameters, sum of squares); equations gives the sum of squares, J'r and J'J at some parameters."""
     damping, (cost, jr, jtj) = 1e-3, equations(p)
     for _ in range(max_steps):
         free = ~(((p <= low) & (jr < 0)) | ((p >= high) & (jr > 0)))
@@ -111,7 +136,6 @@ def least_squares(
             damping *= 10
             if damping > 1e12:
                 break
-    data.unpersist()
     return [float(v) for v in p], float(cost)
 
 
@@ -147,6 +171,46 @@ def fit_heaps(points: DataFrame, x: str = "n_words", y: str = "n_unique") -> tup
     return least_squares(points.where(F.col(x) > 0), x, y, model, gradient, start, [(0, np.inf), (0, 1)])
 
 
+def fit_heaps_of_each(points: DataFrame, group: str, x: str = "n_words", y: str = "n_unique") -> DataFrame:
+    """(group, k, beta, cost): fit_heaps() of each group in a task of its own; a group is a growth table of few points."""
+    kind = points.schema[group].dataType.simpleString()
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf[x] > 0].sort_values([x, y])
+        n, u = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        if not len(n):
+            return pd.DataFrame({group: [], "k": [], "beta": [], "cost": []})
+        known = u > 0
+        start = np.array([10.0, 0.5])
+        if len(np.unique(n[known])) > 1:
+            slope, shift = np.polyfit(np.log(n[known]), np.log(u[known]), 1)
+            start = np.array([np.exp(shift), np.clip(slope, 0, 1)])
+
+        def equations(p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            base = n ** p[1]
+            j, r = np.stack([base, p[0] * base * np.log(n)]), u - p[0] * base
+            return float(r @ r), j @ r, j @ j.T
+
+        (k, beta), cost = levenberg_marquardt(start, equations, np.zeros(2), np.array([np.inf, 1.0]))
+        return pd.DataFrame({group: pdf[group].iloc[:1].tolist(), "k": [k], "beta": [beta], "cost": [cost]})
+
+    return points.select(group, x, y).groupBy(group).applyInPandas(one, f"`{group}` {kind}, k double, beta double, cost double")
+
+
+def density(values: DataFrame, column: str, points: int = 50) -> DataFrame:
+    """(x, density): Gaussian kernel density on evenly spaced points, three bandwidths beyond both ends.
+
+    The bandwidth is the standard deviation times n ** -0.2.  Equal values are
+    counted first, so the work is that of the distinct values times the points.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    whole = values.agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s"), F.min(column).alias("lo"), F.max(column).alias("hi")).where("s > 0")
+    shape = whole.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2)))
+    at = shape.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("n", "h", (F.col("lo") - 3 * F.col("h") + F.col("i") * (F.col("hi") - F.col("lo") + 6 * F.col("h")) / float(points - 1)).alias("x"))
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2)) / (F.col("h") * math.sqrt(2 * math.pi))
+    return counts.join(F.broadcast(at)).groupBy("x").agg((F.sum(F.col("c") * kernel) / F.max("n")).alias("density"))
+
+
 def fit_power(points: DataFrame, x: str = "degree", y: str = "n") -> tuple[list[float], float]:
     """(a, gamma) of a * x ** -gamma over the positive points."""
     pts = points.where((F.col(x) > 0) & (F.col(y) > 0))

@@ -35,15 +35,19 @@ def ranked(freq: DataFrame, by: str = "freq") -> DataFrame:
     """Adds rank (1 for the most frequent, ties by term) without gathering all rows in one task.
 
     Rows are numbered inside buckets of equal magnitude of the count, and the
-    buckets' sizes, a table of a few rows, give the offsets.
+    buckets' sizes give the offsets.  Words that occur once are about half of a
+    vocabulary, so buckets of one small count are cut further by the first two
+    bytes of the term, which its order follows: a few thousand rows of sizes.
     """
-    bucket = F.when(F.col(by) < 64, F.col(by)).otherwise(F.lit(64) + F.floor(F.log2(F.col(by)) * 16)).cast("int")
-    placed = freq.withColumn("_b", bucket)
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_b").orderBy(F.desc(by), "term")
-    return placed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), "_b").withColumn("rank", (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_r", "_off")
+    exact = F.col(by) < 64
+    bucket = F.when(exact, F.col(by)).otherwise(F.lit(64) + F.floor(F.log2(F.col(by)) * 16)).cast("int")
+    start = F.when(exact, F.substring(F.col("term").cast("binary"), 1, 2)).otherwise(F.lit(b""))
+    placed = freq.withColumns({"_b": bucket, "_p": start})
+    sizes = placed.groupBy("_b", "_p").agg(F.count("*").alias("_n"))
+    above = Window.orderBy(F.desc("_b"), "_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_b", "_p", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_b", "_p").orderBy(F.desc(by), "term")
+    return placed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), ["_b", "_p"]).withColumn("rank", (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_p", "_r", "_off")
 
 
 def top_terms(freq: DataFrame, n: int, by: str = "freq") -> DataFrame:

@@ -62,7 +62,7 @@ def natural_order(df: DataFrame, column: str) -> DataFrame:
 
 
 def merged(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union by keys in which rows of right replace those of left."""
+    """Union by keys in which rows of right replace those of left; of rows of one side that share a key the first in order of their values stays."""
     both = left.withColumn("_o", F.lit(0)).unionByName(right.withColumn("_o", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_o")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_o"), *(c for c in left.columns if c not in keys)))
     return both.withColumn("_r", rank).where("_r = 1").drop("_o", "_r")

@@ -159,12 +159,14 @@ def s13_run_logs(spark, table):
 @query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, source AS \"group\", path AS docid FROM {CORPUS_SQL}")
 def s15_sidecar_dimension(spark, table):
     docs = corpus(table)
-    # ids are dense; a rank over buckets of the key keeps the numbering distributed
-    placed = docs.select("doc_id", "source", "path", F.floor(F.col("doc_id") / 1000).alias("b"))
+    # a rank over at most 4096 ranges of the key keeps the numbering distributed
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = max(1000, -(-((high or 0) - (low or 0) + 1) // 4096))
+    placed = docs.select("doc_id", "source", "path", F.floor((F.col("doc_id") - (low or 0)) / width).alias("b"))
     sizes = placed.groupBy("b").agg(F.count("*").alias("n"))
     offsets = sizes.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy("doc_id")) - 1
-    return placed.withColumn("r", rank).join(offsets, "b").select((F.col("off") + F.col("r")).alias("id"), F.col("source").alias("group"), F.col("path").alias("docid"))
+    return placed.withColumn("r", rank).join(F.broadcast(offsets), "b").select((F.col("off") + F.col("r")).alias("id"), F.col("source").alias("group"), F.col("path").alias("docid"))
 
 
 @query("SELECT count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, 'letter' AS tokenizer, 'lowercase-stop' AS filters FROM documents")
@@ -175,8 +177,45 @@ def k01_k03_index_round_trip(spark, table):
     return docs.agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars")).withColumns({"tokenizer": F.lit(settings["tokenizer"]), "filters": F.lit("-".join(settings["filters"]))})
 
 
+@query("SELECT count(*) FILTER (doc_id % 7 <> 0) AS indexed, count(*) FILTER (doc_id % 7 = 0) AS failed FROM documents")
+def k02_bulk_load(spark, table):
+    """Documents written and documents that could not be, here those whose text is taken away."""
+    docs = corpus(table).withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text")))
+    written, failed = src.write_index(docs.select("doc_id", "path", "text"), scratch_path(spark, "index"), "letter", ("lowercase",))
+    return spark.createDataFrame([(written, failed)], "indexed long, failed long")
+
+
 # ---- analysis
 
+#: Published words and stems of the two algorithms (fixed values).
+PORTER_STEMS = {
+    "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop",
+    "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "vietnamization": "vietnam", "triplicate": "triplic",
+    "hopefulness": "hope", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "controll": "control", "roll": "roll",
+}
+PORTER2_STEMS = {
+    "consigned": "consign", "consistency": "consist", "knightly": "knight", "kneeling": "kneel", "knotty": "knotti", "happy": "happi", "hoping": "hope", "skies": "sky", "ties": "tie",
+    "cries": "cri", "gas": "gas", "gaps": "gap", "proceed": "proceed", "inning": "inning", "luxuriated": "luxuri", "generically": "generic", "saying": "say", "by": "by", "news": "news",
+}
+
+
+def _stem_query(name: str, stems: dict[str, str], analyzer: an.Analyzer, sql_where: str = "true"):
+    """Registers a query that sends the published words through an analyzer; its SQL is the published list."""
+    values = ", ".join(f"({i}, '{w}', '{s}')" for i, (w, s) in enumerate(stems.items()))
+
+    def run(spark, table):
+        words = spark.createDataFrame(list(enumerate(stems)), "id int, word string")
+        return words.join(analyzer.analyze(words, "id", "word"), "id").select("id", "word", F.col("term").alias("stem"))
+
+    run.__name__ = name
+    query(f"SELECT CAST(id AS INTEGER) AS id, word, stem FROM (VALUES {values}) v(id, word, stem) WHERE {sql_where}")(run)
+
+
+_stem_query("t08_t11_published_stems", PORTER_STEMS, an.Analyzer("letter", ("lowercase", "porter_stem")))
+_stem_query("t09_published_stems", PORTER2_STEMS, an.Analyzer("letter", ("lowercase", "snowball")))
+_stem_query("t13_published_stems", PORTER2_STEMS, an.CLUSTER_ANALYZER, f"word NOT IN {STOP_SQL} AND length(stem) BETWEEN 2 AND 10")
+
+
 def _counts(table, analyzer: an.Analyzer) -> DataFrame:
     return po.term_frequency(analyzer.analyze(table("documents")))
 
@@ -366,6 +405,10 @@ LUCENE = [
     ("field", "lang:fr AND le", "lang = 'fr' AND list_contains(toks, 'le')"),
     ("range", "source:[src1 TO src3] AND the", "source >= 'src1' AND source <= 'src3' AND list_contains(toks, 'the')"),
     ("fuzzy", "licensd~1", "len(list_filter(toks, lambda t: levenshtein(t, 'licensd') <= 1)) > 0"),
+    ("boost", "idiot^2 OR (trash clown)^0.5", "list_has_any(toks, ['idiot', 'trash', 'clown'])"),
+    ("regex", "/licen[cs]ed?/", "len(list_filter(toks, lambda t: regexp_full_match(t, 'licen[cs]ed?'))) > 0"),
+    ("proximity", '"apache license"~3', "len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'apache' AND list_contains(list_slice(toks, greatest(i - 2, 1), i + 4), 'license'))) > 0"),
+    ("open_range", "source:{src1 TO src3} AND the", "source > 'src1' AND source < 'src3' AND list_contains(toks, 'the')"),
 ]
 
 
@@ -385,6 +428,7 @@ def p03_highlights(spark, table):
 @query("SELECT doc_id, substr(text, 1, 10) AS head, count(*) OVER () AS hits FROM documents WHERE contains(lower(text), 'license')")
 def p04_hits_and_heads(spark, table):
     found = table("documents").where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", F.substring("text", 1, 10).alias("head"))
+    found = stored(found, "hits")
     return found.join(F.broadcast(found.agg(F.count("*").alias("hits"))))
 
 
@@ -488,9 +532,9 @@ def a17_speedup(spark, table):
 
 @query(f"SELECT lang, term, freq, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, term) AS rank FROM (SELECT lang, term, count(*) AS freq FROM ({LOWER_LETTERS}) JOIN documents USING (doc_id) GROUP BY lang, term)) WHERE rank <= 10")
 def r03_top_k_per_group(spark, table):
-    freq = LETTERS.analyze(table("documents")).join(table("documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.count("*").alias("freq"))
+    freq = LETTERS.analyze(table("documents"), "lang").groupBy("lang", "term").agg(F.count("*").alias("freq"))
     w = Window.partitionBy("lang").orderBy(F.desc("freq"), "term")
-    return freq.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10")
+    return freq.withColumn("rank", F.row_number().over(w)).where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
 
 
 ZIPF_SQL = f"SELECT term, freq, row_number() OVER (ORDER BY freq DESC, term) AS rank FROM ({_count_sql(LOWER_LETTERS)})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
@@ -17,7 +17,11 @@ ORACLES: dict[str, str] = {}
 def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: read(spark, sf_dir, name))
+            def table(name: str) -> DataFrame:
+                return read(spark, sf_dir, name)
+
+            table.sf_dir = sf_dir
+            return f(spark, table)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -107,10 +111,18 @@ THRESHOLD = 0.6
 REFERENCE_THRESHOLD = 1 - 0.7
 
 
+#: Networks of this application by (application, tables, threshold).
+_NETWORKS: dict[tuple[str, str, float], DataFrame] = {}
+
+
 def network(table, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges of documents with cosine over the threshold, stored once."""
-    weights = stored(smooth_weights(table), "weights")
-    return stored(tfidf.similarity_join(weights, threshold).select("src", "dst", "similarity"), "network")
+    """Edges of documents with cosine over the threshold, stored once for all queries of an application over the same tables."""
+    docs = table("documents")
+    key = (docs.sparkSession.sparkContext.applicationId, table.sf_dir, threshold)
+    if key not in _NETWORKS:
+        weights = stored(smooth_weights(table), "weights")
+        _NETWORKS[key] = stored(tfidf.similarity_join(weights, threshold).select("src", "dst", "similarity"), "network")
+    return _NETWORKS[key]
 
 
 def network_query(sql: str | None = None):
@@ -240,11 +252,42 @@ def m06_heaps_log_log(spark, table):
 @query()
 def m04_m06_heaps_fit(spark, table):
     points = stored(laws.without_tail(growth_table(table)).select("book", "n_words", "n_unique"), "heaps")
+    return laws.fit_heaps_of_each(points, "book")
+
+
+@query(f"""WITH {GROWTH_SQL}, t AS (SELECT book FROM (SELECT *, max(n_words) OVER (PARTITION BY book) AS top FROM growth) WHERE n_words < top - 3150 AND n_words > 0)
+SELECT book, true AS stationary, true AS no_worse FROM t GROUP BY book""")
+def m04_m06_heaps_fit_checks(spark, table):
+    """At each book's fit the slopes of the sum of squares vanish (or point out of the bounds), and the log-log line is no better."""
+    points = stored(laws.without_tail(growth_table(table)).where("n_words > 0").select("book", "n_words", "n_unique"), "heaps")
+    line = laws.log_log_fit(points, "n_words", "n_unique", ["book"]).select("book", "slope", "intercept")
+    at = points.join(laws.fit_heaps_of_each(points, "book"), "book").join(line, "book", "left")
+    base = F.pow("n_words", F.col("beta"))
+    r, by_k, by_beta = F.col("n_unique") - F.col("k") * base, base, F.col("k") * base * F.ln("n_words")
+
+    def flat(g: Column) -> Column:
+        return F.abs(F.sum(r * g)) <= 1e-3 * F.sqrt(F.sum(r * r) * F.sum(g * g)) + 1e-6
+
+    other = F.exp(F.col("intercept")) * F.pow("n_words", F.greatest(F.least("slope", F.lit(1.0)), F.lit(0.0)))
+    at_end = F.max("beta").isin(0.0, 1.0)
+    return at.groupBy("book").agg(
+        (flat(by_k) & (flat(by_beta) | at_end)).alias("stationary"),
+        F.coalesce(F.sum(r * r) <= F.sum(F.pow(F.col("n_unique") - other, 2)) * (1 + 1e-9) + 1e-9, F.lit(True)).alias("no_worse"),
+    )
+
+
+@query("SELECT unnest(['bounded', 'bounded_skip10', 'naive']) AS fit, true AS no_worse, true AS in_bounds")
+def m04_m05_zipf_fit_checks(spark, table):
+    """Each fit is no worse than the log-log line it starts from, and the bounded ones stay in their bounds."""
+    ranks = stored(zipf_table(table), "zipf")
     rows = []
-    for (book,) in points.select("book").distinct().orderBy("book").collect():
-        (k, beta), cost = laws.fit_heaps(points.where(F.col("book").eqNullSafe(F.lit(book))))
-        rows.append((book, k, beta, cost))
-    return spark.createDataFrame(rows, "book string, k double, beta double, cost double")
+    for name, skip, bounded in (("naive", 0, False), ("bounded", 0, True), ("bounded_skip10", 10, True)):
+        (a, b, c), cost = laws.fit_zipf(ranks, skip, bounded)
+        used = ranks.where(F.col("rank") > skip)
+        line = laws.log_log_fit(used, "rank", "freq").first()
+        start = used.agg(F.sum(F.pow(F.col("freq") - F.exp(F.lit(line["intercept"])) * F.pow(F.col("rank") + 1.0, F.lit(line["slope"])), 2))).first()[0]
+        rows.append((name, cost <= start * (1 + 1e-9), not bounded or min(a, b, c) >= 0))
+    return spark.createDataFrame(rows, "fit string, no_worse boolean, in_bounds boolean")
 
 
 @query(f"""WITH {GROWTH_SQL}, t AS (SELECT * FROM growth WHERE n_words > 0 AND n_unique > 0), fit AS (SELECT book, regr_slope(ln(n_unique), ln(n_words)) AS b, regr_intercept(ln(n_unique), ln(n_words)) AS a FROM t GROUP BY book)
@@ -423,6 +466,34 @@ def m09_degree_bins(spark, table, threshold=THRESHOLD):
     return laws.histogram(triangles.degrees(network(table, threshold)), "degree", 5.0)
 
 
+@network_query(f"""WITH {NET}, s AS (SELECT count(*) AS n, stddev_samp(degree) AS s, min(degree) AS lo, max(degree) AS hi FROM deg), b AS (SELECT n, lo, hi, s * pow(n, -0.2) AS h FROM s WHERE s > 0),
+x AS (SELECT n, h, lo - 3 * h + i * (hi - lo + 6 * h) / 49.0 AS x FROM b, (SELECT unnest(range(50)) AS i))
+SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - degree) / h, 2)) / (h * sqrt(2 * pi()))) / any_value(n), 9) AS density FROM x, deg GROUP BY x""")
+def m09_degree_density(spark, table, threshold=THRESHOLD):
+    got = laws.density(triangles.degrees(network(table, threshold)), "degree")
+    return got.select(F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+@network_query()
+def m09_community_size_density(spark, table, threshold=THRESHOLD):
+    return laws.density(community.sizes(community.communities(network(table, threshold))), "size")
+
+
+@network_query(f"WITH {NET} SELECT (SELECT count(*) FROM nodes) AS n_nodes, true AS each_once, true AS named_by_least, true AS inside_components, true AS modularity_no_lower")
+def g13_community_invariants(spark, table, threshold=THRESHOLD):
+    """Communities cover every node once, are named by their smallest member, stay inside components and have no lower modularity than these."""
+    edges = network(table, threshold)
+    labels = stored(community.communities(edges), "communities")
+    parts = stored(components.connected_components(edges), "parts")
+    both = labels.join(parts, "node")
+    whole = community.modularity(edges, parts.withColumnRenamed("component", "community"))
+    spread = both.groupBy("community").agg(F.countDistinct("component").alias("k"), F.min("node").alias("least"))
+    checks = spread.agg(F.bool_and(F.col("k") == 1).alias("inside_components"), F.bool_and(F.col("least") == F.col("community")).alias("named_by_least"))
+    counts = both.agg(F.count("*").alias("n_nodes"), (F.count("*") == F.countDistinct("node")).alias("each_once"))
+    better = F.lit(community.modularity(edges, labels) >= whole - 1e-12)
+    return counts.join(F.broadcast(checks)).select("n_nodes", "each_once", "named_by_least", "inside_components", better.alias("modularity_no_lower"))
+
+
 @network_query()
 def g13_communities(spark, table, threshold=THRESHOLD):
     edges = network(table, threshold)
@@ -497,6 +568,27 @@ def g18_barabasi_albert(spark, table):
     return generators.barabasi_albert(spark, 1000, 3)
 
 
+@query("SELECT unnest(['barabasi_albert', 'erdos_renyi', 'watts_strogatz']) AS model, true AS simple, true AS nodes_in_range, true AS edges_in_range")
+def g17_g18_g19_random_graph_checks(spark, table):
+    """Edges of each model are distinct and without loops, and their number is what the model says (within five deviations)."""
+    settings = spark.createDataFrame([(0.3, 0)], "p double, rep int")
+    mean, spread = 0.02 * 500 * 499 / 2, (0.02 * 0.98 * 500 * 499 / 2) ** 0.5
+    models = {
+        "erdos_renyi": (generators.erdos_renyi(spark, 500, 0.02), 500, mean - 5 * spread, mean + 5 * spread),
+        "barabasi_albert": (generators.barabasi_albert(spark, 1000, 3), 1000, 997 * 3, 997 * 3),
+        "watts_strogatz": (generators.watts_strogatz(spark, 500, 4, settings).select("src", "dst"), 500, 1000, 1000),
+    }
+    out = None
+    for name, (edges, n, low, high) in models.items():
+        ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        one = ends.agg(
+            ((F.count("*") == F.countDistinct("a", "b")) & F.bool_and(F.col("a") < F.col("b"))).alias("simple"),
+            F.bool_and(F.col("a").between(0, n - 1) & F.col("b").between(0, n - 1)).alias("nodes_in_range"), F.count("*").between(low, high).alias("edges_in_range"),
+        ).select(F.lit(name).alias("model"), "simple", "nodes_in_range", "edges_in_range")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def g19_watts_strogatz_sweep(spark, table):
     """Mean and deviation of clustering and path length (0 if disconnected) for each p, and the means over their largest."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,11 +101,18 @@ def parse_run_logs(lines: DataFrame, file: str = "file", order: str = "line", va
     return run.where("seconds IS NOT NULL").select(file, "repetition", "iteration", "seconds", "converged")
 
 
-def write_index(docs: DataFrame, path: str, tokenizer: str, filters: Sequence[str]) -> None:
-    """Replaces a dataset of documents and keeps the analyzer's settings beside it."""
-    docs.write.mode("overwrite").parquet(f"{path}/documents")
+def write_index(docs: DataFrame, path: str, tokenizer: str, filters: Sequence[str], text_col: str = "text") -> tuple[int, int]:
+    """Replaces a dataset of documents and keeps the analyzer's settings beside it: (documents written, documents that failed).
+
+    A document without a text can't be indexed; both numbers are observed while writing.
+    """
+    seen = Observation()
+    failed = F.col(text_col).isNull()
+    watched = docs.observe(seen, F.count("*").alias("all"), F.count(F.when(failed, 1)).alias("failed"))
+    watched.where(~failed).write.mode("overwrite").parquet(f"{path}/documents")
     settings = json.dumps({"tokenizer": tokenizer, "filters": list(filters)})
     docs.sparkSession.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/analyzer")
+    return seen.get["all"] - seen.get["failed"], seen.get["failed"]
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:

@@ -39,7 +39,8 @@ def test_graph_commands(spark, tmp_path, capsys):
     (tmp_path / "routes.txt").write_text("X,1,AAA,1,BBB\nX,1,BBB,1,CCC\nX,1,CCC,1,AAA\nX,1,QQQ,1,AAA\n")
     files = ["--airports", str(tmp_path / "airports.txt"), "--routes", str(tmp_path / "routes.txt")]
     main(["pagerank", *files], spark)
-    main(["benchmark", *files, "-l", "0.5", "0.9", "-t", "1e-6"], spark)
+    main(["benchmark", *files, "-l", "0.5", "0.9", "-t", "1e-6", "-r", "2", "--output", str(tmp_path / "b")], spark)
+    assert spark.read.csv(str(tmp_path / "b/results_all"), header=True).count() == 4 and spark.read.csv(str(tmp_path / "b/results"), header=True).columns[:3] == ["damping", "tolerance", "iterations"]
     said = capsys.readouterr().out
     assert "Name AAA, Land" in said and "0 iterations" in said
 

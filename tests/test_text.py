@@ -5,6 +5,7 @@ from corpusloom.functions import analysis as an
 from corpusloom.functions import stem
 from corpusloom.operators import laws, report, search, tfidf, vocab
 from corpusloom.operators import postings as po
+from corpusloom.plans.text_queries import PORTER2_STEMS, PORTER_STEMS
 from corpusloom.sources import corpus as src
 
 DOCS = [
@@ -47,20 +48,9 @@ def test_one_to_one_filters_keep_totals(docs):
         assert an.Analyzer("standard", (f,)).analyze(docs).count() == plain
 
 
-PORTER = {
-    "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop",
-    "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "vietnamization": "vietnam", "triplicate": "triplic",
-    "hopefulness": "hope", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "controll": "control", "roll": "roll",
-}
-PORTER2 = {
-    "consigned": "consign", "consistency": "consist", "knightly": "knight", "kneeling": "kneel", "knotty": "knotti", "happy": "happi", "hoping": "hope", "skies": "sky", "ties": "tie",
-    "cries": "cri", "gas": "gas", "gaps": "gap", "proceed": "proceed", "inning": "inning", "luxuriated": "luxuri", "generically": "generic", "saying": "say", "by": "by", "news": "news",
-}
-
-
 def test_stemmers():
-    assert {w: stem.porter(w) for w in PORTER} == PORTER
-    assert {w: stem.porter2(w) for w in PORTER2} == PORTER2
+    assert {w: stem.porter(w) for w in PORTER_STEMS} == PORTER_STEMS
+    assert {w: stem.porter2(w) for w in PORTER2_STEMS} == PORTER2_STEMS
     assert stem.kstem("stories") == "story" and stem.kstem("running") == "run" and stem.kstem("glass") == "glass"
 
 
@@ -107,7 +97,10 @@ def test_query_parser(docs):
     assert ids('"quick brown"') == [1] and ids('"brown quick"') == [] and ids("jump*") == [3, 4] and ids("f?x") == [1, 3, 4]
     assert ids("quikc~2") == [1] and ids("path:a*") == [1, 2] and ids("(quick OR over) AND fox") == [1, 3, 4]
     assert ids("quick over") == [1, 3, 4] and ids("[fox TO foxes]") == [1, 3, 4]
-    for bad in ("", "(fox", "fox^2", "nofield:x"):
+    assert ids("fox^2 AND quick^0.5") == [1] and ids("(over quick)^2") == [1, 3, 4] and ids("{fox TO foxes}") == [] and ids("{fow TO foxes]") == [1, 3, 4]
+    assert ids("/j.mp(s|ing)/") == [3, 4] and ids("/j.mp/") == [] and ids("path:/a.*/ AND fox") == [1] and ids("path:a/1") == [1]
+    assert ids('"quick fox"~1') == [1] and ids('"quick fox"~0') == [] and ids('"fox quick"~3') == [1] and ids('"fox quick"~2') == [] and ids('"the fox"~2 AND "the fox"~1') == []
+    for bad in ("", "(fox", "fox^x", "nofield:x", 'path:"a b"~2'):
         with pytest.raises(ValueError):
             ids(bad)
 
