@@ -47,7 +47,12 @@ def count(spark, a):
     corpus, analyzer = _open(spark, a.index)
     freq = stored(corpus.analyze(analyzer).frequencies(), "freq")
     order = ["term"] if a.alpha else [F.desc("freq"), "term"] if a.top else ["freq", "term"]
-    _show(freq.orderBy(*order).limit(a.top) if a.top else freq.orderBy(*order), a.top or 1_000)
+    ordered = freq.orderBy(*order)
+    if a.all:  # the whole vocabulary, a partition at a time
+        for r in ordered.toLocalIterator():
+            print(f"{r['freq']}, {r['term']}")
+    else:
+        _show(ordered.limit(a.top) if a.top else ordered, a.top or 1_000)
     _show(po.totals(freq))
 
 
@@ -85,7 +90,7 @@ def heaps(spark, a):
     words = laws.line_pieces(lines, a.chunks).select("book", "piece", F.explode(an.posix_words(F.col("text"))).alias("word"))
     points = stored(laws.growth(words, a.chunks), "growth")
     if a.output:
-        src.write_table(points, a.output)
+        src.write_table(points, a.output, a.sep)
     for r in laws.fit_heaps_of_each(laws.without_tail(points, a.tail), "book").orderBy("book").toLocalIterator():
         print(f"{r['book']}: k={r['k']:.6g} beta={r['beta']:.6g} sum of squares={r['cost']:.6g}")
 
@@ -178,11 +183,11 @@ def parser() -> argparse.ArgumentParser:
     ix = ("--index", need)
     command(index, ("--path", need), ix, tree, ("--token", {"default": "standard", "choices": ["standard", "whitespace", "classic", "letter"]}), ("--filter", {"nargs": "*", "default": ["lowercase"]}))
     command(find, ix, ("--text", {"default": ""}), ("--query", {}), name="search")
-    command(count, ix, ("--alpha", {"action": "store_true"}), ("--top", {"type": int, "default": 0}))
+    command(count, ix, ("--alpha", {"action": "store_true"}), ("--top", {"type": int, "default": 0}), ("--all", {"action": "store_true"}))
     command(similarity, ix, ("--files", {"nargs": 2, **need}), ("--print", {"action": "store_true"}))
     command(related, ("path", {}), ix, ("--ignore-paths", {"nargs": "*", "default": []}), ("-n", {"type": int, "default": 10}))
     command(zipf, ("-i --input", need), ("--skip", {"type": int, "default": 10}))
-    command(heaps, ("path", {}), ("--chunks", {"type": int, "default": 50}), ("--tail", {"type": int, "default": 3150}), ("--output", {}), tree)
+    command(heaps, ("path", {}), ("--chunks", {"type": int, "default": 50}), ("--tail", {"type": int, "default": 3150}), ("--output", {}), ("--sep", {"default": ","}), tree)
     command(filters, ("path", {}), ("--token", {"nargs": "*"}), ("--filter", {"nargs": "*", "default": ["lowercase", "asciifolding", "stop", "porter_stem", "kstem", "snowball"]}), tree)
     graph = (("--airports", {"default": "airports.txt"}), ("--routes", {"default": "routes.txt"}), ("--max-iterations", {"type": int, "default": 1000}))
     command(ranks, *graph, ("-l", {"type": float, "default": 0.9}), ("--tolerance", {"type": float, "default": 1e-10}), ("--top", {"type": int, "default": 10}), ("--all", {"action": "store_true"}), name="pagerank")
