@@ -18,9 +18,9 @@ in two documents, and neighbouring deep nodes together are the maximal repeats.
    compares neighbours: the depth down to which two agree (their longest common
    prefix, at the tree's branching depths) gives the inner nodes as intervals of
    the sorted suffixes.  Deep ones are read off as they close, so a task holds a
-   batch of leaves and one open node.  Where all words of a prefix are used up and it still has
-   too many suffixes, its group is a single hot node (or a few): its least document is an
-   aggregate, and no task gathers its leaves.
+   batch of leaves and one open node.  A window that alone has too many suffixes is a
+   hot node: its least document is an aggregate that all tasks get (there are few
+   such windows), and no task gathers its leaves.
 
 Edges of the trees are named by 64-bit rolling hashes of their words; whole windows,
 and whole runs, by two independent ones, 128 bits.  Of each repeat, all words are
@@ -44,14 +44,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.kernels import WordSums, slices, sliding_min, word_hashes, words
-from corpusloom.scratch import discard, lookup, stored
+from corpusloom.scratch import discard, stored
 
 WINDOW = 50
 GRAM = 8
 #: Words down to which the trees branch above the deep nodes; prefixes are lengthened from each to the next.
 DEPTHS = (8, 16, 32)
-#: Suffixes of a group.
-MOST_LEAVES = 50_000
+#: Suffixes of a group; more, where there would be more than so many prefixes to lengthen.
+MOST_LEAVES = 10_000
+MOST_PREFIXES = 100_000
 
 
 def _runs(ids: pa.Array, texts: pa.Array, window: int, gram: int) -> Iterator[list[pa.Array]]:
@@ -123,28 +124,32 @@ def suffixes(joined: DataFrame, id_col: str, window: int) -> DataFrame:
 
 
 def by_prefix(leaves: DataFrame, most_leaves: int = MOST_LEAVES) -> tuple[DataFrame, DataFrame | None]:
-    """Groups suffixes by prefixes of variable length: columns p0, p1 and p2 name a group.
+    """Groups suffixes by prefixes of variable length: columns p0 to p3 name a group.
 
-    The second result has the suffixes whose prefix has too many of them at every depth; None if there are none.
+    The second result has the suffixes of windows that alone have too many of them; None if there are none.
+    The driver takes the names of the prefixes that are lengthened, at most MOST_PREFIXES at each depth.
     """
-    bits = min(32, (4 * leaves.count() // most_leaves).bit_length())
+    total = leaves.count()
+    most_leaves = max(most_leaves, total // MOST_PREFIXES)
+    bits = min(32, (4 * total // most_leaves).bit_length())
 
     def bucket(hashed: Column) -> Column:
         return F.shiftright(hashed.bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
 
-    depths = [bucket(c) for c in (F.col("short").cast("long"), F.shiftright("path", 32), F.col("path"))]
+    depths = [bucket(c) for c in (F.col("short").cast("long"), F.shiftright("path", 32), F.col("path"), F.shiftright("w1", 32))]
     names = [f"p{i}" for i in range(len(depths))]
-    grouped = leaves.withColumns({n: F.lit(-1).cast("long") for n in names}).withColumns({"p0": depths[0], "_open": F.lit(True)})
+    grouped = leaves.withColumns({n: F.lit(-1).cast("long") for n in names}).withColumn("p0", depths[0])
+    open_ = F.lit(True)
     for i in range(len(depths)):
-        sizes = grouped.where("_open").groupBy(*names[: i + 1]).count().where(F.col("count") > most_leaves)
-        # at most one in most_leaves of all suffixes
-        large = lookup(sizes.select(*names[: i + 1], F.lit(True).alias("_large")), "prefixes")
-        if large.isEmpty():
-            return grouped.drop("_open"), None
-        grouped = grouped.join(large, names[: i + 1], "left").withColumn("_open", F.coalesce(F.col("_open") & F.col("_large"), F.lit(False))).drop("_large")
+        # the last are whole windows, not groups of them
+        name = F.xxhash64(*names[: i + 1]) if i + 1 < len(depths) else F.xxhash64("w1", "w2")
+        large = [r[0] for r in grouped.where(open_).groupBy(name.alias("name")).count().where(F.col("count") > most_leaves).select("name").collect()]
+        if not large:
+            return grouped, None
+        open_ = open_ & name.isin(large)
         if i + 1 < len(depths):
-            grouped = grouped.withColumn(names[i + 1], F.when(F.col("_open"), depths[i + 1]).otherwise(F.col(names[i + 1])))
-    return grouped.where("NOT _open").drop("_open"), grouped.where("_open").drop("_open")
+            grouped = grouped.withColumn(names[i + 1], F.when(open_, depths[i + 1]).otherwise(F.col(names[i + 1])))
+    return grouped.where(~open_), grouped.where(open_)
 
 
 def common_depths(paths: Sequence[np.ndarray], before: Sequence[int] | None, window: int) -> np.ndarray:
@@ -184,10 +189,36 @@ def subtree_repeats(grouped: DataFrame, id_col: str, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.filter(gone), batch.column(5).filter(gone)], [id_col, "start"])
             before, least = [int(x[-1]) for x in paths], owners.slice(len(owners) - 1)
 
-    ordered = grouped.repartition("p0", "p1", "p2").sortWithinPartitions(*path, id_col)
+    ordered = grouped.repartition("p0", "p1", "p2", "p3").sortWithinPartitions(*path, id_col)
     return ordered.select(*path, id_col, "start").mapInArrow(convert, f"`{id_col}` {kind}, start int")
 
 
+def hot_repeats(hot: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, start) as subtree_repeats() gives, for windows of which each has very many leaves.
+
+    Such windows are few, at most MOST_PREFIXES; their least documents, an aggregate, go to every task.
+    """
+    found = hot.groupBy("w1", "w2").agg(F.min(id_col).alias("least"), F.max(id_col).alias("most")).where("least < most").select("w1", "w2", "least").toArrow().sort_by("w1")
+    w1, w2, least = found["w1"].to_numpy(), found["w2"].to_numpy(), found["least"].combine_chunks()
+    held = hot.sparkSession.sparkContext.broadcast((w1, w2, least))
+    kind = hot.schema[id_col].dataType.simpleString()
+    repeats = int(np.unique(w1, return_counts=True)[1].max(initial=1))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w1, w2, least = held.value
+        for batch in batches:
+            a, b, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            first = np.searchsorted(w1, a)
+            for k in range(repeats):
+                at = np.minimum(first + k, len(w1) - 1)
+                same = np.flatnonzero((w1[at] == a) & (w2[at] == b)) if len(w1) else np.zeros(0, np.int64)
+                own = ids.take(pa.array(same))
+                gone = pa.compute.not_equal(own, least.take(pa.array(at[same])))
+                yield pa.RecordBatch.from_arrays([own.filter(gone), batch.column(3).take(pa.array(same)).filter(gone)], [id_col, "start"])
+
+    return hot.select("w1", "w2", id_col, "start").mapInArrow(convert, f"`{id_col}` {kind}, start int")
+
+
 def deep_leaves(joined: DataFrame, id_col: str, window: int, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """(id_col, start): the suffixes in spans of each text whose window also starts in a smaller document's spans."""
     leaves = stored(suffixes(joined, id_col, window), "suffixes")
@@ -195,10 +226,7 @@ def deep_leaves(joined: DataFrame, id_col: str, window: int, most_leaves: int =
     found = subtree_repeats(grouped, id_col, window)
     if hot is None:
         return found
-    least = hot.groupBy("w1", "w2").agg(F.min(id_col).alias("least"), F.max(id_col).alias("most")).where("least < most").select("w1", "w2", "least")
-    # stored, so that the join has two plain shuffles and a window that many documents share is split
-    single = hot.join(stored(least, "hot"), ["w1", "w2"]).where(F.col(id_col) > F.col("least"))
-    return found.unionByName(single.select(id_col, "start"))
+    return found.unionByName(hot_repeats(hot, id_col))
 
 
 def _cut(joined: DataFrame, id_col: str) -> DataFrame:

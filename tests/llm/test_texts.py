@@ -72,14 +72,14 @@ def test_prefixes_lengthen_until_groups_fit(spark):
     leaves = substrings.suffixes(df, "doc_id", 20).cache()
     most = 30
     grouped, hot = substrings.by_prefix(leaves, most)
-    groups = grouped.groupBy("p0", "p1", "p2").count().collect()
+    groups = grouped.groupBy("p0", "p1", "p2", "p3").count().collect()
     assert max(r["count"] for r in groups) <= most
     # short, longer and whole prefixes are all in use, and no suffix is lost
     assert {(r["p1"] >= 0) + (r["p2"] >= 0) for r in groups} >= {0, 1} and hot.count() > 0
     assert grouped.count() + hot.count() == leaves.count() == sum(len(w) - 19 for _, w in rows)
     assert {r[0] for r in hot.groupBy("w1", "w2").count().select("count").collect()} == {80}
     paths = [(tuple(w[i : i + 8]), k, i) for k, w in rows for i in range(len(w) - 19)]
-    group_of = {(r["doc_id"], r["start"]): (r["p0"], r["p1"], r["p2"]) for r in grouped.collect()}
+    group_of = {(r["doc_id"], r["start"]): (r["p0"], r["p1"], r["p2"], r["p3"]) for r in grouped.collect()}
     deepest = {}
     for words, k, i in paths:  # equal prefixes of 20 words are never parted
         if (k, i) in group_of:
@@ -214,6 +214,42 @@ def test_toxicity_held_out(spark):
     assert got.predicted[got.toxic == 1].mean() > 0.8 and got.predicted[got.toxic == 0].mean() < 0.02
 
 
+def _naive_score(m, text):
+    """The score of one text by its definition, a word and an n-gram at a time."""
+    found = (text or "").lower().split()
+    found = [w.encode() for w, last in zip(found, [None, *found]) if w != last]
+    margins = []
+    for at in range(0, len(found), m.words):
+        values = []
+        for w in found[at : at + m.words]:
+            token = b" " + w + b" "
+            for n in toxicity.GRAMS:
+                for i in range(len(token) - n + 1):
+                    h = 0
+                    for byte in token[i : i + n]:
+                        h = (h * 0x01000193 + byte + 1) % 2**32
+                    h = (h ^ h >> 15) * (0x85EBCA6B + 2 * n) % 2**32
+                    values.append(float(m.weight[h >> 32 - toxicity.BUCKET_BITS]))
+        if values:
+            margins.append(sum(values) / len(values) + m.bias)
+    if not margins:
+        return m.base
+    worst = sorted(margins)[-toxicity.TOP :]
+    margin = max(-toxicity.CLIP, min(toxicity.CLIP, sum(worst) / len(worst)))
+    return 1 / (1 + np.exp(-(m.slope * margin + m.shift)))
+
+
+def test_toxicity_scores_by_definition(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    some = docs.where("n_chars < 3000").limit(60)
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert np.allclose([got[k] for k in texts], [_naive_score(model, t) for t in texts.values()], atol=1e-4)
+    odd = [None, "", " ", "a", "a a a", "Ünï ©ode \U0001d4b3 ß", "x" * 50]
+    assert np.allclose(model.score(odd), [_naive_score(model, t) for t in odd], atol=1e-4)
+
+
 def test_batches_do_not_change_scores():
     m = toxicity.train(["aa bb cc dd"] * 10 + ["xx yy zz qq"] * 10, [0] * 10 + [1] * 10, 0.5, min_texts=1)
     texts = ["aa bb", "xx yy zz", "", "qq " * 50_000, None, "aa xx"]
