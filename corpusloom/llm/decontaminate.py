@@ -46,7 +46,7 @@ RATE = 0.1
 #: Characters of normal form scanned at once.
 BLOCK = 250_000
 #: Items and their characters that are compiled at once, and characters of documents held for several such blocks.
-MAX_ITEMS, MAX_CHARS, HELD_CHARS = 50_000, 20_000_000, 50_000_000
+MAX_ITEMS, MAX_CHARS, HELD_CHARS = 20_000, 4_000_000, 50_000_000
 _OTHER = re.compile(r"[\W_]+")
 #: Multiplier of the rolling hash (fixed value).
 _BASE = 0x9E3779B1
