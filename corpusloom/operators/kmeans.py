@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.scratch import checkpoint, lookup
+from corpusloom.scratch import checkpoint
+
+#: Rows of prototypes up to which their terms are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def initial_prototypes(vectors: DataFrame, k: int, seed: int = 1, id_col: str = "doc_id", replace: bool = False) -> DataFrame:
@@ -37,7 +40,9 @@ def assign(vectors: DataFrame, prototypes: DataFrame, mode: str = "max_similarit
         raise ValueError(f"unknown mode {mode}")
     sizes = prototypes.groupBy("cluster").agg(F.countDistinct("term").alias("np"))
     all_sizes = sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("cluster", "np")))).alias("sizes"))
-    owners = lookup(prototypes.groupBy("term").agg(F.sort_array(F.collect_set("cluster")).alias("clusters")), "owners")
+    owners = prototypes.groupBy("term").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"))
+    if prototypes.count() <= MOST_BROADCAST:
+        owners = F.broadcast(owners)
     hits = vectors.join(owners, "term", "left").select(id_col, "term", F.explode_outer("clusters").alias("cluster"))
     per = hits.groupBy(id_col, "cluster").agg(F.count("*").alias("inter"))
     nd = vectors.groupBy(id_col).agg(F.count("*").alias("nd"))

@@ -208,3 +208,55 @@ def test_related_takes_a_query_set(spark, oracle):
     docs = spark.createDataFrame([(i,) for i in (1, 2, 5, 6, 9)], "doc_id long")
     got = tfidf.related_to_each(weights, docs.where("doc_id IN (1, 5, 6)"), docs, 3)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0.0), (1, 2, 0.0), (1, 5, 0.0), (5, 1, 0.0), (5, 5, 1.0), (5, 6, 0.6), (6, 1, 0.0), (6, 5, 0.6), (6, 6, 1.0)]
+
+
+def test_density_and_fits_of_each_book(spark):
+    import numpy as np
+
+    values = [1, 1, 2, 3, 3, 3, 7, 20]
+    got = laws.density(spark.createDataFrame([(v,) for v in values] + [(None,)], "v int"), "v", 30).orderBy("x").collect()
+    h = np.std(values, ddof=1) * len(values) ** -0.2
+    x = np.linspace(1 - 3 * h, 20 + 3 * h, 30)
+    want = np.exp(-0.5 * ((x[:, None] - np.array(values)) / h) ** 2).sum(1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert np.allclose([r["x"] for r in got], x) and np.allclose([r["density"] for r in got], want)
+    assert laws.density(spark.createDataFrame([(3,), (3,)], "v int"), "v").count() == 0
+
+    rng = np.random.default_rng(0)
+    rows = [(b, int(n), int(k * n**e * rng.uniform(0.97, 1.03))) for b, k, e in (("a", 12.0, 0.6), ("b", 3.0, 0.8)) for n in range(500, 20_000, 500)]
+    points = spark.createDataFrame(rows, "book string, n_words long, n_unique long")
+    each = {r["book"]: r for r in laws.fit_heaps_of_each(points, "book").collect()}
+    for book in "ab":
+        (k, beta), cost = laws.fit_heaps(points.where(F.col("book") == book))
+        assert np.allclose([each[book]["k"], each[book]["beta"], each[book]["cost"]], [k, beta, cost], rtol=1e-3)
+    assert laws.fit_heaps_of_each(points.where("false"), "book").count() == 0
+
+
+def test_ranks_of_many_words_that_occur_once(spark):
+    words = [("".join(chr(0x61 + (i // 26**k) % 26) for k in range(3)), 1 + (i % 50 == 0) * i) for i in range(3000)] + [("É", 1), ("", 1), ("𝒳", 1)]
+    df = spark.createDataFrame(words, "term string, freq long")
+    got = [r["term"] for r in po.ranked(df).orderBy("rank").collect()]
+    assert got == [w for w, _ in sorted(words, key=lambda x: (-x[1], x[0].encode()))]
+
+
+def test_pieces_of_long_books(spark, monkeypatch):
+    monkeypatch.setattr(laws, "LINES_IN_RANGE", 7)
+    rows = [(b, i, "x" * (i * 7 % 31)) for b, n in (("a", 90), ("b", 12), (None, 5)) for i in range(n)]
+    got = {(r["book"], r["line"]): r["piece"] for r in laws.line_pieces(spark.createDataFrame(rows, "book string, line long, text string"), 5).collect()}
+    for b in ("a", "b", None):
+        own = [(i, len(t) + 1) for x, i, t in rows if x == b]
+        total, at = sum(n for _, n in own), 0
+        for i, n in own:
+            assert got[b, i] == 5 * at // total
+            at += n
+
+
+def test_failed_documents_are_counted(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "doc_id long, text string")
+    assert src.write_index(df, str(tmp_path / "ix"), "letter", ()) == (2, 1)
+    assert src.read_index(spark, str(tmp_path / "ix"))[0].count() == 2 and src.write_index(df.where("false"), str(tmp_path / "none"), "letter", ()) == (0, 0)
+
+
+def test_merge_with_repeated_keys(spark):
+    left = spark.createDataFrame([(1, "l"), (2, "l")], "k long, v string")
+    right = spark.createDataFrame([(1, "r2"), (1, "r1"), (3, "r")], "k long, v string")
+    assert sorted(map(tuple, report.merged(left, right, ["k"]).collect())) == [(1, "r1"), (2, "l"), (3, "r")]
