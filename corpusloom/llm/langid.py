@@ -15,8 +15,8 @@ small letters.
 
 The trees are counted by the executors over a hash sample of about ``fit_rows``
 labelled rows of each language, whole texts (all rows of a language that has no
-more), and each language's tree is compiled in a task of its own.  All counts of the
-samples are kept: no language or context is dropped.
+more), and compiled there, all contexts that share their last two bytes in one task.
+All counts of the samples are kept: no language or context is dropped.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties
 go to the first language in order; no labelled rows at all: every text is ``und``
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.kernels import slices
 from corpusloom.llm.learning import held_out
+from corpusloom.scratch import stored
 
 ORDER = 3
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -167,15 +168,38 @@ def _order(codes: np.ndarray, n: np.ndarray, shorter: Tree) -> tuple[np.ndarray,
     return contexts, escape, codes, bits
 
 
-def tree(trigrams: np.ndarray, fourgrams: np.ndarray) -> Tree:
-    """The tree of one language from (codes, counts) of distinct three and four byte runs."""
-    c, n = trigrams
-    p0 = _ppm(np.bincount(c & 0xFF, n, 256)[None, :], np.full((1, 256), 1 / 256))
-    p1 = _ppm(np.bincount(c & 0xFFFF, n, 65536).reshape(256, 256), np.repeat(p0, 256, 0))
-    out = Tree(-np.log2(p1).ravel(), [])
-    for c, n in (trigrams, fourgrams):
-        by = np.argsort(c)
-        out.orders.append(_order(c[by], n[by], out))
+def _one(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Code lengths of a byte after each single byte, from counts of (byte, byte) codes."""
+    p0 = _ppm(np.bincount(codes & 0xFF, n, 256)[None, :], np.full((1, 256), 1 / 256))
+    return -np.log2(_ppm(np.bincount(codes, n, 65536).reshape(256, 256), np.repeat(p0, 256, 0))).ravel()
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, where = np.unique(codes, return_inverse=True)
+    return code, np.bincount(where, n, len(code)).astype(np.int64)
+
+
+def _longer(one: np.ndarray, codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The tables of two and three bytes of context from four-byte runs, all of each context of two."""
+    out = Tree(one, [])
+    for c, m in (_summed(codes & 0xFFFFFF, n), _summed(codes, n)):
+        out.orders.append(_order(c, m, out))
+    return out.orders
+
+
+def tree(codes: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of one language from distinct runs of four bytes and their counts."""
+    one = _one(*_summed(codes & 0xFFFF, n))
+    return Tree(one, _longer(one, codes, n))
+
+
+def _joined(one: np.ndarray, parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> Tree:
+    """One tree from tables of different contexts."""
+    out = Tree(one, [])
+    for of_order in zip(*parts):
+        contexts, escape, seen, bits = (np.concatenate(x) for x in zip(*of_order))
+        by, order = np.argsort(contexts), np.argsort(seen)
+        out.orders.append((contexts[by], escape[by], seen[order], bits[order]))
     return out
 
 
@@ -197,17 +221,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 code, n = count_grams(batch.column(1).filter(pa.compute.equal(names, name)))
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
 
-    def compile(counted: pa.Table) -> pa.Table:
-        code, n = counted["code"].to_numpy(), counted["n"].to_numpy()
-        short, where = np.unique(code & 0xFFFFFF, return_inverse=True)
-        own = tree(np.array([short, np.bincount(where, n).astype(np.int64)]), np.array([code, n]))
-        return pa.table({"lang": counted["lang"].slice(0, 1), "tree": pa.array([pickle.dumps(own)], pa.binary())})
-
-    # the counts of a language's sample make its tree in one task; the driver only gets the trees
-    grams = sample.mapInArrow(convert, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    built = {r["lang"]: pickle.loads(r["tree"]) for r in grams.groupBy("lang").applyInArrow(compile, "lang string, tree binary").collect()}
-    langs = sorted(built)
-    return Model(langs, [built[k] for k in langs]) if langs else None
+    grams = stored(sample.mapInArrow(convert, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    pairs = grams.groupBy("lang", F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(pairs["lang"].unique().to_pylist())
+    ones = {}
+    for name in langs:
+        own = pairs.filter(pa.compute.equal(pairs["lang"], name))
+        ones[name] = _one(own["code"].to_numpy(), own["n"].to_numpy())
+    held = docs.sparkSession.sparkContext.broadcast(ones)
+
+    def compile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            counted = pa.Table.from_batches(got)
+            for name in counted["lang"].unique():
+                own = counted.filter(pa.compute.equal(counted["lang"], name))
+                part = _longer(held.value[name.as_py()], own["code"].to_numpy(), own["n"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([pickle.dumps(part)], pa.binary())], ["lang", "part"])
+
+    # the counts below each context of two bytes meet in one task; the driver puts the tables together
+    parts: dict[str, list] = {name: [] for name in langs}
+    for r in grams.repartition("lang", F.shiftright("code", 8).bitwiseAND(0xFFFF)).mapInArrow(compile, "lang string, part binary").collect():
+        parts[r["lang"]].append(pickle.loads(r["part"]))
+    return Model(langs, [_joined(ones[k], parts[k]) for k in langs]) if langs else None
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
