@@ -22,6 +22,7 @@ clash with the results are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 SUB_BUCKET_DIGITS = 3
 #: A sub-bucket of more rows than this, and than eight times the mean, has a key that is cut further.
 LARGE_ROWS = 500_000
+#: Mean rows of a sub-bucket up to which two digits do.
+FEW_ROWS = 20_000
 
 
 def _unit(key: Column, shard: int) -> Column:
@@ -48,6 +51,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.array(*bids))["shard"] if len(bids) > 1 else F.lit(0)
 
 
+def _summed(sizes: Sequence) -> Counter:
+    out: Counter = Counter()
+    for r in sizes:
+        out[r["shard"], r["_sub"][:2]] += r["_n"]
+    return out
+
+
 def shard_documents(
     docs: DataFrame,
     weights: Sequence[float] = (1.0,) * 8,
@@ -69,7 +79,11 @@ def shard_documents(
     rows = docs.select(F.col(key_col), size.alias("size"), crc.alias("text_crc32"), order.alias("_hash"), shard.alias("shard"), grown.alias("grown_shard")).withColumn("_sub", F.substring("_hash", 1, SUB_BUCKET_DIGITS))
     # at most len(weights) * 16**SUB_BUCKET_DIGITS small rows, whatever the input
     sizes = docs.select(shard.alias("shard"), sub.alias("_sub")).groupBy("shard", "_sub").agg(F.count("*").alias("_n")).collect()
-    limit = max(large_rows, 8 * sum(r["_n"] for r in sizes) // max(1, len(sizes)))
+    total = sum(r["_n"] for r in sizes)
+    if total <= len(weights) * 16**2 * FEW_ROWS:  # a digit less keeps the table of offsets small; the order of slots is the same
+        sizes = [{"shard": k[0], "_sub": k[1], "_n": n} for k, n in _summed(sizes).items()]
+        sub, rows = F.substring(order, 1, 2), rows.withColumn("_sub", F.substring("_hash", 1, 2))
+    limit = max(large_rows, 8 * total // max(1, len(sizes)))
     large = [(r["shard"], r["_sub"]) for r in sizes if r["_n"] > limit]
     spark = docs.sparkSession
     if large:
