@@ -36,19 +36,24 @@ LARGE_ROWS = 500_000
 FEW_ROWS = 20_000
 
 
-def _unit(key: Column, shard: int) -> Column:
-    """52 hashed bits of (key, shard) as a number inside (0, 1)."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10)
-    return (bits.cast("double") + 0.5) / float(2**52)
+def _bid(key: Column, shard: Column, weight: Column) -> Column:
+    """(cost, shard) of a shard for a key: 52 hashed bits of both as a number inside (0, 1), by their logarithm."""
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), shard.cast("string"))), 1, 13), 16, 10)
+    unit = (bits.cast("double") + 0.5) / float(2**52)
+    return F.struct((-F.ln(unit) / weight).alias("cost"), shard.alias("shard"))
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The number of the shard that owns key; weights: a positive share for each shard."""
+def _best(key: Column, weights: Sequence[float]) -> Column:
+    """The least bid; a loop over the shards, so that the compiled code does not grow with their number."""
     if not weights or any(w <= 0 for w in weights):
         raise ValueError("every shard needs a positive weight")
-    key = F.coalesce(key.cast("string"), F.lit("null"))
-    bids = [F.struct((-F.ln(_unit(key, i)) / w).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]
-    return F.array_min(F.array(*bids))["shard"] if len(bids) > 1 else F.lit(0)
+    shards = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights)))
+    return F.array_min(F.transform(shards, lambda x: _bid(key, x["i"], x["w"])))
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The number of the shard that owns key; weights: a positive share for each shard."""
+    return _best(F.coalesce(key.cast("string"), F.lit("null")), weights)["shard"]
 
 
 def _summed(sizes: Sequence) -> Counter:
@@ -73,10 +78,15 @@ def shard_documents(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
-    shard, grown = (rendezvous(F.col(key_col), w).cast("int") for w in (weights, [*weights, grown_weight]))
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
+    shard = rendezvous(F.col(key_col), weights)
+    # one shard more: it takes what it bids less for
+    best, fresh = F.col("_best"), _bid(key, F.lit(len(weights)), F.lit(float(grown_weight)))
+    grown = F.when(fresh["cost"] < best["cost"], fresh["shard"]).otherwise(best["shard"])
     order = F.md5(F.coalesce(F.col(key_col).cast("string"), F.concat_ws(":", F.lit("null"), crc.cast("string"), size.cast("string"))))
     sub = F.substring(order, 1, SUB_BUCKET_DIGITS)
-    rows = docs.select(F.col(key_col), size.alias("size"), crc.alias("text_crc32"), order.alias("_hash"), shard.alias("shard"), grown.alias("grown_shard")).withColumn("_sub", F.substring("_hash", 1, SUB_BUCKET_DIGITS))
+    hashed = docs.select(F.col(key_col), size.alias("size"), crc.alias("text_crc32"), order.alias("_hash"), _best(key, weights).alias("_best"))
+    rows = hashed.select(key_col, "size", "text_crc32", "_hash", best["shard"].alias("shard"), grown.alias("grown_shard"), F.substring("_hash", 1, SUB_BUCKET_DIGITS).alias("_sub"))
     # at most len(weights) * 16**SUB_BUCKET_DIGITS small rows, whatever the input
     sizes = docs.select(shard.alias("shard"), sub.alias("_sub")).groupBy("shard", "_sub").agg(F.count("*").alias("_n")).collect()
     total = sum(r["_n"] for r in sizes)
