@@ -169,7 +169,7 @@ def with_next(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> DataF
     The driver takes one id for each range, at most MOST_RANGES.
     """
     spark = df.sparkSession
-    n = min(MOST_RANGES, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(MOST_RANGES, max(64, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # many for each task, so that tasks are even
     cuts = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 4 * n).alias("q")).first()["q"] or []
     bounds = sorted(set(cuts))
     # an id that is two quantiles, and null, may have a large share of the rows: their ranges are cut by tie
