@@ -13,8 +13,7 @@ ever sees a whole shard.  The driver reads the sizes of the sub-buckets (at most
 is the cause, and the rows of this key are cut further by their texts' checksums, which
 come next in the order of slots.
 
-Defined cases: a null key is the key "null", and its rows are numbered in the order of a hash
-of their texts; a null text has no bytes (size 1,
+Defined cases: a null key is the key "null"; a null text has no bytes (size 1,
 checksum of the empty text); repeated keys share a shard and get neighbouring
 slots; an empty table gives an empty result; columns of the input whose names
 clash with the results are replaced.
@@ -83,11 +82,11 @@ def shard_documents(
     # one shard more: it takes what it bids less for
     best, fresh = F.col("_best"), _bid(key, F.lit(len(weights)), F.lit(float(grown_weight)))
     grown = F.when(fresh["cost"] < best["cost"], fresh["shard"]).otherwise(best["shard"])
-    order = F.md5(F.coalesce(F.col(key_col).cast("string"), F.concat_ws(":", F.lit("null"), crc.cast("string"), size.cast("string"))))
+    order = F.md5(key)
     sub = F.substring(order, 1, SUB_BUCKET_DIGITS)
     hashed = docs.select(F.col(key_col), size.alias("size"), crc.alias("text_crc32"), order.alias("_hash"), _best(key, weights).alias("_best"))
     rows = hashed.select(key_col, "size", "text_crc32", "_hash", best["shard"].alias("shard"), grown.alias("grown_shard"), F.substring("_hash", 1, SUB_BUCKET_DIGITS).alias("_sub"))
-    # at most len(weights) * 16**SUB_BUCKET_DIGITS small rows, whatever the input
+    # at most len(weights) * 16**SUB_BUCKET_DIGITS small rows, whatever the input; this pass reads the keys alone
     sizes = docs.select(shard.alias("shard"), sub.alias("_sub")).groupBy("shard", "_sub").agg(F.count("*").alias("_n")).collect()
     total = sum(r["_n"] for r in sizes)
     if total <= len(weights) * 16**2 * FEW_ROWS:  # a digit less keeps the table of offsets small; the order of slots is the same
