@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.postings import ranked
 from corpusloom.scratch import stored
 
 
@@ -22,18 +21,19 @@ def band(df: DataFrame, combos: DataFrame) -> DataFrame:
 
     Bounds are truncated shares of the largest frequency; ties go to the smaller
     term; numwords 0 keeps all.  The grid is a handful of rows and is broadcast.
-    A term's rank within a band is its rank among all terms less the number of terms
-    above the band, so terms are ranked once, and no setting's terms meet in one task.
+    Settings with a number of words keep that many of each task's terms before any
+    shuffle, and those without rank nothing, so no setting's whole band meets in one task.
     """
-    top = df.agg(F.max("df").alias("fmax"))
+    terms = stored(df.select("term", "df"), "df")
+    top = terms.agg(F.max("df").alias("fmax"))
     bounds = combos.join(F.broadcast(top)).select(
         "combo", "numwords", F.floor(F.col("minfreq") * F.col("fmax")).alias("lo"), F.floor(F.col("maxfreq") * F.col("fmax")).alias("hi")
     )
-    terms = stored(ranked(df, "df"), "ranked")
-    counts = terms.groupBy("df").agg(F.count("*").alias("n"))
-    above = bounds.join(counts, counts["df"] > bounds["hi"], "left").groupBy("combo", "numwords", "lo", "hi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_above"))
-    inside = terms.join(F.broadcast(above), F.col("df").between(F.col("lo"), F.col("hi")))
-    return inside.where("numwords = 0 OR rank - _above <= numwords").select("combo", "term", "df")
+    inside = terms.join(F.broadcast(bounds), F.col("df").between(F.col("lo"), F.col("hi"))).select("combo", "numwords", "term", "df")
+    most = combos.agg(F.max("numwords")).first()[0] or 0
+    rank = F.row_number().over(Window.partitionBy("combo").orderBy(F.desc("df"), "term"))
+    limited = inside.where("numwords > 0").withColumn("_r", rank).where(F.col("_r") <= most).where("_r <= numwords")
+    return inside.where("numwords = 0").select("combo", "term", "df").unionByName(limited.select("combo", "term", "df"))
 
 
 def band_stats(bands: DataFrame, combos: DataFrame) -> DataFrame:

@@ -594,8 +594,8 @@ bands AS (SELECT combo, term, df FROM (SELECT combo, numwords, term, df, row_num
 FROM combos, df, (SELECT max(df) AS fmax FROM df) WHERE df BETWEEN floor(minfreq * fmax) AND floor(maxfreq * fmax)) WHERE numwords = 0 OR r <= numwords)"""
 
 
-def _bands(spark, table) -> tuple[DataFrame, DataFrame, DataFrame]:
-    posts = letter_postings(table)
+def _bands(spark, table, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    posts = stored(letter_postings(table), "postings") if keep else letter_postings(table)
     combos = vocab.grid(spark, *GRID)
     return posts, combos, vocab.band(po.document_frequency(posts), combos)
 
@@ -614,7 +614,7 @@ def r10_parameter_grid_stats(spark, table):
 
 @query(f"WITH {BAND_SQL} SELECT CAST(combo AS INTEGER) AS combo, doc_id, count(*) AS n_terms FROM bands JOIN p USING (term) GROUP BY combo, doc_id")
 def r11_j09_restricted_vectors(spark, table):
-    posts, _, bands = _bands(spark, table)
+    posts, _, bands = _bands(spark, table, True)
     return vocab.restricted(posts, bands).groupBy("combo", "doc_id").agg(F.count("*").alias("n_terms"))
 
 

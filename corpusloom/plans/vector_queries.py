@@ -175,7 +175,7 @@ def _proto_sql(assign: str, name: str) -> str:
 
 
 def _vectors(spark, table) -> DataFrame:
-    posts = letter_postings(table)
+    posts = stored(letter_postings(table), "postings")
     bands = vocab.band(postings.document_frequency(posts), vocab.grid(spark, [0.0, 0.05, 0.1], [0.1, 0.3, 1.0], [50, 100, 0])).where("combo = 7")
     return stored(vocab.restricted(posts, bands).select("doc_id", "term"), "vectors")
 
