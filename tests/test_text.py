@@ -83,7 +83,8 @@ def test_similarity_join_is_exact(spark):
     a, b = w.select(F.col("doc_id").alias("src"), "term", F.col("weight").alias("x")), w.select(F.col("doc_id").alias("dst"), "term", F.col("weight").alias("y"))
     for t in (0.3, 0.6):
         full = a.join(b, "term").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where(F.col("s") > t)
-        assert {r[:2] for r in tfidf.similarity_join(w, t).collect()} == {r[:2] for r in full.collect()}
+        for ways in ({}, {"few": 0}, {"few": 0, "max_candidates": 0}, {"block": 3}):
+            assert {r[:2] for r in tfidf.similarity_join(w, t, **ways).collect()} == {r[:2] for r in full.collect()}
 
 
 def test_query_parser(docs):
