@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, langid, mixing, multiset, quality, sharding, simhash, substrings, toxicity
+from corpusloom.llm import chat, decontaminate, langid, mixing, multiset, periodic, quality, sharding, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.site_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(periodic.runs_of(table(spark, sf_dir, "documents"), edit=periodic.periodic_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_multiset_fingerprints": op2_multiset_fingerprints,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_pigeonhole_decontamination": op9_pigeonhole_decontamination,
     "op10_site_quality": op10_site_quality,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {}
