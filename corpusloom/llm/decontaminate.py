@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tables import by_position
+
 RATE = 0.1
 #: Characters of normal form scanned at once.
 BLOCK = 250_000
@@ -324,10 +326,10 @@ def contamination(docs: DataFrame, items: list[tuple[object, str]], id_col: str
 def keep_uncontaminated(docs: DataFrame, items: list[tuple[object, str]], text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of docs that contain no item, with all their columns; nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(items)
-    at = docs.columns.index(text_col)
+    plain, at = by_position(docs), docs.columns.index(text_col)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in searched(batches, at, item_blocks(held.value), rate):
             yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-    return docs.mapInArrow(convert, docs.schema)
+    return plain.mapInArrow(convert, plain.schema).toDF(*docs.columns)

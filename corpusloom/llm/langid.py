@@ -18,7 +18,7 @@ labelled rows of each language, whole texts (all rows of a language that has no
 more), and compiled there, all contexts that share their last two bytes in one task.
 All counts of the samples are kept: no language or context is dropped.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties
+Defined cases: a null text, or one without a letter (Unicode category L; numerals are none), is ``und`` with score 0; ties
 go to the first language in order; no labelled rows at all: every text is ``und``
 with score 0; null ids are not held out; repeated rows are kept.
 """
@@ -26,7 +26,6 @@ with score 0; null ids are not held out; repeated rows are kept.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +45,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _previous(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -133,7 +131,7 @@ class Model:
                 total[first + full, k] = np.add.reduceat(tree.lengths(codes)[where], heads, dtype=np.float64)
             letters[first + full] = np.logical_or.reduceat(_LETTER[data], heads)
             for i in full[~letters[first + full]]:
-                letters[first + i] = bool(_ANY_LETTER.search(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+                letters[first + i] = any(map(str.isalpha, raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
         return total, letters
 
 

@@ -149,8 +149,10 @@ def draw(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, flo
     """The rows of docs that mix() draws, with all their columns; a row drawn in two epochs comes twice."""
     keys = [ID, TIE, *LEVELS]
     chosen = _drawings(docs, domain, weights, total_share, max_epochs, seed, id_col, text_col).select(*(F.col(c).alias(f"_mix_{c}") for c in keys))
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(f"_own_{n}") for c, n in zip(_identity(docs, domain, id_col, text_col), keys)))
+    # named by position: names with dots or those of the levels cannot be misread
+    own = _identity(docs, domain, id_col, text_col)
+    marked = docs.select("*", *own).toDF(*(f"_row_{i}" for i in range(len(docs.columns))), *(f"_own_{n}" for n in keys))
     same = marked[f"_own_{ID}"].eqNullSafe(chosen[f"_mix_{ID}"])
     for c in keys[1:]:
         same = same & (marked[f"_own_{c}"] == chosen[f"_mix_{c}"])
-    return marked.join(chosen, same).select("_row.*")
+    return marked.join(chosen, same).select(*(f"_row_{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tables import by_position, place
 from corpusloom.operators.components import connected_components
 from corpusloom.scratch import checkpoint, stored
 
@@ -259,10 +260,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is least, and one of those that repeat both.  A row without an id represents a
     group only where no row has one.
     """
-    own = F.concat_ws(":", F.isnull(id_col).cast("string"), F.col(id_col).cast("string"), _check(text_col).cast("string"))
+    plain, key, text = by_position(docs), place(docs, id_col), place(docs, text_col)
+    own = F.concat_ws(":", F.isnull(key).cast("string"), F.col(key).cast("string"), _check(text).cast("string"))
     parts = _components(docs, id_col, text_col, distance, n)
     best = F.min(F.struct(F.isnull(id_col), F.col(id_col), F.col("check")))
     kept = parts.groupBy("part").agg(best.alias("best")).select(
         F.concat_ws(":", F.isnull(f"best.{id_col}").cast("string"), F.col(f"best.{id_col}").cast("string"), F.col("best.check").cast("string")).alias("_own"))
-    marked = docs.select(own.alias("_own"), F.struct(*docs.columns).alias("_row"))
-    return marked.join(kept.distinct(), "_own", "left_semi").dropDuplicates(["_own"]).select("_row.*")
+    marked = plain.select(own.alias("_own"), F.struct(*plain.columns).alias("_row"))
+    return marked.join(kept.distinct(), "_own", "left_semi").dropDuplicates(["_own"]).select("_row.*").toDF(*docs.columns)

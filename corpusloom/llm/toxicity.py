@@ -27,8 +27,9 @@ out of those that are not held out; rows of over ``fit_chars`` characters are no
 drawn for it.  Scoring reads every whole text.
 
 Defined cases: null and empty texts have an empty bag and get the share of toxic
-labels as score; without labels of both classes every text gets that share (0
-without any); null ids are scored; repeated rows are kept.
+labels as score; without labels of both classes, or with fewer than ``FEWEST_TEXTS``
+sampled texts that have words or such texts in one class alone, every text gets that
+share (0 without any); null ids are scored; repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.kernels import SLICE_BYTES
 from corpusloom.llm.learning import balanced_sample, held_out, one_label, texts_of
+from corpusloom.llm.tables import by_position
 
 GRAMS = range(3, 7)
 BUCKET_BITS = 18
@@ -54,6 +56,8 @@ TOP = 3
 #: Margins beyond this count as this.
 CLIP = 3.0
 THRESHOLD = 0.7
+#: With fewer sampled texts that have words, or words in one class alone, every text gets the share.
+FEWEST_TEXTS = 8
 
 
 def normal(text: str | None) -> bytes:
@@ -186,6 +190,8 @@ def train(texts: list[str], labels: list[int], share: float, words: int = SEGMEN
     full = np.flatnonzero(np.diff(doc) > 0)
     order = rng.permutation(full)
     held, used = order[: len(order) // 4], order[len(order) // 4 :]
+    # too few texts for a part of their own: all of them are learned from, and all give the curve
+    held, used = (part if len(np.unique(y[part])) == 2 else full for part in (held, used))
     alive = spread >= min_texts
     table = rng.uniform(-1 / dims, 1 / dims, (1 << BUCKET_BITS, dims)).astype(np.float32)
     table[~alive] = 0  # what few texts have is noise: it counts in its bag's size but gets no weight
@@ -249,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3))))
-        if len({y for _, _, y in got}) == 2 and len(got) >= 8:
+        full = [y for _, t, y in got if normal(t)]
+        if len(set(full)) == 2 and len(full) >= FEWEST_TEXTS:
             model = train([t for _, t, _ in got], [y for _, _, y in got], share)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
@@ -275,7 +282,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 def keep_clean(docs: DataFrame, model: Model | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose whole text scores below the threshold, with all their columns; nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    plain, at = by_position(docs), docs.columns.index(text_col)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -283,4 +290,4 @@ def keep_clean(docs: DataFrame, model: Model | float, text_col: str = "text", th
             s = np.full(batch.num_rows, m) if isinstance(m, float) else m.score(batch.column(at).to_pylist())
             yield batch.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(convert, docs.schema)
+    return plain.mapInArrow(convert, plain.schema).toDF(*docs.columns)

@@ -1,5 +1,7 @@
 """Every operator over rows with nulls, empty and long texts, repeats and clashing columns, and over empty tables."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,37 @@ def test_near_dedup_with_shared_ids(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicate(df).collect()), key=str)
     # both groups are named by id 1, each keeps one row of its own; the group without an id keeps one
     assert got == sorted([(1, a), (1, b), (None, "without an id " * 3)], key=str)
+
+
+NAMED = ["a.b", "c0", "_row", "x y", "back`tick", "_row_0"]
+
+
+def test_stages_pass_any_column_names(docs, labels):
+    """Names with dots, blanks or those of a stage's own columns."""
+    named = docs.toDF(*(NAMED[CLASHES.index(c)] if c in CLASHES[: len(NAMED)] else c for c in docs.columns))
+    values = lambda df: sorted(map(repr, df.collect()))
+    assert values(toxicity.keep_clean(named, 0.0)) == values(named)
+    assert values(decontaminate.keep_uncontaminated(named, [])) == values(named)
+    one = simhash.deduplicate(named)
+    assert one.columns == named.columns and one.where("`a.b` = 'clash'").count() == 7
+    drawn = mixing.draw(named, F.lit("all"), {}, total_share=5.0, max_epochs=1)
+    assert drawn.columns == named.columns and drawn.where("doc_id = 5 AND `a.b` = 'clash'").count() == 2
+
+
+def test_few_texts_to_learn_from(spark):
+    """Eight labelled rows or more of both classes, of which few have words: scores are numbers all the same."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids[:16])], "doc_id long, toxic int")
+    for texts in (["bad words here", "good words there", "more bad ones"], ["bad words"] * 5 + ["fine"] * 4, ["same"] * 12, [f"w{i} x" for i in range(16)]):
+        rows = [(i, texts[k] if k < len(texts) else "  ") for k, i in enumerate(ids[:16])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+        assert len(got) == 16 and all(0 <= r["score"] <= 1 for r in got)
+        if len(texts) < toxicity.FEWEST_TEXTS:
+            assert {r["score"] for r in got} == {0.5}
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "plain english words", "en") for i in range(9)] + [(20, "½", None), (21, "①② 12 _ Ⅷ", None), (22, "ß", None), (23, "漢", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert [got[i] for i in (20, 21, 22, 23)] == ["und", "und", "en", "en"]
