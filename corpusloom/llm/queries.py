@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, langid, mixing, multiset, periodic, quality, sharding, simhash, substrings, toxicity
+from corpusloom.llm import chat, codes, decontaminate, jaccard, langid, mixing, multiset, periodic, quality, sharding, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +85,18 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.site_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digest(periodic.runs_of(table(spark, sf_dir, "documents"), edit=periodic.periodic_tail))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_multiset_fingerprints": op2_multiset_fingerprints,
@@ -100,7 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_pigeonhole_decontamination": op9_pigeonhole_decontamination,
     "op10_site_quality": op10_site_quality,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {}
@@ -209,3 +219,58 @@ kept AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def _assigned(books: str) -> str:
+    """For each vector and part the nearest entry of the table of books, as (distance, entry)."""
+    return f"""
+  SELECT vec_id, label, p.part, any_value(x) AS x,
+         min({{'d': CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': entry}}) AS best
+  FROM parts p JOIN {books} b ON p.part = b.part GROUP BY vec_id, label, p.part"""
+
+
+def _means(assigned: str, books: str) -> str:
+    return f"""
+  SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS c FROM (
+      SELECT part, best.e AS entry, place, CAST(sum(x[place]) AS DOUBLE) AS total, count(*) AS n
+      FROM (SELECT *, unnest(range(1, len(x) + 1)) AS place FROM {assigned}) GROUP BY ALL) GROUP BY ALL) n
+  ON b.part = n.part AND b.entry = n.entry"""
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 256) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, part, list_slice(w, CAST(part * (len(w) // 16) + 1 AS BIGINT), CAST((part + 1) * (len(w) // 16) AS BIGINT)) AS x
+  FROM (SELECT *, unnest(range(16)) AS part FROM kept)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM parts
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64),
+a0 AS MATERIALIZED ({_assigned("b0")}),
+b1 AS MATERIALIZED ({_means("a0", "b0")}),
+a1 AS MATERIALIZED ({_assigned("b1")}),
+b2 AS MATERIALIZED ({_means("a1", "b1")}),
+a2 AS MATERIALIZED ({_assigned("b2")}),
+coded AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM coded
+"""
+
+ORACLES["op11_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0))),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b WHERE 100 * c >= 90 * (m.n + n.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, coalesce(least(doc_id, min(b)), doc_id) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GROUP BY doc_id
+"""
