@@ -185,13 +185,16 @@ def filter_grid(filters: Sequence[str] = ("lowercase", "asciifolding", "stop", "
     return [tuple(f for j, f in enumerate(filters) if mask >> j & 1) for mask in range(1 << len(filters))]
 
 
-def _python_filter(name: str, term: str) -> str | None:
+def python_filter(name: str, term: str) -> str | None:
     if name == "lowercase":
         return term.lower()
     if name == "asciifolding":
         return term if term.isascii() else term.translate(_FOLD)
     if name == "stop":
         return None if term in STOP_WORDS else term
+    if name.startswith("length:"):
+        low, high = map(int, name.removeprefix("length:").split("-"))
+        return term if low <= len(term) <= high else None
     return STEMMERS[name](term)
 
 
@@ -209,7 +212,7 @@ def grid_terms(vocabulary: DataFrame, combos: Sequence[Sequence[str]]) -> DataFr
             for chain in chains:
                 x: str | None = term
                 for f in chain:
-                    x = _python_filter(f, x) if x is not None else None
+                    x = python_filter(f, x) if x is not None else None
                 out.append(x)
             return out
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
-from corpusloom.operators import laws, report, search, vocab
+from corpusloom.operators import index, laws, report, vocab
 from corpusloom.operators import postings as po
-from corpusloom.scratch import scratch_path, stored
+from corpusloom.scratch import files, once, scratch_path, stored
 from corpusloom.sources import corpus as src
 
 QUERIES: dict = {}
@@ -385,16 +385,18 @@ def t23_filter_names(spark, table):
 
 # ---- search
 
-def _tokens(table) -> DataFrame:
-    return table("documents").select("doc_id", "source", "lang", "text", LETTERS.expression(F.col("text")).alias("toks"))
+TOKENS_SQL = f"(SELECT doc_id, source, lang, text, list_transform(regexp_extract_all(text, '{an.LETTER}'), lambda x: lower(x)) AS toks FROM documents)"
 
 
-TOKENS_SQL = f"(SELECT doc_id, source, lang, text, list_transform(regexp_extract_all(text, '{an.LETTER}'), lambda x: lower(x)) AS toks FROM documents)"
+def _index(table) -> index.Index:
+    """The documents' inverted index, made once for each state of their files."""
+    docs = table("documents").select("doc_id", "source", "lang", "text")
+    return once(docs.sparkSession, ("index", *files(docs)), lambda: index.create(docs, scratch_path(docs.sparkSession, "index"), LETTERS))
 
 
 @query(f"SELECT doc_id FROM {TOKENS_SQL} WHERE list_has_any(toks, ['idiot', 'trash', 'licensed'])")
 def p01_multi_match(spark, table):
-    return _tokens(table).where(search.match_any(F.col("toks"), search.simple_analyze(LETTERS)("Idiot TRASH licensed"))).select("doc_id")
+    return _index(table).match_any("Idiot TRASH licensed").select("doc_id")
 
 
 LUCENE = [
@@ -414,15 +416,60 @@ LUCENE = [
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS query, doc_id FROM {TOKENS_SQL} WHERE {w}" for n, _, w in LUCENE))
 def p02_query_string(spark, table):
-    toks, analyze = _tokens(table), search.simple_analyze(LETTERS)
-    flags = [F.when(search.parse(text, F.col("toks"), analyze, {"lang": F.col("lang"), "source": F.col("source")}), F.lit(n)) for n, text, _ in LUCENE]
-    return toks.select("doc_id", F.explode(F.array_compact(F.array(*flags))).alias("query")).select("query", "doc_id")
+    return _index(table).match({n: text for n, text, _ in LUCENE}).select("query", "doc_id")
+
+
+def _bm25_sql(weights: str) -> str:
+    """Scores of (query, term, weight) rows, the ten best of each query."""
+    return f"""
+WITH t AS {TOKENS_SQL}, n AS (SELECT count(*) AS d, sum(len(toks)) / count(*) AS mean FROM t),
+p AS (SELECT doc_id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM t) GROUP BY ALL),
+f AS (SELECT term, ln(1 + (any_value(d) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY term),
+w AS (SELECT doc_id, term, idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS w FROM p JOIN f USING (term), n),
+q AS ({weights}),
+s AS (SELECT query, doc_id, round(sum(weight * w), 9) AS score FROM q JOIN w USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query, doc_id, score, rank FROM r WHERE rank <= 10"""
+
+
+#: The same words with and without boosts.
+BOOSTED = [("plain", "license", 1.0), ("plain", "idiot", 1.0), ("plain", "trash", 1.0), ("boosted", "license", 0.2), ("boosted", "idiot", 3.0), ("boosted", "trash", 0.5)]
+
+
+@query(_bm25_sql("SELECT unnest([" + ", ".join(f"'{n}'" for n, _, _ in BOOSTED) + "]) AS query, unnest([" + ", ".join(f"'{t}'" for _, t, _ in BOOSTED) + "]) AS term, unnest([" + ", ".join(str(w) for _, _, w in BOOSTED) + "]) AS weight"))
+def p02_bm25_boosts(spark, table):
+    return _index(table).rank(spark.createDataFrame(BOOSTED, "query string, term string, weight double"))
+
+
+@query(_bm25_sql("""SELECT doc_id AS query, term, 1.0 AS weight FROM (
+  SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS k FROM w WHERE doc_id % 50 = 0) WHERE k <= 10"""))
+def p02_bm25_query_set(spark, table):
+    """Every document whose id is divisible by 50 asks, with its ten weightiest words, for the best of all documents."""
+    made = _index(table)
+    return made.rank(made.keywords(10, F.col("doc_id") % 50 == 0))
+
+
+SCORED = [("both", "idiot^3 AND license", "list_contains(toks, 'idiot') AND list_contains(toks, 'license')", "3 * {idiot} + {license}"),
+          ("group", "(trash license)^0.5 NOT clown", "list_has_any(toks, ['trash', 'license']) AND NOT list_contains(toks, 'clown')", "0.5 * {trash} + 0.5 * {license}"),
+          ("mixed", "licen*d^2 OR moron", "len(list_filter(toks, lambda t: regexp_full_match(t, 'licen.*d'))) > 0 OR list_contains(toks, 'moron')", "CASE WHEN len(list_filter(toks, lambda t: regexp_full_match(t, 'licen.*d'))) > 0 THEN 2.0 ELSE 0.0 END + {moron}")]
+
+
+def _word_sql(word: str) -> str:
+    tf = f"len(list_filter(toks, lambda t: t = '{word}'))"
+    return f"ln(1 + ((SELECT count(*) FROM t) - (SELECT count(*) FROM t WHERE list_contains(toks, '{word}')) + 0.5) / ((SELECT count(*) FROM t WHERE list_contains(toks, '{word}')) + 0.5)) * ({tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(toks) / (SELECT sum(len(toks)) / count(*) FROM t))))"
+
+
+@query(f"WITH t AS {TOKENS_SQL} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS query, doc_id, round({score.format(**{w: _word_sql(w) for w in ('idiot', 'license', 'trash', 'moron')})}, 9) AS score FROM t WHERE {where}" for n, _, where, score in SCORED))
+def p02_scored_matches(spark, table):
+    found = _index(table).match({n: text for n, text, _, _ in SCORED}, scores=True)
+    return found.select("query", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH t AS {TOKENS_SQL}, h AS (SELECT doc_id, toks, unnest(range(len(toks))) AS pos FROM t)
 SELECT doc_id, pos, toks[pos + 1] AS term, array_to_string(list_slice(toks, greatest(pos - 2, 0) + 1, pos + 3), ' ') AS fragment FROM h WHERE toks[pos + 1] IN ('idiot', 'licensed')""")
 def p03_highlights(spark, table):
-    return search.highlights(table("documents"), ["idiot", "licensed"], LETTERS)
+    return _index(table).highlights(["idiot", "licensed"])
 
 
 @query("SELECT doc_id, substr(text, 1, 10) AS head, count(*) OVER () AS hits FROM documents WHERE contains(lower(text), 'license')")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import analysis as an
 from corpusloom.operators import community, components, generators, kmeans, laws, pagerank, paths, postings, tfidf, triangles, vocab
 from corpusloom.plans.text_queries import BAND_SQL, CORPUS_SQL, GROWTH_SQL, POSTINGS_SQL, ZIPF_SQL, corpus, growth_table, letter_postings, read, zipf_table
-from corpusloom.scratch import stored
+from corpusloom.scratch import files, once, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,18 +111,15 @@ THRESHOLD = 0.6
 REFERENCE_THRESHOLD = 1 - 0.7
 
 
-#: Networks of this application by (application, tables, threshold).
-_NETWORKS: dict[tuple[str, str, float], DataFrame] = {}
-
-
 def network(table, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges of documents with cosine over the threshold, stored once for all queries of an application over the same tables."""
+    """Edges of documents with cosine over the threshold, stored once for all queries of an application over the same state of the tables' files."""
     docs = table("documents")
-    key = (docs.sparkSession.sparkContext.applicationId, table.sf_dir, threshold)
-    if key not in _NETWORKS:
+
+    def make() -> DataFrame:
         weights = stored(smooth_weights(table), "weights")
-        _NETWORKS[key] = stored(tfidf.similarity_join(weights, threshold).select("src", "dst", "similarity"), "network")
-    return _NETWORKS[key]
+        return stored(tfidf.similarity_join(weights, threshold).select("src", "dst", "similarity"), "network")
+
+    return once(docs.sparkSession, ("network", threshold, *files(docs)), make)
 
 
 def network_query(sql: str | None = None):

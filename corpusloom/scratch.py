@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,25 @@ def lookup(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
     """
     kept = stored(df, name)
     return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
+def files(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of change of each file that df reads: what a result kept for later depends on."""
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
+    """What make() gave for this key in this application before, or now gives; key has to name the state of all that it reads."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
