@@ -9,10 +9,12 @@ sets are one class, named by a 128-bit digest of the set; everything below is do
 * Prefix filter: of a set of n, two sets of Jaccard t can only link if they share one of their first
   n - ceil(t n) + 1 n-grams.  Only these become rows; those of one class alone are dropped.
 * Length, positional and suffix filters, inside a prefix n-gram's bucket: sizes
-  within t; the places of the shared n-gram leave room for the overlap; and the sets' sizes in 64
-  fixed ranges of hashes differ by no more in all than two linked sets can.
+  within t; the places of the shared n-gram leave room for the overlap; and the sets' sizes in
+  fixed ranges of hashes (64 of them) differ by no more in all than two linked sets can.
 * A bucket is not expanded into pairs: a search inside it gives the edges of a forest that
   connects what the filters connect.  The trees of all buckets make clusters; whatever links lies inside one.
+* Clusters are searched again in the same way by the suffix filter with as many ranges as a set's size asks
+  for (some eight n-grams in each), as 64 tell large sets apart badly; they fall into finer ones.
 * Verification: inside a cluster, sets are met exactly; a search compares each set
   only with those it has not yet been connected to, so a pair is verified at most
   once and m mutual near copies give m - 1 links.
@@ -48,12 +50,13 @@ PERCENT = 90
 #: Counters of each of the two rows of the count-min table, as a power of two, and counters of a piece of it.
 COUNTER_BITS = 18
 PIECE = 1 << 14
-#: Ranges of hashes of the suffix filter.
+#: Ranges of hashes of the suffix filter inside buckets; inside clusters there are up to MOST_RANGES, a power of two.
 RANGES = 64
+MOST_RANGES = 8192
 #: Classes of a bucket, and classes and n-grams of a cluster, that are searched as one block.
 BUCKET_CLASSES = 2048
-CLUSTER_CLASSES = 512
-CLUSTER_NGRAMS = 500_000
+CLUSTER_CLASSES = 1024
+CLUSTER_NGRAMS = 1_000_000
 #: Bits of the bitmap of names, as a power of two.
 BITMAP_BITS = 24
 
@@ -127,29 +130,34 @@ def document_counts(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     return np.minimum(table, (1 << 32) - 1).astype(np.uint32)
 
 
+def _sizes(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """The number of n-grams in each range of hashes; halves of the array added up are those of half as many ranges."""
+    return np.bincount((grams >> _U64(8)).astype(np.int64) & (ranges - 1), minlength=ranges)
+
+
 def _least(n: int, percent: int) -> int:
     """The smallest size of a set that a set of n can link with."""
     return -(-percent * n // 100)
 
 
 def signed_sets(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(id_col, n, key, prefix, ranges): size and name of each row's set, its prefix, rarest first, and its sizes in ranges of hashes."""
+    """(id_col, n, key, prefix, coarse, ranges): size and name of each row's set, its prefix, rarest first, and its sizes in few and in more ranges of hashes."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            rows: list[tuple[int, int, bytes, np.ndarray, bytes]] = []
+            rows: list[tuple[int, int, bytes, np.ndarray, bytes, bytes]] = []
             size = done = 0
 
             def flush(stop: int) -> Iterator[pa.RecordBatch]:
                 at = {r[0]: r for r in rows}
-                kept = [at.get(i, (i, 0, None, None, None)) for i in range(done, stop)]
+                kept = [at.get(i, (i, 0, None, None, None, None)) for i in range(done, stop)]
                 if kept:
-                    _, n_col, keys, prefixes, ranges = zip(*kept)
+                    _, n_col, keys, prefixes, coarse, ranges = zip(*kept)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[done:stop], pa.array(n_col, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(ranges, pa.binary())],
-                        [id_col, "n", "key", "prefix", "ranges"])
+                        [batch.column(0)[done:stop], pa.array(n_col, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(coarse, pa.binary()), pa.array(ranges, pa.binary())],
+                        [id_col, "n", "key", "prefix", "coarse", "ranges"])
 
             for row, grams in ngram_sets(batch.column(1), n):
                 m = len(grams)
@@ -159,8 +167,9 @@ def signed_sets(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str,
                     one, two = _counters(grams)
                     order = np.argsort(np.minimum(table[one], table[two]), kind="stable")  # grams are in order of their hashes
                     prefix = grams[order[: m - _least(m, percent) + 1]]
-                ranges = np.minimum(np.bincount((grams >> _U64(8)).astype(np.int64) % RANGES, minlength=RANGES), 65535).astype(np.uint16)
-                rows.append((row, m, _name(grams), prefix.view(np.int64), ranges.tobytes()))
+                fine = _sizes(grams, max(RANGES, min(MOST_RANGES, 1 << (m // 8).bit_length()))) if len(prefix) else grams[:0]
+                coarse = np.minimum(fine.reshape(-1, RANGES).sum(0), 255).astype(np.uint8)
+                rows.append((row, m, _name(grams), prefix.view(np.int64), coarse.tobytes(), np.minimum(fine, 65535).astype(np.uint16).tobytes()))
                 size += len(prefix)
                 if size > 50_000:
                     yield from flush(row + 1)
@@ -168,7 +177,7 @@ def signed_sets(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str,
             yield from flush(batch.num_rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {kind}, n long, key binary, prefix array<long>, ranges binary")
+    return docs.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {kind}, n long, key binary, prefix array<long>, coarse binary, ranges binary")
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -223,11 +232,6 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
             yield table.combine_chunks(), cuts
 
 
-def _fixed(column: pa.ChunkedArray, dtype: type, width: int) -> np.ndarray:
-    """(row, width) numbers of a column of binaries of one length."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
-
-
 def _edges_of(table: pa.Table, at: list[int], to: list[int]) -> pa.RecordBatch:
     keys = table.column("key").combine_chunks()
     a, b = keys.take(pa.array(at, pa.int64())).to_pylist(), keys.take(pa.array(to, pa.int64())).to_pylist()
@@ -248,14 +252,14 @@ def candidate_edges(classes: DataFrame, percent: int = PERCENT, bucket_classes:
     shared = lookup(posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     # few n-grams of a prefix are shared; only their rows get the ranges
     narrow = stored(posts.join(shared, "gram"), "postings")
-    wide = narrow.join(classes.select("key", "ranges"), "key")
+    wide = narrow.join(classes.select("key", "coarse"), "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _groups(batches, 3):
             n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
             side = table.column("b").to_numpy()
             across = table.column("i").to_numpy() != table.column("j").to_numpy()
-            ranges = _fixed(table.column("ranges"), np.uint16, RANGES).astype(np.int32)
+            ranges = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32)
 
             def passes(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
                 nx, ny = n[x], n[y]
@@ -284,6 +288,58 @@ def candidate_edges(classes: DataFrame, percent: int = PERCENT, bucket_classes:
     return dealt.mapInArrow(search, "src binary, dst binary").distinct()
 
 
+def _resembling(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Edges of a forest between the members of one group whose sizes in ranges are near enough for a link."""
+    n = table.column("n").to_numpy().astype(np.int64)
+    side = table.column("b").to_numpy()
+    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    sizes = [np.frombuffer(r, np.uint16).astype(np.int32) for r in table.column("ranges").to_pylist()]
+    level = np.array([len(r).bit_length() for r in sizes])
+    halved = [r.reshape(2, -1).sum(0) for r in sizes]
+    slot = np.zeros(len(n), np.int64)
+    own, half = {}, {}
+    for k in np.unique(level).tolist():
+        of_level = np.flatnonzero(level == k)
+        slot[of_level] = np.arange(len(of_level))
+        own[k], half[k] = np.stack([sizes[i] for i in of_level]), np.stack([halved[i] for i in of_level])
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        need = _needed(n[x], n[rest], percent)
+        ok = np.minimum(n[x], n[rest]) >= need
+        if across:
+            ok &= side[rest] != side[x]
+        k = int(level[x])
+        for other, mine, theirs in ((k, sizes[x], own), (k - 1, halved[x], own), (k + 1, sizes[x], half)):
+            at = np.flatnonzero(ok & (level[rest] == other))
+            if len(at):
+                ok[at] = np.abs(theirs[other][slot[rest[at]]] - mine).sum(1) <= n[x] + n[rest[at]] - 2 * need[at]
+        return ok & (np.abs(level[rest] - k) <= 1)  # sizes that can link are no further apart
+
+    return _forest(len(n), near)
+
+
+def finer_edges(clusters: DataFrame, classes: DataFrame, percent: int, cluster_classes: int) -> DataFrame:
+    """(src, dst) keys; they connect all classes of a cluster whose sizes in ranges are near enough for a link."""
+    sized = stored(clusters.join(classes.select("key", "n", "ranges"), "key"), "ranges")
+    blocks = F.greatest(F.ceil(F.count("*") / cluster_classes), F.ceil(F.sum(F.length("ranges")) / (cluster_classes * 4096)))
+    large = lookup(sized.groupBy("cluster").agg(blocks.alias("m")).where("m > 1"), "large")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _each_group(batches, lambda part: _resembling(part, percent))
+
+    return _dealt(sized.join(large, "cluster", "left").withColumn("m", F.coalesce("m", F.lit(1))), F.col("m"), "cluster").mapInArrow(search, "src binary, dst binary")
+
+
+def _each_group(batches: Iterator[pa.RecordBatch], edges: Callable[[pa.Table], tuple[list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
+    for table, cuts in _groups(batches, 3):
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            if last - first > 1:
+                part = table.slice(int(first), int(last - first))
+                a, b = edges(part)
+                if a:
+                    yield _edges_of(part, a, b)
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """A bit for the first BITMAP_BITS bits of each key; its size does not depend on the keys."""
     bits = BITMAP_BITS // 8
@@ -354,20 +410,18 @@ def _verified(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
 
 def links(docs: DataFrame, classes: DataFrame, text_col: str = "text", n: int = WORDS, percent: int = PERCENT, bucket_classes: int = BUCKET_CLASSES, cluster_classes: int = CLUSTER_CLASSES, cluster_ngrams: int = CLUSTER_NGRAMS) -> DataFrame:
     """(src, dst) keys of verified links; they connect exactly what all links connect."""
-    candidates = checkpoint(candidate_edges(classes, percent, bucket_classes))
-    clusters = stored(connected_components(candidates).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters")
+    def clusters_of(edges: DataFrame, name: str) -> DataFrame:
+        return stored(connected_components(checkpoint(edges)).select(F.col("node").alias("key"), F.col("component").alias("cluster")), name)
+
+    coarse = clusters_of(candidate_edges(classes, percent, bucket_classes), "coarse")
+    clusters = clusters_of(finer_edges(coarse, classes, percent, cluster_classes).distinct(), "clusters")
     sized = stored(clusters.join(classes.select("key", "n"), "key"), "sized")
     blocks = F.greatest(F.ceil(F.count("*") / cluster_classes), F.ceil(F.sum("n") / cluster_ngrams))
     large = lookup(sized.groupBy("cluster").agg(blocks.alias("m")).where("m > 1"), "large")
     members = sized.join(large, "cluster", "left").join(_sets(docs, clusters, text_col, n), "key").select("cluster", "key", "grams", F.coalesce("m", F.lit(1)).alias("m"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in _groups(batches, 3):
-            for first, last in zip(cuts[:-1], cuts[1:]):
-                part = table.slice(int(first), int(last - first))
-                a, b = _verified(part, percent)
-                if a:
-                    yield _edges_of(part, a, b)
+        yield from _each_group(batches, lambda part: _verified(part, percent))
 
     return _dealt(members, F.col("m"), "cluster").mapInArrow(verify, "src binary, dst binary")
 
@@ -376,7 +430,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_shingles, component_id) for each row; component_id is the smallest id that links reach."""
     marked = stored(signed_sets(docs, document_counts(docs, text_col, n), id_col, text_col, n, percent), "sets")
     named = marked.where("key IS NOT NULL")
-    classes = stored(named.groupBy("key").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")), "classes")
+    classes = stored(named.groupBy("key").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("coarse").alias("coarse"), F.first("ranges").alias("ranges")), "classes")
     edges = checkpoint(links(docs, classes, text_col, n, percent, **blocks).distinct())
     parts = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("part"))
     linked = stored(classes.select("key", "least").join(parts, "key"), "linked")

@@ -109,6 +109,6 @@ def test_oracle(spark, oracle):
 def test_edges(spark):
     long = " ".join(f"w{i % 9973}x{i % 31}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "one two three"), (4, "ONE two THREE"), (5, long), (6, long + " end"), (None, "one two three"), (None, "alone here"), (None, "alone  here"), (7, "x" * 300_000), (7, "x" * 300_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n", "key", "prefix", "ranges", "least", "part", "a.b")})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n", "key", "prefix", "ranges", "coarse", "least", "part", "a.b")})
     assert got(jaccard.jaccard_components(df)) == brute(rows)
     assert jaccard.jaccard_components(df.where("false")).count() == 0
