@@ -17,7 +17,9 @@ item, and chance hits fail on the first short one.
 Items whose normal form has under ``min_chars`` characters have no error budget:
 they match where they stand as whole words.
 
-The items' texts are held by the driver and each task.  They are searched in
+The items' texts are held by the driver and each task if they have at most
+``BENCHMARK_CHARS`` characters; a larger benchmark stays a table, of which groups of that size are
+taken one after the other, and the documents are read once for each.  Items are searched in
 blocks of at most ``MAX_ITEMS`` items and ``MAX_CHARS`` characters (a longer item is
 a block of its own); with more than one block a task gathers some documents and
 searches them for one block after the other.  Documents are read in one narrow
@@ -41,14 +43,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.tables import by_position
+from corpusloom.llm.tables import by_position, place
+from corpusloom.scratch import stored
 
 RATE = 0.1
 #: Characters of normal form scanned at once.
 BLOCK = 250_000
 #: Items and their characters that are compiled at once, and characters of documents held for several such blocks.
 MAX_ITEMS, MAX_CHARS, HELD_CHARS = 20_000, 4_000_000, 50_000_000
+#: Characters of items that the driver and a task hold at once.
+BENCHMARK_CHARS = 50_000_000
 _OTHER = re.compile(r"[\W_]+")
 #: Multiplier of the rolling hash (fixed value).
 _BASE = 0x9E3779B1
@@ -253,10 +259,30 @@ class Matcher:
         return self.search_all([text])[0]
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[object, str]]:
-    """The items, on the driver."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(id_col, text_col).collect()
-    return [(r[0], r[1]) for r in rows]
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_chars: int = BENCHMARK_CHARS) -> list[tuple[object, str]] | DataFrame:
+    """The items: on the driver if they have at most most_chars characters together, else as a table."""
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
+        return items
+    return [(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()]
+
+
+def _groups(items: DataFrame, most_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """A table of items in groups of some most_chars characters; the driver holds one at a time."""
+    n = -(-items.agg(F.sum(F.length("text"))).first()[0] // most_chars)
+    for g in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g)
+        yield [(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()]
+
+
+def _hits(rows: DataFrame, items: DataFrame, text_col: str, rate: float, most_chars: int) -> DataFrame:
+    """(_row, item_ids, least_distance) of the contaminated of numbered rows, which are read once for each group of items."""
+    found = None
+    for group in _groups(items, most_chars):
+        whole = isinstance(items.schema["item_id"].dataType, T.IntegralType)
+        part = stored(_contamination(rows, group, "_row", text_col, rate, whole).where("contaminated").select("_row", "item_ids", "least_distance"), "hits")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.min("least_distance").alias("least_distance"))
 
 
 def item_blocks(items: list[tuple[object, str]], max_items: int = MAX_ITEMS, max_chars: int = MAX_CHARS) -> list[list[tuple[object, str]]]:
@@ -303,11 +329,20 @@ def searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[list[tuple
     yield from flush()
 
 
-def contamination(docs: DataFrame, items: list[tuple[object, str]], id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
+def contamination(docs: DataFrame, items: list[tuple[object, str]] | DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, most_chars: int = BENCHMARK_CHARS) -> DataFrame:
     """(id_col, contaminated, n_items, item_ids, least_distance) for each row; ids of items that are not all integers come as text."""
+    if not isinstance(items, DataFrame):
+        return _contamination(docs, items, id_col, text_col, rate, all(isinstance(k, int) for k, _ in items))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col), "rows")
+    every = rows.select("_row", id_col).join(_hits(rows, items, text_col, rate, most_chars), "_row", "left")
+    none = F.array().cast("array<long>" if isinstance(items.schema["item_id"].dataType, T.IntegralType) else "array<string>")
+    ids = F.coalesce("item_ids", none)
+    return every.select(id_col, F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"), "least_distance")
+
+
+def _contamination(docs: DataFrame, items: list[tuple[object, str]], id_col: str, text_col: str, rate: float, whole: bool) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = all(isinstance(k, int) for k, _ in items)
     listed = pa.list_(pa.int64() if whole else pa.string())
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +358,12 @@ def contamination(docs: DataFrame, items: list[tuple[object, str]], id_col: str
     return docs.select(id_col, text_col).mapInArrow(convert, f"`{id_col}` {kind}, contaminated boolean, n_items int, item_ids array<{'long' if whole else 'string'}>, least_distance int")
 
 
-def keep_uncontaminated(docs: DataFrame, items: list[tuple[object, str]], text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns; nothing is shuffled."""
+def keep_uncontaminated(docs: DataFrame, items: list[tuple[object, str]] | DataFrame, text_col: str = "text", rate: float = RATE, most_chars: int = BENCHMARK_CHARS) -> DataFrame:
+    """The rows of docs that contain no item, with all their columns; nothing is shuffled but for a table of items, where rows of hits are."""
+    if isinstance(items, DataFrame):
+        rows = stored(by_position(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+        hits = _hits(rows, items, place(docs, text_col), rate, most_chars)
+        return rows.join(hits.select("_row"), "_row", "left_anti").drop("_row").toDF(*docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(items)
     plain, at = by_position(docs), docs.columns.index(text_col)
 

@@ -201,15 +201,21 @@ def _joined(one: np.ndarray, parts: list[list[tuple[np.ndarray, np.ndarray, np.n
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 20_000) -> Model | None:
-    """Count the context trees over labelled rows that are not held out; None if there are none."""
-    usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 20_000, fit_chars: int = 100_000_000, most_chars: int = 1_000_000) -> Model | None:
+    """Count the context trees over labelled rows that are not held out; None if there are none.
+
+    Of each language some fit_rows rows, of some fit_chars characters in all, are learned
+    from; texts of over most_chars are not drawn.
+    """
+    usable = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.coalesce(F.length(text_col), F.lit(0)) <= most_chars))
+    sizes = usable.groupBy(lang_col).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).collect()
+    # the share of a language's rows that is drawn
+    rows = {r[0]: min(1.0, fit_rows / r["n"], fit_chars / max(1, r["chars"])) for r in sizes}
     if not rows:
         return None
     # the draw of a row without an id, or of a copied id, is that of its text
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(8)), F.lit(1 << 40))
-    shares = docs.sparkSession.createDataFrame([(k, (1 << 40) if n <= fit_rows else int(fit_rows / n * (1 << 40))) for k, n in rows.items()], "_lang string, _share long")
+    shares = docs.sparkSession.createDataFrame([(k, int(share * (1 << 40))) for k, share in rows.items()], "_lang string, _share long")
     sample = usable.join(F.broadcast(shares), F.col(lang_col) == F.col("_lang")).where(draw < F.col("_share")).select(F.col("_lang"), text_col)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

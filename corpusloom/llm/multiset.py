@@ -49,6 +49,9 @@ _WIDE = (1 << 31) - 1
 #: Up to two words of one line.
 PIECE = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+)?"
 MOST_RANGES = 65_536
+#: Rows without an id beyond which equal ones are counted before they are shuffled, and copies that one task makes of a count.
+MANY_ROWS = 10_000
+COPIES = 1_000
 
 
 def _long(value: int) -> Column:
@@ -170,18 +173,24 @@ def with_next(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> DataF
     """
     spark = df.sparkSession
     n = min(MOST_RANGES, max(64, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))  # many for each task, so that tasks are even
-    cuts = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 4 * n).alias("q")).first()["q"] or []
+    read = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 4 * n).alias("q"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).first()
+    cuts = read["q"] or []
     bounds = sorted(set(cuts))
     # an id that is two quantiles, and null, may have a large share of the rows: their ranges are cut by tie
     hot = [c for c, n_cuts in Counter(cuts).items() if n_cuts > 1]
     shared = F.col(id_col).isNull() | (F.col(id_col).isin(hot) if hot else F.lit(False))
+    counted = bool(hot) or read["nulls"] > MANY_ROWS
+    if counted:
+        # equal rows of such an id become one row with their number: all but the last are followed by an equal one
+        once = df.where(shared).groupBy(id_col, tie).agg(*(F.first(c).alias(c) for c in df.columns if c not in (id_col, tie)), F.count("*").alias("_copies"))
+        df = df.where(~shared).withColumn("_copies", F.lit(1).cast("long")).unionByName(once)
     by_tie = F.when(shared, F.shiftright(tie, 56) + 129).otherwise(F.lit(0))  # from 1 to 256; the range's larger ids come before
     number = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(_range_of(F.col(id_col), bounds))
     place = (number.cast("long") * 512 - by_tie).cast("long")
     placed = df.withColumn("_range", place)
     heads = [r for r in placed.groupBy("_range").agg(F.max(id_col).alias("id"), F.max(F.struct(F.col(id_col), F.negate(F.shiftright(tie, 1)))).alias("top")).orderBy(F.desc("_range")).collect()]
     if not heads:
-        return placed.withColumns({f"next_{c}": F.col(c) for c in columns}).drop("_range")
+        return placed.withColumns({f"next_{c}": F.col(c) for c in columns}).drop("_range", "_copies")
     ranges = [r["_range"] for r in heads]
     kind = dict(df.dtypes)[id_col]
     # the head of each range also closes the range before it; the first head closes the last range
@@ -193,7 +202,19 @@ def with_next(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> DataF
         "_at", F.explode(F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("end")), F.struct(F.col("_closes").alias("r"), F.lit(1).alias("end"))), lambda x: x["r"].isNotNull()))
     ).drop("_range", "_head_id", "_head_tie", "_closes").withColumns({"_range": F.col("_at.r"), "_end": F.col("_at.end")}).drop("_at")
     w = Window.partitionBy("_range").orderBy("_end", F.desc_nulls_last(id_col), tie)
-    return spread.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_end = 0").drop("_range", "_end")
+    followed = spread.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_end = 0").drop("_range", "_end")
+    return _copied(followed, columns) if counted else followed
+
+
+def _copied(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row as often as _copies says; only its last copy keeps what follows, the others are followed by themselves."""
+    names = [c for c in rows.columns if c != "_copies"]
+    # in two steps, so that the copies of one row are spread over tasks
+    steps = rows.withColumn("_step", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES))))
+    dealt = steps.where("_copies = 1").unionByName(steps.where("_copies > 1").repartition("_step", "_tie"))
+    copy = F.explode(F.sequence(F.col("_step") * COPIES + 1, F.least((F.col("_step") + 1) * COPIES, F.col("_copies"))))
+    last = F.col("_copy") == F.col("_copies")
+    return dealt.withColumn("_copy", copy).withColumns({f"next_{c}": F.when(last, F.col(f"next_{c}")).otherwise(F.col(c)) for c in columns}).select(names)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,9 @@ Slots number the rows of a shard from 0 without gaps.  A shard may hold a large
 share of all rows, so rows are ranked inside sub-buckets of their shard (the
 leading hex digits of the key hash) and the sub-bucket offsets are added; no task
 ever sees a whole shard.  The driver reads the sizes of the sub-buckets (at most
-4096 for each shard); where one is far larger than others, a key that many rows share
-is the cause, and the rows of this key are cut further by their texts' checksums, which
-come next in the order of slots.
+4096 for each shard); where one is far larger than others, keys that many rows share
+are the cause, and the rows of each are cut further by their texts' checksums, which
+come next in the order of slots; equal rows of such a key are counted before they are shuffled.
 
 Defined cases: a null key is the key "null"; a null text has no bytes (size 1,
 checksum of the empty text); repeated keys share a shard and get neighbouring
@@ -33,6 +33,8 @@ SUB_BUCKET_DIGITS = 3
 LARGE_ROWS = 500_000
 #: Mean rows of a sub-bucket up to which two digits do.
 FEW_ROWS = 20_000
+#: Copies of one row that one task makes of their count.
+COPIES = 100_000
 
 
 def _bid(key: Column, shard: Column, weight: Column) -> Column:
@@ -95,22 +97,39 @@ def shard_documents(
     limit = max(large_rows, 8 * total // max(1, len(sizes)))
     large = [(r["shard"], r["_sub"]) for r in sizes if r["_n"] > limit]
     spark = docs.sparkSession
+    equal = None
     if large:
-        heavy = docs.select(shard.alias("shard"), sub.alias("_sub"), order.alias("_hash")).join(F.broadcast(spark.createDataFrame(large, "shard int, _sub string")), ["shard", "_sub"])
-        frequent = heavy.groupBy("shard", "_sub", "_hash").count().groupBy("shard", "_sub").agg(F.max_by("_hash", "count").alias("_frequent"))
-        own = F.col("_hash") == F.col("_frequent")
-        part = F.when(own, 1 + F.shiftright("text_crc32", 20)).when(F.col("_hash") > F.col("_frequent"), F.lit(1 << 13)).otherwise(F.lit(0)).cast("int")
-        rows = rows.join(F.broadcast(spark.createDataFrame(frequent.collect(), "shard int, _sub string, _frequent string")), ["shard", "_sub"], "left").withColumn("_part", part)
+        # keys with many rows: each is a stretch of its own, cut by checksums, between the stretches of the keys around it
+        places = F.broadcast(spark.createDataFrame(large, "shard int, _sub string"))
+        heavy = docs.select(shard.alias("shard"), sub.alias("_sub"), order.alias("_hash")).join(places, ["shard", "_sub"]).groupBy("shard", "_sub", "_hash").count()
+        frequent = heavy.where(F.col("count") > limit).groupBy("shard", "_sub").agg(F.array_sort(F.collect_list("_hash")).alias("_frequent"))
+        rows = rows.join(F.broadcast(frequent), ["shard", "_sub"], "left").withColumn("_frequent", F.coalesce("_frequent", F.array().cast("array<string>")))
+        own = F.array_contains("_frequent", F.col("_hash"))
+        stretch = 2 * F.size(F.filter("_frequent", lambda h: h < F.col("_hash"))) + own.cast("int")
+        rows = rows.withColumns({"_own": own, "_part": stretch.cast("long") * 4096 + F.when(own, F.shiftright("text_crc32", 20)).otherwise(F.lit(0))}).drop("_frequent")
         counts = rows.groupBy("shard", "_sub", "_part").agg(F.count("*").alias("_n"))
+        # their equal rows are interchangeable: they are counted, and the counts become slots again
+        same = [F.col(key_col).alias("_key"), "size", "text_crc32", "_hash", "shard", "grown_shard", "_sub", "_part"]
+        equal = rows.where("_own").groupBy(*same).agg(F.count("*").alias("_copies"))
+        rows = rows.where("NOT _own")
     else:
-        rows = rows.withColumn("_part", F.lit(0))
-        counts = spark.createDataFrame([(r["shard"], r["_sub"], 0, r["_n"]) for r in sizes], "shard int, _sub string, _part int, _n long")
+        rows = rows.withColumn("_part", F.lit(0).cast("long"))
+        counts = spark.createDataFrame([(r["shard"], r["_sub"], 0, r["_n"]) for r in sizes], "shard int, _sub string, _part long, _n long")
     before = Window.partitionBy("shard").orderBy("_sub", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_sub", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("shard", "_sub", "_part").orderBy("_hash", key_col, "text_crc32", "size")
+    ranked = rows.withColumn("_rank", F.row_number().over(within))
+    columns = [key_col, "size", "text_crc32", "shard", "grown_shard", "_sub", "_part", "_rank"]
+    if equal is not None:
+        upto = Window.partitionBy("shard", "_sub", "_part").orderBy("_hash", "_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+        begun = equal.withColumn("_before", F.coalesce(F.sum("_copies").over(upto), F.lit(0)))
+        # in two steps, so that the copies of one row are spread over tasks
+        steps = begun.withColumn("_step", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES)))).repartition("shard", "_sub", "_part", "_key", "_step")
+        copy = F.explode(F.sequence(F.col("_step") * COPIES + 1, F.least((F.col("_step") + 1) * COPIES, F.col("_copies"))))
+        expanded = steps.withColumn("_rank", copy).withColumn("_rank", F.col("_rank") + F.col("_before"))
+        ranked = ranked.select(columns).unionByName(expanded.withColumnRenamed("_key", key_col).select(columns))
     return (
-        rows.withColumn("_rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "_sub", "_part"])
+        ranked.join(F.broadcast(offsets), ["shard", "_sub", "_part"])
         .select(
             key_col, "size", "text_crc32", F.lit("key").alias("law"), "shard",
             (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard",

@@ -17,7 +17,9 @@ Only distinct fingerprints take part; copies join their fingerprint's component
 at the end.  A bucket of equal keys is not expanded into pairs: a breadth-first
 search inside it compares each member only with the members not reached yet and
 gives the edges of a spanning forest, so a group of m mutual near copies costs
-about m comparisons and gives m - 1 edges.
+about m comparisons and gives m - 1 edges.  Buckets that a sample of the fingerprints shows to be large
+are dealt into blocks, and each pair of blocks is searched by itself: which keys
+these are changes where the search runs, not what it finds.
 
 Defined cases: texts without words, empty or null have fingerprint 0 and are
 linked like any other; fewer than four words give one shingle of all words; null
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.tables import by_position, place
 from corpusloom.operators.components import connected_components
-from corpusloom.scratch import checkpoint, stored
+from corpusloom.scratch import checkpoint, lookup, stored
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the binary Golay code (fixed value).
 GOLAY = 0b110001110101
@@ -48,6 +50,10 @@ SEGMENTS = (22, 21, 21)
 BLOCK = 16384
 #: Fingerprints whose keys one task makes.
 KEY_ROWS = 16_384
+#: Members beyond which a key's bucket is searched in blocks, and the most blocks; one in SAMPLED fingerprints tells which keys have as many.
+BUCKET = 50_000
+MOST_BLOCKS = 4096
+SAMPLED = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -177,7 +183,7 @@ def spanning_edges(members: np.ndarray, distance: int) -> list[tuple[np.ndarray,
     return out
 
 
-def near_edges(prints: DataFrame, distance: int = 4) -> DataFrame:
+def near_edges(prints: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
     """(src, dst) between distinct fingerprints (column fp); they connect what links within distance <= 4 connect."""
     if not 0 <= distance <= 4:
         raise ValueError("the keys are complete for distances from 0 to 4")
@@ -225,7 +231,19 @@ def near_edges(prints: DataFrame, distance: int = 4) -> DataFrame:
         if held:
             yield from closed(held)
 
-    pairs = prints.select("fp").mapInArrow(keys, "key long, fp long")
+    def keyed(part: DataFrame) -> DataFrame:
+        return part.select("fp").mapInArrow(keys, "key long, fp long")
+
+    pairs = keyed(prints)
+    sampled = keyed(prints.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SAMPLED)) == 0))
+    crowded = stored(sampled.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > bucket), "crowded")
+    if not crowded.isEmpty():
+        # dealt into blocks; each pair of blocks is searched as a bucket of its own
+        blocks = crowded.select("key", F.least(F.ceil(F.col("n") * SAMPLED / bucket), F.lit(MOST_BLOCKS)).alias("_m"))
+        pairs = pairs.join(lookup(blocks, "blocks"), "key", "left").withColumn("_b", F.pmod(F.xxhash64("fp"), F.coalesce("_m", F.lit(1))))
+        pairs = pairs.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_m", F.lit(1)) - 1)))
+        pair = F.least("_b", "_o") * MOST_BLOCKS + F.greatest("_b", "_o")
+        pairs = pairs.select((F.col("key") * (MOST_BLOCKS * MOST_BLOCKS) + pair).alias("key"), "fp")
     return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(links, "src long, dst long").distinct()
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontaminate, langid, mixing, multiset, quality, sharding, simhash, substrings, toxicity
+from corpusloom.operators.components import connected_components
 
 CLASHES = ["fp", "part", "label", "window", "start", "n", "spans", "epoch", "domain", "shard", "size", "score", "model", "bits", "host", "path", "f", "least", "key", "budget", "turn", "_range", "law"]
 LONG = " ".join(f"w{i % 9973}x{i % 31}" for i in range(60_000))
@@ -165,3 +166,63 @@ def test_numerals_are_no_letters(spark):
     docs = spark.createDataFrame([(i, "plain english words", "en") for i in range(9)] + [(20, "½", None), (21, "①② 12 _ Ⅷ", None), (22, "ß", None), (23, "漢", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}
     assert [got[i] for i in (20, 21, 22, 23)] == ["und", "und", "en", "en"]
+
+
+def test_a_benchmark_of_any_size(spark, docs):
+    """Groups of items, one after the other, find what all items at once find."""
+    bench = spark.createDataFrame([(1, "the same words again and again and some more of them here"), (2, ""), (3, "short"), (4, "one"), (5, "a text without an id"), (6, None)], "item_id long, text string")
+    whole, table = (decontaminate.benchmark_items(bench, most_chars=n) for n in (1000, 10))
+    assert isinstance(whole, list) and not isinstance(table, list)
+    want = sorted(map(repr, decontaminate.contamination(docs, whole).collect()))
+    assert sorted(map(repr, decontaminate.contamination(docs, table, most_chars=25).collect())) == want and any("contaminated=True" in r for r in want)
+    kept = [sorted(map(repr, decontaminate.keep_uncontaminated(docs, items, most_chars=25).collect())) for items in (whole, table)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < N
+
+
+def _largest_task(spark, run):
+    """Rows that the largest task of a job read by shuffles, over all jobs of run()."""
+    spark.sparkContext.setJobGroup("largest", "largest")
+    run()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    largest = 0
+    for job in spark.sparkContext.statusTracker().getJobIdsForGroup("largest"):
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
+            for task in _seq(store.taskList(stage, 0, 1_000)):
+                m = task.taskMetrics()
+                if m.isDefined():
+                    largest = max(largest, m.get().shuffleReadMetrics().recordsRead())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return largest
+
+
+def _seq(items):
+    return [items.apply(i) for i in range(items.length())]
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    """Three quarters of all rows are equal, without an id and a text: they are counted, and slots and neighbours are those of single rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+        sharded = sharding.shard_documents(hot, large_rows=100)
+        assert _largest_task(spark, lambda: sharded.write.format("noop").mode("overwrite").save()) < 5_000
+        assert sorted(map(repr, sharded.collect())) == sorted(map(repr, sharding.shard_documents(hot, large_rows=10**6).collect()))
+        few = spark.range(0, 700, 1, 4).select(F.when(F.col("id") % 4 == 0, F.col("id") % 40).alias("doc_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("text "), (F.col("id") % 80).cast("string"))).alias("text"))
+        plain = sorted(map(repr, multiset.fingerprint_edits(few).collect()))
+        multiset.MANY_ROWS, multiset.COPIES = 100, 7
+        assert sorted(map(repr, multiset.fingerprint_edits(few).collect())) == plain
+    finally:
+        multiset.MANY_ROWS, multiset.COPIES = 10_000, 1_000
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_crowded_buckets_are_dealt_into_blocks(spark):
+    """Fingerprints a few bits from one word share keys; blocks of them give the components of one bucket."""
+    word = 0x0123456789ABCDEF
+    near = {word}
+    for i in range(40):
+        near |= {word ^ (1 << i) ^ (1 << j) for j in range(i + 1, 40, 3)}
+    prints = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in sorted(near | {word ^ 0xFFFFF << 40})], "fp long").repartition(3)
+    parts = lambda edges: sorted(map(tuple, connected_components(edges).collect()))
+    whole, dealt = parts(simhash.near_edges(prints)), parts(simhash.near_edges(prints, bucket=64))
+    assert whole == dealt and len({c for _, c in whole}) == 1 and len(whole) == len(near)
