@@ -83,8 +83,33 @@ def test_similarity_join_is_exact(spark):
     a, b = w.select(F.col("doc_id").alias("src"), "term", F.col("weight").alias("x")), w.select(F.col("doc_id").alias("dst"), "term", F.col("weight").alias("y"))
     for t in (0.3, 0.6):
         full = a.join(b, "term").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where(F.col("s") > t)
-        for ways in ({}, {"few": 0}, {"few": 0, "max_candidates": 0}, {"block": 3}):
-            assert {r[:2] for r in tfidf.similarity_join(w, t, **ways).collect()} == {r[:2] for r in full.collect()}
+        want = {r[:2]: round(r[2], 9) for r in full.collect()}
+        for ways in ({}, {"few": 0}, {"few": 0, "max_candidates": 0}, {"block": 3}, {"few": 0, "max_candidates": 10**6}):
+            tfidf.HOT_POSTINGS = 4096 if ways else 30
+            got = {r[:2]: round(r[2], 9) for r in tfidf.similarity_join(w, t, **ways).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    tfidf.HOT_POSTINGS = 30
+    assert {r[:2] for r in tfidf.similarity_join(w, 0.6, few=0, max_candidates=10**6).collect()} == want.keys()
+    tfidf.HOT_POSTINGS = 4096
+
+
+def test_similarity_blocks_shuffle_in_proportion(spark):
+    """Twice as many vectors, twice as many blocks: what is shuffled doubles and does not grow with the pairs of blocks."""
+    def shuffled(n):
+        rows = [(i, f"t{(i * k) % 97}", 1.0 / (1 + k)) for i in range(n) for k in range(1, 9)]
+        w = spark.createDataFrame(rows, "doc_id long, term string, weight double").groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
+        store = spark.sparkContext._jsc.sc().statusStore()
+
+        def total():
+            executors = store.executorList(False)
+            return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+
+        before = total()
+        tfidf.similarity_join(w, 0.9, block=8).write.format("noop").mode("overwrite").save()
+        return total() - before
+
+    small, large = shuffled(600), shuffled(1200)
+    assert large < 2.6 * small
 
 
 def test_query_parser(docs):
