@@ -5,9 +5,9 @@ projection of the plan.  Stemmers have no built-in form; they (and what follows
 them in the chain) are applied to the distinct vocabulary, not to each token, and
 joined back.
 
-``standard`` approximates Unicode word boundaries and ``classic`` the English
-grammar tokenizer by regular expressions; ``kstem`` is a rule subset without a
-lexicon.
+``unicode`` follows the Unicode word-boundary rules, which ``standard`` approximates for scripts with
+spaces; ``classic`` approximates the English grammar tokenizer.  ``kstem`` is a rule subset without a
+lexicon; ``lexicon.stems`` is the stemmer that looks words up.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stem
+from corpusloom.functions.boundaries import UNICODE
 from corpusloom.scratch import lookup
 
 # Token patterns, in the syntax that Java and RE2 share.
@@ -31,7 +32,7 @@ CLASSIC = r"[\p{L}\p{N}._-]+@[\p{L}\p{N}.-]+|[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+|(
 WORD2 = r"[\p{L}\p{N}_]{2,}"
 ASCII_LOWER = r"[a-z]+"
 
-TOKENIZERS = {"whitespace": WHITESPACE, "letter": LETTER, "standard": STANDARD, "classic": CLASSIC, "word2": WORD2, "ascii_lower": ASCII_LOWER}
+TOKENIZERS = {"whitespace": WHITESPACE, "letter": LETTER, "unicode": UNICODE, "standard": STANDARD, "classic": CLASSIC, "word2": WORD2, "ascii_lower": ASCII_LOWER}
 
 # The English stop list.
 STOP_WORDS = (

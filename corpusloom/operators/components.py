@@ -37,7 +37,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("src", F.col("root").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for each end of an edge; component is the smallest node reachable.
 
     Null ends and self loops are ignored apart from giving the node itself.
@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     # the first step makes the edges distinct; its input is read once
     stars = checkpoint(_small_star(pairs.where("src <> dst")))
     seen = None
-    for _ in range(max_rounds):
+    while True:  # every round but the last lowers an end of an edge
         stars = checkpoint(_small_star(_large_star(stars)))
         state = stars.agg(
             F.count("*").alias("n"),
@@ -57,7 +57,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = stars.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -53,3 +53,13 @@ def ranked(freq: DataFrame, by: str = "freq") -> DataFrame:
 def top_terms(freq: DataFrame, n: int, by: str = "freq") -> DataFrame:
     """The n most frequent; a distributed top-k, ties by term."""
     return freq.orderBy(F.desc(by), "term").limit(n)
+
+
+def word_sketches(terms: DataFrame, *groups: str, bits: int = 14) -> DataFrame:
+    """(groups, sketch): a sketch of the distinct terms of each group, of some 2**bits bytes at most, whatever the terms."""
+    return terms.groupBy(*groups).agg(F.hll_sketch_agg("term", F.lit(bits)).alias("sketch"))
+
+
+def united(sketches: DataFrame, *groups: str) -> DataFrame:
+    """(groups, n_unique): the estimated number of distinct terms of groups of sketches united; new sketches need no old terms."""
+    return sketches.groupBy(*groups).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_unique"))

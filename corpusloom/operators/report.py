@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.scratch import lookup, stored
+
 STEMMER_NAMES = ("kstem", "porter_stem", "snowball", "stemmer")
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Bins of a histogram that is refined.
+BINS = 1024
 
 
 def grouped_mean(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
@@ -16,9 +22,48 @@ def grouped_mean(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame
 
 
 def quantiles(df: DataFrame, column: str, groups: Sequence[str] = (), at: Sequence[float] = QUANTILES) -> DataFrame:
-    """(groups, q0, q1, ...): exact quantiles with linear interpolation."""
-    got = df.groupBy(*groups).agg(F.percentile(column, list(at)).alias("_q"))
-    return got.select(*groups, *(F.col("_q")[i].alias(f"q{i}") for i in range(len(at))))
+    """(groups, q0, q1, ...): exact quantiles with linear interpolation; a group without values has null ones.
+
+    No task gathers the values of a group.  For each rank that is needed, values are
+    counted in BINS equal bins between the least and the largest one that are left, and only the bin
+    that holds the rank is kept, until its least value is its largest.
+    The least and the largest of what is left are never in one bin, so this ends.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))]
+    rows = stored(df.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), F.col(column).cast("double").alias("_x")), "values")
+    known = rows.where("_x IS NOT NULL")
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    place = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("place")) for i, p in enumerate(at)))
+    targets = sizes.withColumn("_p", F.explode(place)).select(*keys, "_lo", "_hi", F.explode(F.array(F.floor("_p.place"), F.ceil("_p.place"))).alias("_rank")).distinct()
+    wanted = stored(targets.withColumn("_left", F.col("_rank")), "ranks")  # _left: the rank among the values from _lo to _hi
+    found = wanted.where("_lo = _hi")
+    open_ = wanted.where("_lo < _hi")
+    same = [known[k].eqNullSafe(F.col(f"_t{k}")) for k in keys]
+    while not open_.isEmpty():
+        sides = lookup(open_.select(*(F.col(k).alias(f"_t{k}") for k in keys), "_lo", "_hi", "_rank", "_left"), "ranks")
+        inside = reduce(and_, same, known["_x"].between(F.col("_lo"), F.col("_hi")))
+        # halves, so that the width of any two doubles is one
+        share = F.try_divide(F.col("_x") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_ = F.when(F.col("_x") == F.col("_hi"), F.lit(BINS)).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1))).cast("int")
+        counts = known.join(sides, inside).groupBy(*keys, "_rank", "_left", bin_.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        before = Window.partitionBy(*keys, "_rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        marked = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        held = marked.where("_before <= _left AND _left < _before + _n")
+        step = stored(held.select(*keys, "_lo", "_hi", "_rank", (F.col("_left") - F.col("_before")).alias("_left")), "ranks")
+        found, open_ = found.unionByName(step.where("_lo = _hi")), step.where("_lo < _hi")
+    values = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_v"))
+    every = rows.select(*keys).distinct()
+    joined = values.join(sizes.select(*(F.col(k).alias(f"_s{k}") for k in keys), "_n"), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys], F.lit(True)))
+    out = []
+    for i, p in enumerate(at):
+        at_ = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = F.col("_v")[F.floor(at_)], F.col("_v")[F.ceil(at_)]
+        out.append((low + (high - low) * (at_ - F.floor(at_))).alias(f"q{i}"))
+    got = joined.select(*(F.col(k).alias(f"_v{k}") for k in keys), *out)
+    if not groups:
+        return got
+    whole = every.join(got, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_v{k}")) for k in keys]), "left")
+    return whole.select(*(F.col(k).alias(g) for g, k in zip(groups, keys)), *(f"q{i}" for i in range(len(at))))
 
 
 def spread(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:

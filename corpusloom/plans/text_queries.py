@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
+from corpusloom.functions import boundaries, lexicon
 from corpusloom.operators import index, laws, report, vocab
 from corpusloom.operators import postings as po
 from corpusloom.scratch import files, once, scratch_path, stored
@@ -239,6 +240,12 @@ def t03_standard(spark, table):
     return _counts(table, an.Analyzer("standard", ()))
 
 
+@query(_count_sql(sql_tokens(boundaries.PLAIN)))
+def t03_unicode_words(spark, table):
+    """By the word-boundary rules; the SQL has their part for scripts written with spaces."""
+    return _counts(table, an.Analyzer("unicode", ()))
+
+
 @query(_count_sql(sql_tokens(an.CLASSIC)))
 def t04_classic(spark, table):
     return _counts(table, an.Analyzer("classic", ()))
@@ -269,6 +276,12 @@ def t09_snowball(spark, table):
     return _counts(table, an.Analyzer("letter", ("lowercase", "snowball")))
 
 
+@query(f"WITH RECURSIVE {lexicon.sql(_count_sql(LOWER_LETTERS))} SELECT stem AS term, CAST(sum(freq) AS BIGINT) AS freq FROM lv JOIN lexicon USING (term) GROUP BY stem")
+def t10_kstem_lexicon(spark, table):
+    vocabulary = stored(_counts(table, LETTERS), "vocabulary")
+    return lexicon.stemmed(vocabulary, lexicon.stems(vocabulary)).withColumnRenamed("stem", "term")
+
+
 @query()
 def t10_kstem_rules(spark, table):
     return _counts(table, an.Analyzer("letter", ("lowercase", "kstem")))
@@ -527,6 +540,14 @@ def a03_unique_and_total(spark, table):
     return freq.groupBy("corpus").agg(F.count("*").alias("n_unique"), F.sum("freq").alias("n_total"))
 
 
+@query()
+def a03_sketched_unique(spark, table):
+    """Distinct words of each language from stored sketches of its sources, united; within a few hundredths of the exact number."""
+    words = LETTERS.analyze(table("documents").select(F.struct("lang", "source").alias("doc_id"), "text"))
+    sketches = stored(po.word_sketches(words.select("doc_id.lang", "doc_id.source", "term"), "lang", "source"), "sketches")
+    return po.united(sketches, "lang")
+
+
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM ({LOWER_LETTERS}) GROUP BY term")
 def a04_document_frequency(spark, table):
     return po.document_frequency(letter_postings(table))

@@ -541,6 +541,14 @@ def g11_average_path_length(spark, table):
     return paths.average_path_length(links, nodes).withColumn("average_length", F.round("average_length", 9))
 
 
+@query(f"""WITH RECURSIVE {LINK_SQL}, hop AS (SELECT node AS source, node, 0 AS d FROM nodes UNION SELECT h.source, b.dst, h.d + 1 FROM hop h JOIN both_ways b ON b.src = h.node WHERE h.d < 14),
+dist AS (SELECT source, node, min(d) AS d FROM hop GROUP BY 1, 2)
+SELECT CAST(max(d) AS BIGINT) AS diameter FROM dist""")
+def g12_exact_diameter(spark, table):
+    links = _links(table)
+    return paths.diameter(links, links.select(F.col("src").alias("node")).union(links.select("dst")))
+
+
 @query(f"""WITH RECURSIVE {LINK_SQL}, h1 AS (SELECT 'p0' AS node, 0 AS d UNION SELECT b.dst, d + 1 FROM h1 JOIN both_ways b ON b.src = h1.node WHERE d < 20),
 far AS (SELECT node FROM (SELECT node, min(d) AS d FROM h1 GROUP BY 1) ORDER BY d DESC, node LIMIT 1), h2 AS (SELECT node, 0 AS d FROM far UNION SELECT b.dst, d + 1 FROM h2 JOIN both_ways b ON b.src = h2.node WHERE d < 20)
 SELECT CAST(max(d) AS BIGINT) AS diameter FROM (SELECT node, min(d) AS d FROM h2 GROUP BY 1)""")
