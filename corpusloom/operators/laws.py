@@ -81,7 +81,7 @@ def goodness(points: DataFrame, y: str, fitted: Column, groups: Sequence[str] =
 def least_squares(
     points: DataFrame, x: str, y: str,
     model: Callable[[Column, Sequence[float]], Column], gradient: Callable[[Column, Sequence[float]], Sequence[Column]],
-    start: Sequence[float], bounds: Sequence[tuple[float, float]] | None = None, max_steps: int = 200, tolerance: float = 1e-10,
+    start: Sequence[float], bounds: Sequence[tuple[float, float]] | None = None, tolerance: float = 1e-15,
 ) -> tuple[list[float], float]:
     """Levenberg-Marquardt with box bounds by projection: (parameters, sum of squares).
 
@@ -109,15 +109,15 @@ def least_squares(
         return row[0], np.array(row[1 : 1 + n]), jtj
 
     try:
-        return levenberg_marquardt(p, equations, low, high, max_steps, tolerance)
+        return levenberg_marquardt(p, equations, low, high, tolerance)
     finally:
         data.unpersist()
 
 
-def levenberg_marquardt(p: np.ndarray, equations: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], low: np.ndarray, high: np.ndarray, max_steps: int = 200, tolerance: float = 1e-10) -> tuple[list[float], float]:
+def levenberg_marquardt(p: np.ndarray, equations: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], low: np.ndarray, high: np.ndarray, tolerance: float = 1e-15) -> tuple[list[float], float]:
     """(parameters, sum of squares); equations gives the sum of squares, J'r and J'J at some parameters."""
     damping, (cost, jr, jtj) = 1e-3, equations(p)
-    for _ in range(max_steps):
+    while True:  # the sum of squares falls by a share of itself, or the damping grows to its end
         free = ~(((p <= low) & (jr < 0)) | ((p >= high) & (jr > 0)))
         if not free.any() or not np.isfinite(cost):
             break
@@ -172,7 +172,7 @@ def fit_heaps(points: DataFrame, x: str = "n_words", y: str = "n_unique") -> tup
 
 
 def fit_heaps_of_each(points: DataFrame, group: str, x: str = "n_words", y: str = "n_unique") -> DataFrame:
-    """(group, k, beta, cost): fit_heaps() of each group in a task of its own; a group is a growth table of few points."""
+    """(group, k, beta, cost): fit_heaps() of each group in a task of its own; a group is a growth table of few points, null if they have one size."""
     kind = points.schema[group].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,6 +191,8 @@ def fit_heaps_of_each(points: DataFrame, group: str, x: str = "n_words", y: str
             j, r = np.stack([base, p[0] * base * np.log(n)]), u - p[0] * base
             return float(r @ r), j @ r, j @ j.T
 
+        if len(np.unique(n)) < 2:  # one size of text determines no curve
+            return pd.DataFrame({group: pdf[group].iloc[:1].tolist(), "k": [None], "beta": [None], "cost": [None]})
         (k, beta), cost = levenberg_marquardt(start, equations, np.zeros(2), np.array([np.inf, 1.0]))
         return pd.DataFrame({group: pdf[group].iloc[:1].tolist(), "k": [k], "beta": [beta], "cost": [cost]})
 

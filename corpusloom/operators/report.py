@@ -84,13 +84,13 @@ def speedup(timings: DataFrame, cores: str = "ncores", keys: Sequence[str] = ("n
     return timings.join(base, list(keys)).select(*keys, cores, (F.col("_one") / F.col(time)).alias("speedup"))
 
 
-def filter_names(df: DataFrame, column: str = "filters") -> DataFrame:
-    """Adds stemmers (none, one's name or multiple), others (names without stemmers) and n_others of "a-b-c" names."""
+def filter_names(df: DataFrame, column: str = "filters", counted: bool = False) -> DataFrame:
+    """Adds stemmers (none, one's name or multiple, counted: multiple-N), others (names without stemmers) and n_others of "a-b-c" names."""
     parts = F.filter(F.split(F.coalesce(column, F.lit("")), "-"), lambda x: x != "")
     stems = F.array_sort(F.array_intersect(parts, F.array(*map(F.lit, STEMMER_NAMES))))
     others = F.array_except(parts, F.array(*map(F.lit, STEMMER_NAMES)))
     return df.withColumns({
-        "stemmers": F.when(F.size(stems) == 0, "none").when(F.size(stems) == 1, stems[0]).otherwise("multiple"),
+        "stemmers": F.when(F.size(stems) == 0, "none").when(F.size(stems) == 1, stems[0]).otherwise(F.concat(F.lit("multiple-"), F.size(stems).cast("string")) if counted else F.lit("multiple")),
         "others": F.when(F.size(others) == 0, "none").otherwise(F.array_join(others, "-")),
         "n_others": F.size(others),
     })

@@ -157,6 +157,25 @@ def s13_run_logs(spark, table):
     return src.parse_run_logs(lines.unionByName(first))
 
 
+@query("""WITH e AS (SELECT user_id, value, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, i, value, i = max(i) OVER (PARTITION BY user_id) AND max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) = 1 AS converged FROM e)
+SELECT CAST((user_id % 5) / 10.0 AS DOUBLE) AS min_freq, CAST(0.5 AS DOUBLE) AS max_freq, user_id + 2 AS n_words, user_id % 7 AS actual_words, user_id % 3 AS clusters_init, CAST(i AS INTEGER) AS iteration, converged AS it_converged, i % 4 AS it_clusters, value AS it_time FROM r""")
+def s13_run_table(spark, table):
+    """Logs, vocabularies and prototypes of runs in folders that name their parameters, made of the events."""
+    e = table("events").select("user_id", "event_id", "event_type", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"))
+    low, high, n = ((F.col("user_id") % 5) / 10.0).cast("string"), F.lit("0.5"), (F.col("user_id") + 2).cast("string")
+    # some folders have the number of words first
+    folder = F.concat(F.lit("runs/"), F.when(F.col("user_id") % 2 == 0, F.concat_ws("_", low, high, n)).otherwise(F.concat_ws("_", n, low, high)))
+    said = F.array(F.concat(F.lit("Iteration "), F.col("i").cast("string")), F.concat(F.lit("Time= "), F.col("value").cast("string")), F.when(F.col("event_type") == "error", "Algorithm converged").otherwise("-"))
+    logs = e.select(F.concat(folder, F.lit("/kmeans.log")).alias("file"), F.col("i"), F.posexplode(said).alias("j", "value")).select("file", (F.col("i") * 3 + F.col("j")).alias("line"), "value")
+    repeat = lambda k: F.explode(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")))
+    users = e.select("user_id").distinct()
+    vocabulary = users.select(F.concat(folder, F.lit("/vocabulary.txt")).alias("file"), repeat(F.col("user_id") % 7).alias("line"))
+    first = users.select(F.concat(folder, F.lit("/prototype.txt")).alias("file"), repeat(F.col("user_id") % 3).alias("line"))
+    later = e.select(F.concat(folder, F.lit("/prototypes"), F.col("i").cast("string"), F.lit(".txt")).alias("file"), repeat(F.col("i") % 4).alias("line"))
+    return src.run_table(src.parse_run_logs(logs), vocabulary, first.unionByName(later))
+
+
 @query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, source AS \"group\", path AS docid FROM {CORPUS_SQL}")
 def s15_sidecar_dimension(spark, table):
     docs = corpus(table)
@@ -200,16 +219,25 @@ PORTER2_STEMS = {
 }
 
 
+def _counts(table, analyzer: an.Analyzer) -> DataFrame:
+    return po.term_frequency(analyzer.analyze(table("documents")))
+
+
+def _count_sql(inner: str) -> str:
+    return f"SELECT term, count(*) AS freq FROM ({inner}) GROUP BY term"
+
+
 def _stem_query(name: str, stems: dict[str, str], analyzer: an.Analyzer, sql_where: str = "true"):
-    """Registers a query that sends the published words through an analyzer; its SQL is the published list."""
+    """Registers a query that sends the published words through an analyzer and counts them in the corpus; its SQL has the published stems."""
     values = ", ".join(f"({i}, '{w}', '{s}')" for i, (w, s) in enumerate(stems.items()))
 
     def run(spark, table):
         words = spark.createDataFrame(list(enumerate(stems)), "id int, word string")
-        return words.join(analyzer.analyze(words, "id", "word"), "id").select("id", "word", F.col("term").alias("stem"))
+        found = words.join(analyzer.analyze(words, "id", "word"), "id").select("id", "word", F.col("term").alias("stem"))
+        return found.join(_counts(table, LETTERS), F.col("word") == F.col("term"), "left").select("id", "word", "stem", F.coalesce("freq", F.lit(0)).alias("freq"))
 
     run.__name__ = name
-    query(f"SELECT CAST(id AS INTEGER) AS id, word, stem FROM (VALUES {values}) v(id, word, stem) WHERE {sql_where}")(run)
+    query(f"SELECT CAST(id AS INTEGER) AS id, word, stem, coalesce(freq, 0) AS freq FROM (VALUES {values}) v(id, word, stem) LEFT JOIN ({_count_sql(LOWER_LETTERS)}) c ON c.term = word WHERE {sql_where}")(run)
 
 
 _stem_query("t08_t11_published_stems", PORTER_STEMS, an.Analyzer("letter", ("lowercase", "porter_stem")))
@@ -217,14 +245,6 @@ _stem_query("t09_published_stems", PORTER2_STEMS, an.Analyzer("letter", ("lowerc
 _stem_query("t13_published_stems", PORTER2_STEMS, an.CLUSTER_ANALYZER, f"word NOT IN {STOP_SQL} AND length(stem) BETWEEN 2 AND 10")
 
 
-def _counts(table, analyzer: an.Analyzer) -> DataFrame:
-    return po.term_frequency(analyzer.analyze(table("documents")))
-
-
-def _count_sql(inner: str) -> str:
-    return f"SELECT term, count(*) AS freq FROM ({inner}) GROUP BY term"
-
-
 @query(_count_sql(sql_tokens(an.WHITESPACE)))
 def t01_whitespace(spark, table):
     return _counts(table, an.Analyzer("whitespace", ()))
@@ -385,15 +405,18 @@ def t22_filter_grid_with_stemmers(spark, table):
     return totals.join(top, "filters")
 
 
-FILTER_NAMES = ["-".join(c) for n in range(4) for c in itertools.combinations(("lowercase", "kstem", "snowball", "stop"), n)]
+_NAME_PARTS = ("lowercase", "kstem", "snowball", "stop")
 
 
-@query("""WITH f AS (SELECT unnest([""" + ", ".join(f"'{n}'" for n in FILTER_NAMES) + """]) AS filters),
-p AS (SELECT filters, list_filter(string_split(filters, '-'), lambda x: x <> '') AS parts FROM f),
-s AS (SELECT filters, list_sort(list_filter(parts, lambda x: x IN ('kstem', 'porter_stem', 'snowball', 'stemmer'))) AS st, list_filter(parts, lambda x: x NOT IN ('kstem', 'porter_stem', 'snowball', 'stemmer')) AS o FROM p)
-SELECT filters, CASE len(st) WHEN 0 THEN 'none' WHEN 1 THEN st[1] ELSE 'multiple' END AS stemmers, CASE len(o) WHEN 0 THEN 'none' ELSE array_to_string(o, '-') END AS others, CAST(len(o) AS INTEGER) AS n_others FROM s""")
+@query("""WITH f AS (SELECT concat_ws('-', CASE WHEN doc_id % 2 = 1 THEN 'lowercase' END, CASE WHEN doc_id // 2 % 2 = 1 THEN 'kstem' END, CASE WHEN doc_id // 4 % 2 = 1 THEN 'snowball' END, CASE WHEN doc_id // 8 % 2 = 1 THEN 'stop' END) AS filters FROM documents),
+c AS (SELECT filters, count(*) AS n_docs, list_filter(string_split(filters, '-'), lambda x: x <> '') AS parts FROM f GROUP BY filters),
+s AS (SELECT filters, n_docs, list_sort(list_filter(parts, lambda x: x IN ('kstem', 'porter_stem', 'snowball', 'stemmer'))) AS st, list_filter(parts, lambda x: x NOT IN ('kstem', 'porter_stem', 'snowball', 'stemmer')) AS o FROM c)
+SELECT filters, n_docs, CASE len(st) WHEN 0 THEN 'none' WHEN 1 THEN st[1] ELSE 'multiple-' || CAST(len(st) AS VARCHAR) END AS stemmers, CASE len(o) WHEN 0 THEN 'none' ELSE array_to_string(o, '-') END AS others, CAST(len(o) AS INTEGER) AS n_others FROM s""")
 def t23_filter_names(spark, table):
-    return report.filter_names(spark.createDataFrame([(n,) for n in FILTER_NAMES], "filters string"))
+    """Each document stands for a run under the filters that its id's bits name."""
+    part = [F.when(F.floor(F.col("doc_id") / (1 << i)) % 2 == 1, n) for i, n in enumerate(_NAME_PARTS)]
+    runs = table("documents").groupBy(F.concat_ws("-", *part).alias("filters")).agg(F.count("*").alias("n_docs"))
+    return report.filter_names(runs, counted=True)
 
 
 # ---- search

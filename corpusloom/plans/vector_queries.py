@@ -207,7 +207,19 @@ def m03_kmeans_three_iterations(spark, table):
     return kmeans.kmeans(v, kmeans.initial_prototypes(v, 10), 3)[0].select("doc_id", "cluster")
 
 
-@query()
+def _converged_sql(most: int) -> str:
+    """Assignments to the first that repeats its forerunner's partition, whatever the clusters are called."""
+    steps = []
+    for i in range(1, most + 1):
+        steps += [_assign_sql(f"proto{i - 1}", f"a{i}", "DESC"), _proto_sql(f"a{i}", f"proto{i}")]
+    chain = ", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)
+    every = " UNION ALL ".join(f"SELECT {i} AS i, doc_id, cluster FROM a{i}" for i in range(1, most + 1))
+    return f"""{chain}, every AS ({every}), label AS (SELECT i, doc_id, min(doc_id) OVER (PARTITION BY i, cluster) AS l FROM every),
+same AS (SELECT b.i, bool_and(a.l = b.l) AS ok FROM label a JOIN label b ON b.doc_id = a.doc_id AND b.i = a.i + 1 GROUP BY b.i),
+stop AS (SELECT coalesce(min(i) FILTER (WHERE ok), {most}) AS n, coalesce(bool_or(ok), false) AS done FROM same)"""
+
+
+@query(f"WITH {VECTOR_SQL}, {_converged_sql(20)} SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, CAST(any_value(stop.n) AS INTEGER) AS iterations, any_value(done) AS converged FROM every, stop WHERE i = stop.n GROUP BY cluster")
 def m03_kmeans_converged(spark, table):
     v = _vectors(spark, table)
     assigned, _, n, done = kmeans.kmeans(v, kmeans.initial_prototypes(v, 10), 20)
@@ -246,10 +258,18 @@ def m06_heaps_log_log(spark, table):
     return fit.select("book", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GROWTH_SQL}, pt AS (SELECT book, CAST(n_words AS DOUBLE) AS n, CAST(n_unique AS DOUBLE) AS u FROM (SELECT *, max(n_words) OVER (PARTITION BY book) AS top FROM growth) WHERE n_words < top - 3150 AND n_words > 0),
+hb AS (SELECT book, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM pt GROUP BY book UNION ALL
+  SELECT book, i + 1, CASE WHEN rise > 0 THEN mid ELSE lo END, CASE WHEN rise > 0 THEN hi ELSE mid END FROM (
+    SELECT book, any_value(i) AS i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, sum(u * x * l) - sum(u * x) / sum(x * x) * sum(x * x * l) AS rise
+    FROM (SELECT hb.book, i, lo, hi, (lo + hi) / 2 AS mid, u, pow(n, (lo + hi) / 2) AS x, ln(n) AS l FROM hb JOIN pt ON pt.book = hb.book WHERE i < 60) GROUP BY book)),
+hf AS (SELECT pt.book, any_value(lo) AS beta, sum(u * pow(n, lo)) / sum(pow(n, lo) * pow(n, lo)) AS k, count(DISTINCT n) AS points FROM hb JOIN pt ON pt.book = hb.book WHERE i = 60 GROUP BY pt.book)
+SELECT hf.book, CASE WHEN any_value(points) > 1 THEN round(any_value(k), 2) END AS k, CASE WHEN any_value(points) > 1 THEN round(any_value(beta), 4) END AS beta,
+CASE WHEN any_value(points) > 1 THEN round(sum(pow(u - k * pow(n, beta), 2)), 2) END AS cost FROM hf JOIN pt ON pt.book = hf.book GROUP BY hf.book""")
 def m04_m06_heaps_fit(spark, table):
+    """The SQL halves the range of beta by the sign of the slope of the sum of squares at the best k."""
     points = stored(laws.without_tail(growth_table(table)).select("book", "n_words", "n_unique"), "heaps")
-    return laws.fit_heaps_of_each(points, "book")
+    return laws.fit_heaps_of_each(points, "book").select("book", F.round("k", 2).alias("k"), F.round("beta", 4).alias("beta"), F.round("cost", 2).alias("cost"))
 
 
 @query(f"""WITH {GROWTH_SQL}, t AS (SELECT book FROM (SELECT *, max(n_words) OVER (PARTITION BY book) AS top FROM growth) WHERE n_words < top - 3150 AND n_words > 0)
@@ -382,11 +402,14 @@ def g04_pagerank_sweep(spark, table):
     return got.select("damping", *(F.round(c, 9).alias(c) for c in ("p_min", "p_50", "p_max")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ROUTES_SQL}, {_rank_sql('(SELECT unnest([0.5, 0.85, 0.9, 0.99])::DOUBLE AS lam)', 60)},
+moved AS (SELECT a.lam, a.i, bool_and(abs(a.p - b.p) <= 1e-10 + 1e-5 * abs(b.p)) AS still FROM r a JOIN r b ON a.lam = b.lam AND a.id = b.id AND b.i = a.i + 1 GROUP BY a.lam, a.i),
+stop AS (SELECT lam, min(i) AS n FROM moved WHERE still GROUP BY lam)
+SELECT r.lam AS damping, CAST(any_value(n) AS INTEGER) AS iterations, true AS converged, round(max(p), 9) AS p_max, round(sum(p), 9) AS total FROM r JOIN stop ON r.lam = stop.lam AND r.i = stop.n GROUP BY r.lam""")
 def g04_pagerank_converged(spark, table):
     vertices, edges, _, _ = _graph(table)
     ranks = pagerank.pagerank(vertices, edges, (0.5, 0.85, 0.9, 0.99))
-    return ranks.groupBy("damping").agg(F.max("iterations").alias("iterations"), F.bool_and("converged").alias("converged"), F.sum("rank").alias("total"))
+    return ranks.groupBy("damping").agg(F.max("iterations").alias("iterations"), F.bool_and("converged").alias("converged"), F.round(F.max("rank"), 9).alias("p_max"), F.round(F.sum("rank"), 9).alias("total"))
 
 
 # ---- similarity network
@@ -452,10 +475,18 @@ def m07_power_law_log_log(spark, table, threshold=THRESHOLD):
     return laws.log_log_fit(hist, "degree", "n").select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")))
 
 
-@network_query()
+@network_query(f"""WITH RECURSIVE {NET}, h AS (SELECT CAST(degree AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM deg GROUP BY degree),
+tries AS (SELECT g, sum(y * y) - pow(sum(y * pow(x, -g)), 2) / sum(pow(x, -2 * g)) AS cost FROM h, (SELECT i / 50.0 AS g FROM (SELECT unnest(range(-100, 401)) AS i)) GROUP BY g),
+b AS (SELECT 0 AS i, CAST(arg_min(g, cost) - 0.02 AS DOUBLE) AS lo, CAST(arg_min(g, cost) + 0.02 AS DOUBLE) AS hi FROM tries UNION ALL
+  SELECT i + 1, CASE WHEN rise > 0 THEN mid ELSE lo END, CASE WHEN rise > 0 THEN hi ELSE mid END FROM (
+    SELECT any_value(i) AS i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, sum(y * z) / sum(z * z) * sum(z * z * l) - sum(y * z * l) AS rise
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, y, pow(x, -(lo + hi) / 2) AS z, ln(x) AS l FROM b, h WHERE i < 60) HAVING count(*) > 0)),
+f AS (SELECT lo AS gamma FROM b WHERE i = 60), k AS (SELECT any_value(gamma) AS gamma, sum(y * pow(x, -gamma)) / sum(pow(x, -2 * gamma)) AS a FROM f, h)
+SELECT round(any_value(a), 2) AS a, round(any_value(gamma), 4) AS gamma, round(sum(pow(y - a * pow(x, -gamma), 2)), 2) AS cost FROM k, h""")
 def m07_power_law_fit(spark, table, threshold=THRESHOLD):
+    """The SQL looks for gamma on a grid and halves the cell by the sign of the slope of the sum of squares at the best a."""
     (a, gamma), cost = laws.fit_power(stored(triangles.degree_histogram(triangles.degrees(network(table, threshold))), "degrees"))
-    return spark.createDataFrame([(a, gamma, cost)], "a double, gamma double, cost double")
+    return spark.createDataFrame([(a, gamma, cost)], "a double, gamma double, cost double").select(F.round("a", 2).alias("a"), F.round("gamma", 4).alias("gamma"), F.round("cost", 2).alias("cost"))
 
 
 @network_query(f"WITH {NET} SELECT CAST(floor(degree / 5.0) AS BIGINT) AS bin, count(*) AS n FROM deg GROUP BY 1")
@@ -498,15 +529,17 @@ def g13_communities(spark, table, threshold=THRESHOLD):
     return labels.withColumn("modularity", F.lit(community.modularity(edges, labels)))
 
 
-@network_query(f"WITH RECURSIVE {COMPONENT_SQL}, z AS (SELECT component, count(*) AS n FROM comp GROUP BY 1) SELECT count(*) AS n_communities, min(n) AS min_size, max(n) AS max_size, arg_min(component, (-n, component)) AS largest FROM z")
+@network_query(f"WITH RECURSIVE {COMPONENT_SQL}, z AS (SELECT component, count(*) AS n FROM comp GROUP BY 1) SELECT count(*) AS n_components, min(n) AS min_size, max(n) AS max_size, arg_min(component, (-n, component)) AS largest FROM z")
 def g14_community_sizes(spark, table, threshold=THRESHOLD):
-    return community.size_summary(components.connected_components(network(table, threshold)).withColumnRenamed("component", "community"))
+    parts = components.connected_components(network(table, threshold)).withColumnRenamed("component", "community")
+    return community.size_summary(parts).withColumnRenamed("n_communities", "n_components")
 
 
-@network_query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT component AS community, source AS category, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY 1, 2")
+@network_query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT component, source AS category, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY 1, 2")
 def a16_j08_category_mix(spark, table, threshold=THRESHOLD):
     labels = components.connected_components(network(table, threshold)).withColumnRenamed("component", "community")
-    return community.category_mix(labels, table("documents").select(F.col("doc_id").alias("node"), F.col("source").alias("category")))
+    mix = community.category_mix(labels, table("documents").select(F.col("doc_id").alias("node"), F.col("source").alias("category")))
+    return mix.withColumnRenamed("community", "component")
 
 
 @network_query()

@@ -101,6 +101,35 @@ def parse_run_logs(lines: DataFrame, file: str = "file", order: str = "line", va
     return run.where("seconds IS NOT NULL").select(file, "repetition", "iteration", "seconds", "converged")
 
 
+def run_parameters(folder: Column) -> Column:
+    """(min_freq, max_freq, n_words) of a folder named "min_max_words", or "words_min_max": a number over 1 can't be a share."""
+    part = F.split(F.substring_index(folder, "/", -1), "_")
+    number = [F.try_element_at(part, F.lit(i)).cast("double") for i in (1, 2, 3)]
+    first = number[0] > 1
+    order = [F.when(first, number[(i + 1) % 3]).otherwise(number[i]) for i in range(3)]
+    return F.struct(order[0].alias("min_freq"), order[1].alias("max_freq"), order[2].cast("long").alias("n_words"))
+
+
+def run_table(runs: DataFrame, vocabulary_lines: DataFrame, prototype_lines: DataFrame, file: str = "file") -> DataFrame:
+    """(min_freq, max_freq, n_words, actual_words, clusters_init, iteration, it_converged, it_clusters, it_time) of parsed logs.
+
+    The lines of vocabulary.txt, prototype.txt and prototypesN.txt in a log's folder (column file)
+    count its words, its first clusters and those of iteration N; a file that is not there counts 0.
+    A run that converged did so in its last iteration.
+    """
+    folder = F.regexp_replace(F.col(file), "/[^/]*$", "")
+    words = vocabulary_lines.groupBy(folder.alias("_folder")).agg(F.count("*").alias("actual_words"))
+    n = F.regexp_extract(F.col(file), r"prototypes?(\d*)\.txt$", 1)
+    clusters = prototype_lines.groupBy(folder.alias("_folder"), n.alias("_n")).agg(F.count("*").alias("c"))
+    first = clusters.where("_n = ''").select("_folder", F.col("c").alias("clusters_init"))
+    own = clusters.where("_n <> ''").select("_folder", F.col("_n").cast("int").alias("iteration"), F.col("c").alias("it_clusters"))
+    placed = runs.withColumn("_folder", folder).join(words, "_folder", "left").join(first, "_folder", "left").join(own, ["_folder", "iteration"], "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("actual_words", "clusters_init", "it_clusters")]
+    ended = F.col("iteration") == F.max("iteration").over(Window.partitionBy(file))
+    marked = placed.withColumns({"_p": run_parameters(F.col("_folder")), "it_converged": F.col("converged") & ended})
+    return marked.select("_p.min_freq", "_p.max_freq", "_p.n_words", *zero[:2], "iteration", "it_converged", zero[2], F.col("seconds").alias("it_time"))
+
+
 def write_index(docs: DataFrame, path: str, tokenizer: str, filters: Sequence[str], text_col: str = "text") -> tuple[int, int]:
     """Replaces a dataset of documents and keeps the analyzer's settings beside it: (documents written, documents that failed).
 
