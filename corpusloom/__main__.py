@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import Corpus
 from corpusloom.functions import analysis as an
 from corpusloom.operators import community, components, kmeans, laws, pagerank, tfidf, triangles, vocab
+from corpusloom.operators import index as inverted
 from corpusloom.operators import postings as po
 from corpusloom.scratch import stored
 from corpusloom.sources import corpus as src
@@ -32,15 +33,16 @@ def _show(df: DataFrame, most: int = 50) -> None:
 def index(spark, a):
     tree = src.read_tree(spark, a.path, a.encoding).select(F.xxhash64("path").alias("doc_id"), "path", "text")
     written, failed = src.write_index(tree, a.index, a.token, a.filter)
+    inverted.create(src.read_index(spark, a.index)[0], f"{a.index}/inverted", an.Analyzer(a.token, tuple(a.filter)))
     print(written, "documents" + f", {failed} failed" * bool(failed))
 
 
 def find(spark, a):
-    corpus, analyzer = _open(spark, a.index)
+    made = inverted.Index(spark, f"{a.index}/inverted")
     query = a.query if a.query else " OR ".join(a.text.split())
-    hits = corpus.analyze(analyzer).search(query)
+    hits = stored(made.match({"": query}, scores=True).select("path", F.substring("text", 1, 10).alias("head"), "score"), "hits")
     print(hits.count(), "documents")
-    _show(hits.select("path", F.substring("text", 1, 10).alias("head")))
+    _show(hits.orderBy(F.desc("score"), "path"))
 
 
 def count(spark, a):
@@ -92,7 +94,7 @@ def heaps(spark, a):
     if a.output:
         src.write_table(points, a.output, a.sep)
     for r in laws.fit_heaps_of_each(laws.without_tail(points, a.tail), "book").orderBy("book").toLocalIterator():
-        print(f"{r['book']}: k={r['k']:.6g} beta={r['beta']:.6g} sum of squares={r['cost']:.6g}")
+        print(f"{r['book']}: " + ("one size, no curve" if r["k"] is None else f"k={r['k']:.6g} beta={r['beta']:.6g} sum of squares={r['cost']:.6g}"))
 
 
 def filters(spark, a):

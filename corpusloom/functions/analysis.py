@@ -125,11 +125,19 @@ class Analyzer:
 
     def analyze(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id_col, term): a row for each token."""
-        first = next((i for i, f in enumerate(self.filters) if f in STEMMERS), len(self.filters))
         rows = df.select(id_col, F.explode(tokens(F.col(text_col), self.tokenizer)).alias("term"))
-        for f in self.filters[:first]:
+        for f in self.unstemmed().filters:
             rows = filter_terms(rows, f)
-        rest = list(self.filters[first:])
+        return self.stemmed(rows)
+
+    def unstemmed(self) -> Analyzer:
+        """The chain up to its first stemmer, which is one expression."""
+        first = next((i for i, f in enumerate(self.filters) if f in STEMMERS), len(self.filters))
+        return Analyzer(self.tokenizer, tuple(self.filters[:first]))
+
+    def stemmed(self, rows: DataFrame) -> DataFrame:
+        """rows with their terms (column term) sent through the chain from its first stemmer on, by way of the distinct terms."""
+        rest = list(self.filters[len(self.unstemmed().filters):])
         if not rest:
             return rows
         mapped = rows.select("term").distinct().withColumn("_out", F.col("term"))
@@ -139,7 +147,7 @@ class Analyzer:
             else:
                 mapped = filter_terms(mapped, name, "_out")
         # stored: broadcast if small, else two plain shuffles, so that a frequent term is split
-        return rows.join(lookup(mapped, "stems"), "term").select(id_col, F.col("_out").alias("term"))
+        return rows.join(lookup(mapped, "stems"), "term").withColumn("term", F.col("_out")).select(rows.columns)
 
 
 def _stem_udf(name: str):

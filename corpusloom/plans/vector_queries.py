@@ -564,6 +564,19 @@ def _links(table) -> DataFrame:
     return table("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), href.alias("dst")).distinct()
 
 
+@query(f"""WITH RECURSIVE {LINK_SQL}, n AS (SELECT count(*) AS n FROM nodes),
+sh AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM l UNION ALL SELECT node, node, 0.0 FROM nodes),
+r AS (SELECT 0 AS i, node, CAST(1.0 / n AS DOUBLE) AS p FROM nodes, n UNION ALL
+  SELECT i + 1, node, q / sum(q) OVER () FROM (SELECT any_value(i) AS i, sh.dst AS node, 0.85 * sum(p * share) + 0.15 / any_value(n) AS q FROM r JOIN sh ON sh.src = r.node, n WHERE i < 120 GROUP BY sh.dst)),
+moved AS (SELECT a.i, bool_and(abs(a.p - b.p) <= 1e-10 + 1e-5 * abs(b.p)) AS still FROM r a JOIN r b ON a.node = b.node AND b.i = a.i + 1 GROUP BY a.i), stop AS (SELECT min(i) AS n FROM moved WHERE still)
+SELECT node AS id, round(p, 9) AS rank, CAST(stop.n AS INTEGER) AS iterations FROM r, stop WHERE r.i = stop.n""")
+def g04_pagerank_of_pages(spark, table):
+    """A converged run over the directed links of the pages."""
+    links = stored(_links(table).select("src", "dst").distinct().withColumn("weight", F.lit(1)), "links")
+    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    return pagerank.pagerank(nodes, links, (0.85,)).select("id", F.round("rank", 9).alias("rank"), "iterations")
+
+
 @query(f"""WITH RECURSIVE {LINK_SQL}, hop AS (SELECT node AS source, node, 0 AS d FROM nodes UNION SELECT h.source, b.dst, h.d + 1 FROM hop h JOIN both_ways b ON b.src = h.node WHERE h.d < 14),
 dist AS (SELECT source, node, min(d) AS d FROM hop GROUP BY 1, 2)
 SELECT CASE WHEN (SELECT count(*) FROM dist WHERE source <> node) = (SELECT count(*) * (count(*) - 1) FROM nodes) THEN round((SELECT avg(d) FROM dist WHERE source <> node), 9) END AS average_length,

@@ -179,12 +179,44 @@ def test_communities_are_the_same_at_every_size(spark):
     pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 14, (24, 2)).tolist() if a != b} | {(20 + i, 20 + j) for i in range(5) for j in range(i + 1, 5)} | {(3, 20)})
     one, other = ({r["node"]: r["community"] for r in community.communities(graph(spark, pairs), local_edges=n).collect()} for n in (10_000, 0))
     assert one == other and set(one) == {x for p in pairs for x in p}
+    assert _all_connected(one, pairs)
+
+
+def _all_connected(labels, pairs):
+    for c in set(labels.values()):
+        own = {x for x in labels if labels[x] == c}
+        seen, todo = set(), [min(own)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b if a == x else a for a, b in pairs if x in (a, b) and {a, b} <= own]
+        if seen != own:
+            return False
+    return True
+
+
+def test_communities_are_refined_into_connected_parts(spark):
+    """A star whose hub went elsewhere leaves leaves apart; both ways split it, and modularity does not fall."""
+    pairs = [(0, 1), (1, 2), (5, 6), (6, 7), (2, 9), (7, 9), (9, 10), (9, 11)]
+    edges = graph(spark, pairs)
+    before = {0: 0, 1: 0, 2: 0, 5: 0, 6: 0, 7: 0, 9: 9, 10: 9, 11: 9}
+    labels = spark.createDataFrame(list(before.items()), "node long, community long")
+    split = community._connected(labels, edges)
+    got = {r["node"]: r["community"] for r in split.collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 5: 5, 6: 5, 7: 5, 9: 9, 10: 9, 11: 9}
+    names = sorted(before)
+    place = {x: i for i, x in enumerate(names)}
+    at = community._connected_places(np.array([place[before[x]] for x in names]), np.array([place[a] for a, _ in pairs]), np.array([place[b] for _, b in pairs]))
+    assert {x: names[p] for x, p in zip(names, at)} == got
+    assert community.modularity(edges, split) >= community.modularity(edges, labels)
 
 
 def test_communities_end_where_no_merger_raises_modularity(spark):
     rng = np.random.default_rng(6)
     pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 400, (900, 2)).tolist() if a != b} | {(i, i + 1) for i in range(1000, 1400)})
     got = {r["node"]: r["community"] for r in community.communities(graph(spark, pairs)).collect()}
+    assert _all_connected(got, pairs)
     size, between = {}, {}
     for a, b in pairs:
         for c in (got[a], got[b]):
