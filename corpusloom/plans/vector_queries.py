@@ -241,14 +241,29 @@ def m05_zipf_log_log(spark, table):
     return laws.log_log_fit(zipf_table(table), "rank", "freq").select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")))
 
 
-@query()
+_CRAMER = "(s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13))"
+
+
+@query(f"""WITH RECURSIVE zipf AS ({ZIPF_SQL}), pts AS (SELECT fit, CAST(rank AS DOUBLE) AS x, CAST(freq AS DOUBLE) AS y FROM zipf, (VALUES ('naive', 0), ('bounded', 0), ('bounded_skip10', 10)) v(fit, skip) WHERE rank > skip),
+grid AS (SELECT fit, a, b, sum(y * y) - pow(sum(y * z), 2) / sum(z * z) AS cost, sum(y * z) / sum(z * z) AS c FROM (
+  SELECT fit, a, b, y, pow(x + b, -a) AS z FROM pts, (SELECT unnest(range(10, 41, 2)) / 20.0 AS a), (SELECT unnest([0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0]) AS b)) GROUP BY fit, a, b),
+g AS (SELECT fit, 0 AS i, CAST(arg_min(a, cost) AS DOUBLE) AS a, CAST(arg_min(b, cost) AS DOUBLE) AS b, CAST(arg_min(c, cost) AS DOUBLE) AS c FROM grid GROUP BY fit UNION ALL
+  SELECT fit, i + 1, a + (t1 * (s22 * s33 - s23 * s23) - s12 * (t2 * s33 - s23 * t3) + s13 * (t2 * s23 - s22 * t3)) / {_CRAMER},
+    b + (s11 * (t2 * s33 - t3 * s23) - t1 * (s12 * s33 - s23 * s13) + s13 * (s12 * t3 - t2 * s13)) / {_CRAMER},
+    c + (s11 * (s22 * t3 - s23 * t2) - s12 * (s12 * t3 - t2 * s13) + t1 * (s12 * s23 - s22 * s13)) / {_CRAMER} FROM (
+    SELECT fit, any_value(i) AS i, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, sum(d1 * d1) AS s11, sum(d1 * d2) AS s12, sum(d1 * d3) AS s13, sum(d2 * d2) AS s22, sum(d2 * d3) AS s23, sum(d3 * d3) AS s33,
+      sum(d1 * e) AS t1, sum(d2 * e) AS t2, sum(d3 * e) AS t3
+    FROM (SELECT fit, i, a, b, c, -c * z * ln(x + b) AS d1, -a * c * z / (x + b) AS d2, z AS d3, y - c * z AS e FROM (SELECT g.*, x, y, pow(x + b, -a) AS z FROM g JOIN pts ON pts.fit = g.fit WHERE i < 40)) GROUP BY fit))
+SELECT g.fit, round(any_value(a), 4) AS a, round(any_value(b), 3) AS b, round(any_value(c), -1) AS c, round(sum(pow(y - c * pow(x + b, -a), 2)), -1) AS cost FROM g JOIN pts ON pts.fit = g.fit WHERE i = 40 GROUP BY g.fit""")
 def m04_m05_zipf_mandelbrot(spark, table):
+    """The SQL takes forty undamped steps from the best point of a grid."""
     ranks = stored(zipf_table(table), "zipf")
     rows = []
     for name, skip, bounded in (("naive", 0, False), ("bounded", 0, True), ("bounded_skip10", 10, True)):
         (a, b, c), cost = laws.fit_zipf(ranks, skip, bounded)
         rows.append((name, a, b, c, cost))
-    return spark.createDataFrame(rows, "fit string, a double, b double, c double, cost double")
+    fits = spark.createDataFrame(rows, "fit string, a double, b double, c double, cost double")
+    return fits.select("fit", F.round("a", 4).alias("a"), F.round("b", 3).alias("b"), F.round("c", -1).alias("c"), F.round("cost", -1).alias("cost"))
 
 
 @query(f"""WITH {GROWTH_SQL}, t AS (SELECT * FROM (SELECT *, max(n_words) OVER (PARTITION BY book) AS top FROM growth) WHERE n_words < top - 3150 AND n_words > 0 AND n_unique > 0)
