@@ -9,8 +9,8 @@ Partial-distance search: the dimensions of a codebook are taken in descending va
 its entries.  The squared distances of the first dimension name a likely entry for each
 part, whose complete distance is the best so far; from then on a part's entries are dropped, by
 masks over all parts of a block, as soon as their accumulated distance strictly exceeds its best.
-The best is renewed, from the least accumulated distances, after 2, 4, 8, ...
-dimensions.  Distances are whole numbers, so nothing is lost by rounding and ties go to the lower index.
+The best is renewed from the least accumulated distances; while most entries are left they stay a
+matrix, then only those left are gone through.  Distances are whole numbers, so nothing is lost by rounding and ties go to the lower index.
 
 A round is one scan: every task adds up its parts by codebook entry, and at most (entries x
 dimensions) sums of a task are shuffled.  The driver holds the codebooks alone, and they alone are
@@ -42,8 +42,9 @@ PARTS = 16
 ENTRIES = 64
 ROUNDS = 2
 SCALE = 256
-#: Vectors that are searched at once.
+#: Vectors that are searched at once, and the part of their entries, one in DENSE, from which on only those left are gone through.
 BLOCK = 2048
+DENSE = 8
 
 
 @dataclass
@@ -87,24 +88,40 @@ def _firsts(row: np.ndarray) -> np.ndarray:
 def nearest(points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and squared distance of the nearest entry of a codebook for each point; ties to the lower index."""
     order = np.argsort(-book.var(axis=0), kind="stable")
-    gap = points[:, order[0], None] - book[None, :, order[0]]
-    sums = gap * gap
-    best = ((points - book[sums.argmin(1)]) ** 2).sum(1)
-    row, entry = np.nonzero(sums <= best[:, None])
-    part = sums[row, entry]
-    for done, dim in enumerate(order[1:], 2):
+    if len(order) <= 64 and max(np.abs(points).max(initial=0), np.abs(book).max(initial=0)) < 1 << 11:
+        points, book = points.astype(np.int32), book.astype(np.int32)  # no sum can leave them
+    sums, best = np.zeros((len(points), len(book)), points.dtype), None
+    for done, dim in enumerate(order, 1):
+        gap = points[:, dim, None] - book[None, :, dim]
+        sums += gap * gap
+        if done == len(order):
+            break
+        if done > 1:  # the least so far may be nearer as a whole than the best so far
+            whole = ((points - book[sums.argmin(1)]) ** 2).sum(1, dtype=points.dtype)
+            best = whole if best is None else np.minimum(best, whole)
+            alive = np.flatnonzero(sums <= best[:, None])
+            if len(alive) * DENSE < sums.size:
+                return _of_few(points, book, order[done:], best, alive, sums.ravel()[alive])
+    index = sums.argmin(1)
+    return index, sums[np.arange(len(points)), index].astype(np.int64)
+
+
+def _of_few(points: np.ndarray, book: np.ndarray, dims: np.ndarray, best: np.ndarray, alive: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same over the entries that are left, (point, entry) by place, with their accumulated distances."""
+    row, entry = np.divmod(alive, len(book))
+    for done, dim in enumerate(dims, 1):
         step = points[row, dim] - book[entry, dim]
         part = part + step * step
-        if done & (done - 1) == 0:  # the least so far may be nearer as a whole
+        if done & (done - 1) == 0:
             least = np.minimum.reduceat(part, _firsts(row))
-            at = np.flatnonzero(part == least[row])
+            at = np.flatnonzero(part == least[np.cumsum(np.r_[False, row[1:] != row[:-1]])])
             at = at[_firsts(row[at])]
-            best = np.minimum(best, ((points - book[entry[at]]) ** 2).sum(1))
+            best[row[at]] = np.minimum(best[row[at]], ((points[row[at]] - book[entry[at]]) ** 2).sum(1, dtype=points.dtype))
         keep = part <= best[row]
         row, entry, part = row[keep], entry[keep], part[keep]
-    least = np.minimum.reduceat(part, _firsts(row)) if len(row) else part
-    at = np.flatnonzero(part == least[row])
-    return entry[at[_firsts(row[at])]] if len(row) else entry, least
+    least = np.minimum.reduceat(part, _firsts(row))
+    at = np.flatnonzero(part == least[row])  # every point has an entry left: that of its best
+    return entry[at[_firsts(row[at])]], least.astype(np.int64)
 
 
 def assign(numbers: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
