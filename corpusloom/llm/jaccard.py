@@ -55,7 +55,7 @@ RANGES = 64
 MOST_RANGES = 8192
 #: Classes of a bucket, and classes and n-grams of a cluster, that are searched as one block.
 BUCKET_CLASSES = 512
-CLUSTER_CLASSES = 1024
+CLUSTER_CLASSES = 256
 CLUSTER_NGRAMS = 1_000_000
 #: Bits of the bitmap of names, as a power of two.
 BITMAP_BITS = 24
