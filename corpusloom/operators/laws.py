@@ -172,7 +172,7 @@ def fit_heaps(points: DataFrame, x: str = "n_words", y: str = "n_unique") -> tup
 
 
 def fit_heaps_of_each(points: DataFrame, group: str, x: str = "n_words", y: str = "n_unique") -> DataFrame:
-    """(group, k, beta, cost): fit_heaps() of each group in a task of its own; a group is a growth table of few points, null if they have one size."""
+    """(group, k, beta, cost): fit_heaps() of each group in a task of its own; a group is a growth table of few points; with points of one size beta is 0.5."""
     kind = points.schema[group].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,8 +191,9 @@ def fit_heaps_of_each(points: DataFrame, group: str, x: str = "n_words", y: str
             j, r = np.stack([base, p[0] * base * np.log(n)]), u - p[0] * base
             return float(r @ r), j @ r, j @ j.T
 
-        if len(np.unique(n)) < 2:  # one size of text determines no curve
-            return pd.DataFrame({group: pdf[group].iloc[:1].tolist(), "k": [None], "beta": [None], "cost": [None]})
+        if len(np.unique(n)) < 2:  # one size of text determines no beta: it stays at its start
+            k = float(u @ np.sqrt(n) / n.sum())
+            return pd.DataFrame({group: pdf[group].iloc[:1].tolist(), "k": [k], "beta": [0.5], "cost": [float(((u - k * np.sqrt(n)) ** 2).sum())]})
         (k, beta), cost = levenberg_marquardt(start, equations, np.zeros(2), np.array([np.inf, 1.0]))
         return pd.DataFrame({group: pdf[group].iloc[:1].tolist(), "k": [k], "beta": [beta], "cost": [cost]})
 

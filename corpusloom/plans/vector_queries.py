@@ -278,9 +278,9 @@ hb AS (SELECT book, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM pt GROUP B
   SELECT book, i + 1, CASE WHEN rise > 0 THEN mid ELSE lo END, CASE WHEN rise > 0 THEN hi ELSE mid END FROM (
     SELECT book, any_value(i) AS i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, sum(u * x * l) - sum(u * x) / sum(x * x) * sum(x * x * l) AS rise
     FROM (SELECT hb.book, i, lo, hi, (lo + hi) / 2 AS mid, u, pow(n, (lo + hi) / 2) AS x, ln(n) AS l FROM hb JOIN pt ON pt.book = hb.book WHERE i < 60) GROUP BY book)),
-hf AS (SELECT pt.book, any_value(lo) AS beta, sum(u * pow(n, lo)) / sum(pow(n, lo) * pow(n, lo)) AS k, count(DISTINCT n) AS points FROM hb JOIN pt ON pt.book = hb.book WHERE i = 60 GROUP BY pt.book)
-SELECT hf.book, CASE WHEN any_value(points) > 1 THEN round(any_value(k), 2) END AS k, CASE WHEN any_value(points) > 1 THEN round(any_value(beta), 4) END AS beta,
-CASE WHEN any_value(points) > 1 THEN round(sum(pow(u - k * pow(n, beta), 2)), 2) END AS cost FROM hf JOIN pt ON pt.book = hf.book GROUP BY hf.book""")
+hc AS (SELECT pt.book, CASE WHEN count(DISTINCT n) > 1 THEN any_value(lo) ELSE 0.5 END AS beta FROM hb JOIN pt ON pt.book = hb.book WHERE i = 60 GROUP BY pt.book),
+hf AS (SELECT pt.book, any_value(beta) AS beta, sum(u * pow(n, beta)) / sum(pow(n, beta) * pow(n, beta)) AS k FROM hc JOIN pt ON pt.book = hc.book GROUP BY pt.book)
+SELECT hf.book, round(any_value(k), 2) AS k, round(any_value(beta), 4) AS beta, round(sum(pow(u - k * pow(n, beta), 2)), 2) AS cost FROM hf JOIN pt ON pt.book = hf.book GROUP BY hf.book""")
 def m04_m06_heaps_fit(spark, table):
     """The SQL halves the range of beta by the sign of the slope of the sum of squares at the best k."""
     points = stored(laws.without_tail(growth_table(table)).select("book", "n_words", "n_unique"), "heaps")
