@@ -122,9 +122,10 @@ def levenberg_marquardt(p: np.ndarray, equations: Callable[[np.ndarray], tuple[f
         if not free.any() or not np.isfinite(cost):
             break
         a = jtj[np.ix_(free, free)]
-        scale = np.maximum(np.diag(a), 1e-300)
+        # in units of the diagonal: parameters of very different sizes would look dependent
+        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
         moved = p.copy()
-        moved[free] += np.linalg.lstsq(a + damping * np.diag(scale), jr[free], rcond=None)[0]
+        moved[free] += np.linalg.lstsq(a / np.outer(scale, scale) + damping * np.eye(len(a)), jr[free] / scale, rcond=None)[0] / scale
         moved = np.clip(moved, low, high)
         new = equations(moved)
         if new[0] < cost:

@@ -163,6 +163,13 @@ def test_laws_recover_parameters(spark):
     assert good["rmse"] < 1e-6 and abs(good["r2"] - 1) < 1e-12
 
 
+def test_zipf_fit_moves_parameters_of_very_different_sizes(spark):
+    """The factor is a million times the other two; a long tail of ones puts the log-log line far from the least sum of squares."""
+    rows = [(i, float(max(1, round(1.66e6 * (i + 3.2) ** -1.0154))) if i <= 2000 else 1.0) for i in range(1, 20_000)]
+    (a, b, c), cost = laws.fit_zipf(spark.createDataFrame(rows, "rank long, freq double"), 10)
+    assert cost < 7e8 and abs(a - 1.0995) < 1e-2  # 3.2e9 at an exponent of 1.58 while sizes were mixed
+
+
 def test_growth_is_monotone(spark):
     lines = spark.createDataFrame([("x", i, f"word{i % 7} and word{i}") for i in range(40)], "book string, line long, text string")
     words = laws.line_pieces(lines, 5).select("book", "piece", F.explode(an.posix_words(F.col("text"))).alias("word"))
