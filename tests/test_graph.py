@@ -265,3 +265,34 @@ def test_heaps_is_fitted_for_each_book(spark):
     got = {r["book"]: r for r in entry.queries()["m04_m06_heaps_fit"](spark, "/root/testdata/sf0.001").collect()}
     books = {r["book"] for r in entry.queries()["m06_heaps_log_log"](spark, "/root/testdata/sf0.001").collect()}
     assert books and books <= set(got) and all(r["k"] >= 0 and 0 <= r["beta"] <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_reach_is_that_of_a_search_from_each_source(spark, sent):
+    rng = __import__("random").Random(5)
+    pairs = {(rng.randrange(150), 200 + rng.randrange(12)) for _ in range(170)} | {(500, 501), (7, 7)}
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    sources, want = [a for a in near if a != 500] + [900], {}
+    for s in sources:
+        seen, front, step = {s}, {s}, 0
+        while front:
+            front, step = {y for x in front for y in near.get(x, ())} - seen, step + 1
+            seen |= front
+            if front:
+                want[step] = want.get(step, 0) + len(front)
+    nodes = spark.createDataFrame([(n,) for n in sources], "node long")
+    got = paths.reach(graph(spark, sorted(pairs)), nodes, sent)
+    assert {r["distance"]: r["pairs"] for r in got.collect()} == want
+
+
+def test_path_lengths_store_no_pairs(spark, monkeypatch):
+    """A graph that fits every task leaves only its arcs and numbers in storage, whatever the sources."""
+    names = []
+    keep = paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df, name="part": names.append(name) or keep(df, name))
+    nodes = spark.range(400).withColumnRenamed("id", "node")
+    assert paths.average_path_length(graph(spark, [(i, i + 1) for i in range(399)]), nodes).first()["connected"]
+    assert set(names) == {"arcs", "numbers"}
