@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.scratch import stored
+from corpusloom.scratch import lookup, stored
 
 
 def grid(spark: SparkSession, minfreq: Sequence[float], maxfreq: Sequence[float], numwords: Sequence[int]) -> DataFrame:
@@ -46,4 +46,16 @@ def band_stats(bands: DataFrame, combos: DataFrame) -> DataFrame:
 
 def restricted(posts: DataFrame, bands: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(combo, id_col, term): documents' terms within each vocabulary; documents without any drop out."""
-    return posts.select(id_col, "term").distinct().join(bands.select("combo", "term"), "term").select("combo", id_col, "term")
+    # repeated rows go after the vocabulary has taken most of them away
+    return posts.select(id_col, "term").join(bands.select("combo", "term"), "term").select("combo", id_col, "term").distinct()
+
+
+def restricted_sizes(posts: DataFrame, bands: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(combo, id_col, n_terms): the sizes of restricted() documents; posts has a row for each id and term.
+
+    A term has one row with all its settings, and a document one row for each such set
+    that its terms have, so that postings are not copied for every setting.
+    """
+    owners = bands.groupBy("term").agg(F.sort_array(F.collect_set("combo")).alias("combos"))
+    counts = posts.select(id_col, "term").join(lookup(owners, "owners"), "term").groupBy(id_col, "combos").agg(F.count("*").alias("n"))
+    return counts.select(id_col, "n", F.explode("combos").alias("combo")).groupBy("combo", id_col).agg(F.sum("n").alias("n_terms"))

@@ -293,3 +293,16 @@ def test_merge_with_repeated_keys(spark):
     left = spark.createDataFrame([(1, "l"), (2, "l")], "k long, v string")
     right = spark.createDataFrame([(1, "r2"), (1, "r1"), (3, "r")], "k long, v string")
     assert sorted(map(tuple, report.merged(left, right, ["k"]).collect())) == [(1, "r1"), (2, "l"), (3, "r")]
+
+
+def test_postings_shuffle_texts_alone(spark, docs):
+    posts = po.postings(an.Analyzer("letter", ("lowercase",)).analyze(po.gathered(docs)))
+    assert posts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in posts.collect()}[(3, "fox")] == 2
+
+
+def test_sizes_of_restricted_documents_copy_no_postings(spark, docs):
+    posts = po.postings(an.Analyzer("letter", ("lowercase",)).analyze(docs))
+    bands = vocab.band(po.document_frequency(posts), vocab.grid(spark, [0.0, 0.5], [0.5, 1.0], [2, 0]))
+    want = vocab.restricted(posts, bands).groupBy("combo", "doc_id").count().collect()
+    assert sorted(map(tuple, vocab.restricted_sizes(posts, bands).collect())) == sorted(map(tuple, want))
