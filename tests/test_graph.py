@@ -296,3 +296,21 @@ def test_path_lengths_store_no_pairs(spark, monkeypatch):
     nodes = spark.range(400).withColumnRenamed("id", "node")
     assert paths.average_path_length(graph(spark, [(i, i + 1) for i in range(399)]), nodes).first()["connected"]
     assert set(names) == {"arcs", "numbers"}
+
+
+@pytest.mark.parametrize("mode", ["renormalise", "redistribute"])
+def test_pagerank_of_larger_graphs_moves_ranks_not_edges(spark, mode, monkeypatch):
+    pairs = [(i, (i * 7 + k) % 40) for i in range(40) for k in range(3) if i % 9]  # every ninth has no out-edge
+    edges = graph(spark, pairs).withColumn("weight", F.lit(1))
+    nodes = spark.range(40)
+    want = {r["id"]: r["rank"] for r in pagerank.pagerank(nodes, edges, (0.85,), 12, None, mode).collect()}
+    plans = []
+    keep = pagerank.checkpoint
+    monkeypatch.setattr(pagerank, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    for sent in (0, 1_000_000):
+        monkeypatch.setattr(pagerank, "MOST_SENT", sent)
+        plans.clear()
+        got = {r["id"]: r["rank"] for r in pagerank.pagerank(nodes, edges, (0.85,), 12, None, mode, local_edges=0).collect()}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+        assert len(plans) == 13  # the start and one for each step
+    assert all("BroadcastHashJoin [v" in x or "BroadcastHashJoin [src" in x for x in plans[1:])
