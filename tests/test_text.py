@@ -306,3 +306,26 @@ def test_sizes_of_restricted_documents_copy_no_postings(spark, docs):
     bands = vocab.band(po.document_frequency(posts), vocab.grid(spark, [0.0, 0.5], [0.5, 1.0], [2, 0]))
     want = vocab.restricted(posts, bands).groupBy("combo", "doc_id").count().collect()
     assert sorted(map(tuple, vocab.restricted_sizes(posts, bands).collect())) == sorted(map(tuple, want))
+
+
+def test_words_are_counted_before_they_are_stemmed(spark, docs, monkeypatch):
+    for analyzer in (an.CLUSTER_ANALYZER, an.Analyzer("letter", ("lowercase", "porter_stem")), an.Analyzer("letter", ("lowercase",))):
+        want = sorted(map(tuple, po.term_frequency(analyzer.analyze(docs)).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(an, "lookup", None)  # no table of stems is joined
+            assert sorted(map(tuple, analyzer.frequencies(docs).collect())) == want
+
+
+def test_filter_grid_stems_a_word_once_for_each_form(spark):
+    rows = [("Running", 2), ("running", 3), ("Œuvres", 1), ("the", 4), ("", 1)]
+    combos = an.filter_grid()
+    want: dict = {}
+    for term, freq in rows:
+        for chain in combos:
+            x = term
+            for f in chain:
+                x = an.python_filter(f, x) if x is not None else None
+            if x:
+                want["-".join(chain), x] = want.get(("-".join(chain), x), 0) + freq
+    got = an.grid_terms(spark.createDataFrame(rows, "term string, freq long"), combos)
+    assert {(r["filters"], r["term"]): r["freq"] for r in got.collect()} == want
