@@ -93,6 +93,25 @@ def test_similarity_join_is_exact(spark):
     tfidf.HOT_POSTINGS = 4096
 
 
+def test_census_has_the_degrees_and_components_of_the_links(spark):
+    """Also over many blocks, for pairs in the margin of single precision, and where copies link all of a group."""
+    from corpusloom.operators import components
+
+    words = [(i, f"t{(i * k) % 31}", 1.0 / (1 + k)) for i in range(60) for k in range(1, 6)] + [(100 + i, t, 0.5) for i in range(9) for t in ("a", "b", "c", "d")]
+    words += [(200, "x", 0.6), (200, "y", 0.8), (201, "x", 1.0), (202, "x", 0.6 + 1e-7), (202, "z", 0.8), (300, "alone", 1.0)]
+    w = spark.createDataFrame(words, "doc_id long, term string, weight double").groupBy("doc_id", "term").agg(F.sum("weight").alias("weight")).persist()
+    a, b = w.select(F.col("doc_id").alias("src"), "term", F.col("weight").alias("x")), w.select(F.col("doc_id").alias("dst"), "term", F.col("weight").alias("y"))
+    links = a.join(b, "term").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where("s > 0.6").persist()
+    pairs = [r[:2] for r in links.collect()]
+    assert (201, 202) in pairs and (200, 201) not in pairs
+    want = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    for block in (2048, 4):
+        census = tfidf.link_census(w, 0.6, block=block).persist()
+        degree = {r[0]: r[1] for r in census.groupBy("node").agg(F.sum("links")).collect()}
+        assert degree == {x: sum(x in p for p in pairs) for p in pairs for x in p}
+        assert {r["node"]: r["component"] for r in components.connected_components(census, "node", "other").collect()} == want
+
+
 def test_similarity_blocks_shuffle_in_proportion(spark):
     """Twice as many vectors, twice as many blocks: what is shuffled doubles and does not grow with the pairs of blocks."""
     def shuffled(n):
