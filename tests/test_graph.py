@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,34 @@ def test_communities_are_the_same_at_every_size(spark):
     assert _all_connected(one, pairs)
 
 
+def _shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_communities_by_sent_labels_are_those_of_joins_and_shuffle_edges_once_a_level(spark):
+    rng = np.random.default_rng(8)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in (rng.integers(0, 12, (500, 2)) + 12 * rng.integers(0, 6, (500, 1))).tolist()} | {(min(a, b), max(a, b)) for a, b in rng.integers(0, 80, (60, 2)).tolist()})
+    weighted = spark.createDataFrame([(a, b, float(1 + (a * b) % 3)) for a, b in pairs], "src long, dst long, weight double")  # loops too
+    ways = [dict(local_edges=10_000), dict(local_edges=0), dict(local_edges=0, most_sent=0)]
+    one, sent, joined = ({r["node"]: r["community"] for r in community.communities(weighted, **w).collect()} for w in ways)
+    assert one == sent == joined and len(set(one.values())) < 12
+    dense = [(i, j) for i in range(90) for j in range(i + 1, 90) if i % 3 == j % 3 or (i + j) % 7 == 0]
+    before = _shuffled_rows(spark)
+    assert community.communities(graph(spark, dense), local_edges=0).select("community").distinct().count() == 3
+    assert _shuffled_rows(spark) - before < 4 * len(dense)
+
+
+def test_lists_are_handled_some_at_once(monkeypatch):
+    lists = [[1, 2, 3], [0], [0, 3], [0, 2]]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(4), pa.int32()), "near": pa.array(lists, pa.list_(pa.int32())), "weights": pa.array([[float(y) for y in x] for x in lists])})
+    for most in (1, 2, 3, 100):
+        monkeypatch.setattr(community, "_AT_ONCE", most)
+        got = [(int(nodes[i]), int(j), float(k)) for nodes, x, y, w in community._lists([batch]) for i, j, k in zip(x, y, w, strict=True)]
+        assert got == [(i, y, float(y)) for i, x in enumerate(lists) for y in x]
+
+
 def _all_connected(labels, pairs):
     for c in set(labels.values()):
         own = {x for x in labels if labels[x] == c}
