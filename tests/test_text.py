@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import analysis as an
@@ -348,3 +350,23 @@ def test_filter_grid_stems_a_word_once_for_each_form(spark):
                 want["-".join(chain), x] = want.get(("-".join(chain), x), 0) + freq
     got = an.grid_terms(spark.createDataFrame(rows, "term string, freq long"), combos)
     assert {(r["filters"], r["term"]): r["freq"] for r in got.collect()} == want
+
+
+def test_links_without_similarity_are_those_of_the_join_and_no_prefixes_are_made_in_vain(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(d, f"t{t}", float(rng.random() + 0.1)) for d in range(60) for t in rng.choice(40, 12, replace=False)]
+    raw = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    w = raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).drop("w")
+    made, find = [], tfidf._prefixes
+
+    def counted(weights, threshold, id_col, part=1):
+        made.append(part)
+        return find(weights, threshold, id_col, part)
+
+    monkeypatch.setattr(tfidf, "_prefixes", counted)
+    monkeypatch.setattr(tfidf, "PROBED", 2)
+    want = {r[:2] for r in tfidf.similarity_join(w, 0.4).collect()}
+    for ways, parts in ((dict(), []), (dict(few=0, max_candidates=0), [2]), (dict(few=0, max_candidates=10**6), [2, 1])):
+        made.clear()
+        got = tfidf.similarity_join(w, 0.4, valued=False, block=7, **ways)
+        assert got.columns == ["src", "dst"] and {tuple(r) for r in got.collect()} == want and made == parts
