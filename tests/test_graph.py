@@ -359,3 +359,38 @@ def test_pagerank_of_larger_graphs_moves_ranks_not_edges(spark, mode, monkeypatc
         assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
         assert len(plans) == 13  # the start and one for each step
     assert all("BroadcastHashJoin [v" in x or "BroadcastHashJoin [src" in x for x in plans[1:])
+
+
+@pytest.mark.parametrize("mode", ["renormalise", "redistribute"])
+def test_pagerank_over_lists_of_edges(spark, mode):
+    """Steps over stored lists give what one task gives: weights, dangling vertices, edges of unknown ends, several damping factors, convergence."""
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 300), rng.integers(0, 60, 300)) if a % 9})
+    nodes = spark.range(62).select(F.concat(F.lit("v"), "id").alias("id"))
+    for top in (1, 4):
+        edges = spark.createDataFrame([(f"v{a}", f"v{b}", 1 + (a * b) % top) for a, b in pairs], "src string, dst string, weight long")
+        for steps, atol in ((7, None), (200, 1e-9)):
+            args = ((0.5, 0.95), steps, atol, mode)
+            want, got = ({(r["damping"], r["id"]): r for r in pagerank.pagerank(nodes, edges, *args, **how).collect()} for how in ({}, {"local_edges": 0, "joined_edges": 0}))
+            assert got.keys() == want.keys() and len(got) == 124
+            assert all(abs(got[k]["rank"] - r["rank"]) < 1e-12 and got[k]["iterations"] == r["iterations"] and got[k]["converged"] == r["converged"] for k, r in want.items())
+
+
+def test_steps_keep_the_planners_estimates_small(spark, monkeypatch):
+    """Estimates of checkpointed joins double their digits with each step of PageRank, and have four times as many after each round of components."""
+    bits = []
+    for module, names in ((pagerank, ["checkpoint"]), (components, ["checkpoint", "stored"])):
+        for name in names:
+            def noted(df, *rest, keep=getattr(module, name)):
+                out = keep(df, *rest)
+                bits.append(len(out._jdf.queryExecution().optimizedPlan().stats().simpleString()))
+                return out
+
+            monkeypatch.setattr(module, name, noted)
+    edges = graph(spark, cycle(30)).withColumn("weight", F.lit(1))
+    pagerank.pagerank(spark.range(30), edges, (0.85,), 10, None, local_edges=0).count()
+    assert len(bits) == 11 and max(bits) < 60
+    bits.clear()
+    monkeypatch.setattr(components, "CHECKPOINTED", 0)
+    assert {r["component"] for r in components.connected_components(graph(spark, [(i, i + 1) for i in range(200)])).collect()} == {0}
+    assert len(bits) > 8 and max(bits) < 200
