@@ -370,3 +370,22 @@ def test_links_without_similarity_are_those_of_the_join_and_no_prefixes_are_made
         made.clear()
         got = tfidf.similarity_join(w, 0.4, valued=False, block=7, **ways)
         assert got.columns == ["src", "dst"] and {tuple(r) for r in got.collect()} == want and made == parts
+
+
+def test_related_documents_of_many_queries_copy_no_vectors(spark):
+    """Against brute force, with copies (ties) and documents without common terms; blocks of queries add no copies of vectors as rows."""
+    rng = np.random.default_rng(6)
+    texts = [sorted({int(t) for t in rng.zipf(1.5, 6) if t < 40}) for _ in range(60)]
+    texts = [texts[i % 25] if i % 3 else texts[i] for i in range(60)]
+    rows = [(i, f"t{t}", 1 / len(ts) ** 0.5) for i, ts in enumerate(texts) for t in ts]
+    weights, docs = spark.createDataFrame(rows, "doc_id long, term string, weight double"), spark.range(0, 66).withColumnRenamed("id", "doc_id")
+    asked = [i for i in range(66) if i % 4 == 0]
+    vector = {i: dict.fromkeys(ts, 1 / len(ts) ** 0.5) for i, ts in enumerate(texts) if ts}
+    cosine = lambda a, b: round(sum(w * vector.get(b, {}).get(t, 0) for t, w in vector.get(a, {}).items()), 9)
+    for n in (1, 5, 64):
+        want = {(q, d, s) for q in asked for s, d in sorted(((cosine(q, d), d) for d in range(66)), key=lambda x: (-x[0], x[1]))[:n]}
+        for block in (3, 4096):
+            got = tfidf.related_to_each(weights, docs.where("doc_id % 4 = 0"), docs, n, block=block)
+            assert {(r["query_id"], r["doc_id"], round(r["similarity"], 9)) for r in got.collect()} == want
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Generate" not in plan and "Pandas" not in plan
