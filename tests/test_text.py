@@ -389,3 +389,17 @@ def test_related_documents_of_many_queries_copy_no_vectors(spark):
             assert {(r["query_id"], r["doc_id"], round(r["similarity"], 9)) for r in got.collect()} == want
             plan = got._jdf.queryExecution().optimizedPlan().toString()
             assert "Generate" not in plan and "Pandas" not in plan
+
+
+def test_cosines_of_pairs_store_no_postings(spark, monkeypatch):
+    """Against brute force: pairs both ways, repeated ends, a vector without weights, an id without a vector."""
+    names, keep = [], tfidf.stored
+    monkeypatch.setattr(tfidf, "stored", lambda df, name="part": names.append(name) or keep(df, name))
+    vector = {1: {"a": 0.6, "b": 0.8}, 2: {"b": 1.0}, 3: {"a": 0.8, "c": 0.6}, 4: {"d": None}, 6: {"b": 0.6, "c": 0.8, "a": 0.0}}
+    weights = spark.createDataFrame([(i, t, w) for i, v in vector.items() for t, w in v.items()], "doc_id long, term string, weight double")
+    pairs = [(1, 2), (2, 1), (1, 3), (1, 1), (2, 3), (3, 6), (4, 1), (4, 4), (5, 1), (6, 1)]
+    got = tfidf.cosine_of_pairs(weights, spark.createDataFrame(pairs, "a long, b long"))
+    want = {(a, b): sum((w or 0) * (vector.get(b, {}).get(t) or 0) for t, w in vector.get(a, {}).items()) for a, b in pairs}
+    rows = got.collect()
+    assert len(rows) == len(pairs) and all(abs(r["similarity"] - want[r["a"], r["b"]]) < 1e-12 for r in rows)
+    assert "weights" not in names
